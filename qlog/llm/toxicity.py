@@ -77,8 +77,11 @@ def word_rows(raw: np.ndarray, offsets: np.ndarray, buckets: int, prefix_bytes:
     return word, prefix, first
 
 
-def fit_network(texts: pa.Array, y: np.ndarray, buckets: int = 1 << 15, dims: int = 16, filters: int = 8, prefix_bytes: int = 4, least_texts: int = 4, epochs: int = 6, seed: int = 7) -> ToxicityModel:
-    """Train on the given texts; rows of the table met in fewer than ``least_texts`` texts stay zero."""
+def fit_network(texts: pa.Array, y: np.ndarray, buckets: int = 1 << 15, dims: int = 16, filters: int = 8, prefix_bytes: int = 4, least_texts: int = 4, steps: int = 1500, seed: int = 7) -> ToxicityModel:
+    """Train on the given texts, about ``steps`` batches of 32 in 4 to 40 rounds.
+
+    Rows of the table met in fewer than ``least_texts`` texts stay zero.
+    """
     rng = np.random.default_rng(seed)
     docs: list[tuple[np.ndarray, np.ndarray]] = []
     for _, _, raw, offsets in text_slices(texts):
@@ -96,8 +99,9 @@ def fit_network(texts: pa.Array, y: np.ndarray, buckets: int = 1 << 15, dims: in
     base = float(np.clip(y.mean() if len(y) else 0.1, 0.01, 0.99))
     top = np.array([np.log(base / (1 - base))], np.float32)
     opt = Adam([emb, *convs, *bias, out, top], 0.01)
+    epochs = int(np.clip(32 * steps / max(1, len(docs)), 4, 40))
     for epoch in range(epochs):
-        opt.rate = 0.01 / (1 + epoch)
+        opt.rate = 0.02 / (1 + 4 * epoch / epochs)
         order = rng.permutation(len(docs))
         for at in range(0, len(order), 32):
             batch = order[at : at + 32]
