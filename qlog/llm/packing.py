@@ -1,7 +1,8 @@
 """Packing: shortest-pack-first over the histogram of lengths.
 
-Documents are tokenised and cut into pieces of at most the pack size. Only the histogram of piece
-lengths (at most one row a length) reaches the driver. There lengths are placed longest first, each
+Documents are tokenised and cut into pieces of at most the pack size; what remains of a document is cut
+once more at its last multiple of a quarter pack, so that there are always short pieces to fill packs
+with. Only the histogram of piece lengths (at most one row a length) reaches the driver. There lengths are placed longest first, each
 time into the pattern with the most room, by counts of equal patterns. The patterns' slots then meet
 the pieces again by length and rank.
 """
@@ -82,13 +83,22 @@ def pack_histogram(counts: dict[int, int], size: int) -> Slots:
     return Slots(np.array(keys, np.int64)[order], np.array(seqs, np.int64)[order], np.array(offs, np.int64)[order], base)
 
 
+def cuts(tokens: int, size: int) -> list[int]:
+    """Ends of the pieces of a document of ``tokens`` ids."""
+    ends = list(range(size, tokens + 1, size))
+    rest, step = tokens % size, max(1, size // 4)
+    if rest > step and rest % step:
+        ends.append(tokens - rest % step)
+    return ends + [tokens] if not ends or ends[-1] < tokens else ends
+
+
 PIECE = T.StructType(
     [T.StructField("doc_id", T.LongType()), *[T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")]]
 )
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, size: int, keep_ids: bool = False) -> DataFrame:
-    """Token pieces of every document: its ids and ``end_id``, cut every ``size`` ids."""
+    """Token pieces of every document: its ids and ``end_id``, cut by ``cuts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load_tokenizer(tokenizer)
@@ -100,11 +110,13 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, size: int, keep_
                 for d, (a, z) in enumerate(zip(ends[:-1], ends[1:]), i):
                     own = np.empty(z - a + 1, "<u4")
                     own[:-1], own[-1] = tokens[a:z], end_id
-                    for s in range(0, len(own), size):
-                        piece = own[s : s + size]
+                    s = 0
+                    for e in cuts(len(own), size):
+                        piece = own[s:e]
                         rows.append((ids[d], s, len(piece), zlib.crc32(piece), len(own)))
                         if keep_ids:
                             kept.append(piece.astype(np.int32))
+                        s = e
             cols = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 5
             names = [f.name for f in PIECE.fields]
             if keep_ids:
