@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 _ODD = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+MASK64 = (1 << 64) - 1
 
 
 _own_dir: list[str] = []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from qlog.llm.common import table
-from qlog.llm import decontaminate, packing
+from qlog.llm import decontaminate, ngram_join, packing, topk
 from qlog.llm.quality import quality_digest
 from qlog.llm.toxicity import toxicity_digest
 
@@ -24,6 +24,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -32,9 +40,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op4_toxicity": op4_toxicity,
     "op6_decontamination": op6_decontamination,
+    "op7_ngram_join": op7_ngram_join,
     "op8_packing": op8_packing,
+    "op9_exact_topk": op9_exact_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": decontaminate.DIGEST_SQL,
+    "op7_ngram_join": ngram_join.DIGEST_SQL,
+    "op9_exact_topk": topk.DIGEST_SQL,
 }
