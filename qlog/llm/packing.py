@@ -128,7 +128,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, size: int, keep_
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, size: int = 4096, keep_ids: bool = False, ranks_a_task: int = 512) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, size: int = 4096, keep_ids: bool = False, ranks_a_task: int = 128) -> DataFrame:
     """Pieces of all documents with the sequence and the offset they are packed at.
 
     ``keep_ids`` adds each piece's token ids. Null and empty texts are one piece of ``end_id`` alone.
