@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from qlog.llm.common import table, written
+from qlog.llm.decontaminate import remove_contaminated
+from qlog.llm.ngram_join import jaccard_components
+from qlog.llm.packing import pack
+from qlog.llm.pii import pseudonymise
 from qlog.llm.toxicity import fit_toxicity, score_toxicity
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below their language's threshold."""
@@ -18,7 +21,42 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).where("not rejected").select(docs.columns)
 
 
-STAGES: list[tuple[str, Callable]] = [("toxicity", drop_toxic)]
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, the one with the smallest id; all that are linked with nothing.
+
+    Rows that repeat an id and its text are one document. Rows without an id stay.
+    """
+    linked = jaccard_components(docs)
+    dropped = linked.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.withColumn("_h", F.xxhash64("text")).join(dropped, "doc_id", "left_anti")
+    named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "_h"])
+    return named.unionByName(kept.where("doc_id is null")).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover under a twentieth."""
+    return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data; ``n_chars`` follows the new text."""
+    out = pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(docs.columns)
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequences and offsets."""
+    return pack(docs)
+
+
+STAGES: list[tuple[str, Callable]] = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", replace_pii),
+    ("packing", pack_documents),
+]
+#: Trained scores, keyed surrogates and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
