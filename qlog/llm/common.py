@@ -48,6 +48,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most_rows: int) -> DataFrame:
+    """A broadcast of a written table if its count is at most ``most_rows``, else the table as it is."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
