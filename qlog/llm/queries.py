@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from qlog.llm.common import table
-from qlog.llm import decontaminate, ngram_join, packing, pii, topk
+from qlog.llm import decontaminate, licenses, ngram_join, packing, pii, secrets, token_counts, topk
 from qlog.llm.quality import quality_digest
 from qlog.llm.toxicity import toxicity_digest
 
@@ -20,6 +20,18 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digest(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_digest(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.maintained_counts(spark, sf_dir)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,14 +55,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_pii": op2_pii,
+    "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
+    "op5_secret_scan": op5_secret_scan,
     "op6_decontamination": op6_decontamination,
     "op7_ngram_join": op7_ngram_join,
     "op8_packing": op8_packing,
     "op9_exact_topk": op9_exact_topk,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": licenses.digest_sql(),
     "op6_decontamination": decontaminate.DIGEST_SQL,
     "op7_ngram_join": ngram_join.DIGEST_SQL,
     "op9_exact_topk": topk.DIGEST_SQL,
