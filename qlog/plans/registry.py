@@ -1,9 +1,15 @@
 """All queries of the engine's own operators and their SQL twins."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from qlog.plans import q_baseline
 
+MODULES = [q_baseline]
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict:
+    return {name: f for m in MODULES for name, f in m.Q.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: s for m in MODULES for name, s in m.SQL.items()}
