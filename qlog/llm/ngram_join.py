@@ -25,8 +25,8 @@ from qlog.llm.graph import components
 #: ASCII blanks separate words; everything else belongs to them.
 WORD_BYTES = np.array([0 if b in (9, 10, 11, 12, 13, 32) else 1 for b in range(256)], np.uint8)
 TILE, PIVOTS, SMALL_ROWS = 224, 32, 128
-#: Tables of two to four numbers a row go to the executors as a broadcast up to so many rows, else by shuffle.
-SEND_ROWS = 1_000_000
+#: The table that picks the texts of candidates (four numbers a row) is broadcast up to so many rows, else shuffled.
+SEND_ROWS = 500_000
 
 
 class Bands:
@@ -218,7 +218,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     feats = written(features(docs, n, bands), "features")
     pairs = feats.where("v is not null").select("v", F.explode("keys").alias("key"))
     shared = written(pairs.groupBy("key").agg(F.min("v").alias("m"), F.max("v").alias("z")).where("m <> z").select("key", "m"), "shared")
-    group = components(pairs.join(small(shared, SEND_ROWS), "key").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")))
+    group = components(pairs.join(shared, "key").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")))
     group = group.select(F.col("node").alias("v"), F.col("component").alias("cc"))
     # one text for each vertex that shares a part with another
     chosen = written(feats.join(group, "v").groupBy("v").agg(F.min(F.struct("doc_id", "th")).alias("d"), F.min("cc").alias("cc")).select("v", "cc", F.col("d.doc_id").alias("d"), "d.th"), "chosen")

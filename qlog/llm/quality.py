@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qlog.llm.classify import Adam, sigmoid, temperature, training_sample
+from qlog.llm.classify import Adam, release, sigmoid, temperature, training_sample
 from qlog.llm.common import U64, Hasher, fold, mix, spans, text_slices
 
 NONZERO, WINDOW, FAN_IN, PARTS = 4, 2, 64, 16
@@ -164,6 +164,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
     back = np.arange(len(y)) % 5 == 4
     model = fit_network(pooled[~back], y[~back], vectors)
     model.heat = temperature(model.logits(pooled[back]).astype(np.float64), y[back])
+    del sample, pooled, sums
+    release()
     return model
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qlog.llm.classify import Adam, sigmoid, temperature, training_sample
+from qlog.llm.classify import Adam, release, sigmoid, temperature, training_sample
 from qlog.llm.common import U64, Hasher, fold, spans, text_slices
 
 WIDTHS = (1, 2, 3)
@@ -158,7 +158,7 @@ def score_texts(model: ToxicityModel, texts: pa.Array) -> np.ndarray:
     return sigmoid(np.concatenate(parts) / model.heat) if parts else np.zeros(0)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, most_rows: int = 8000, most_chars: int = 40_000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, most_rows: int = 6000, most_chars: int = 40_000) -> ToxicityModel:
     """Fit on at most ``most_rows`` labelled texts outside fold ``held`` (see ``training_sample``).
 
     A fifth of the sample is kept back to set the temperature and the thresholds: for each language
@@ -188,6 +188,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
                     f1 = [2 * ((p >= g) & (t > 0)).sum() / max(1, (p >= g).sum() + t.sum()) for g in grid]
                     best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-12)
                     model.thresholds[str(lang)] = round(float(grid[best].mean()), 3)
+    del sample, texts
+    release()
     return model
 
 
