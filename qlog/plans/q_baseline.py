@@ -10,11 +10,14 @@ from qlog.plans import base
 from qlog.plans.base import DECISIONS, KEYS, SAMPLES, STATS
 
 Q, SQL = {}, {}
-BUCKET = ["layer", F.col("bucket_date").cast("string").alias("bucket_date"), F.col("bucket_number").cast("long").alias("bucket_number")]
 BUCKET_SQL = "layer, CAST(bucket_date AS VARCHAR) AS bucket_date, CAST(bucket_number AS BIGINT) AS bucket_number"
 KEYS_SQL = ", ".join(KEYS)
 
 
+def bucket() -> list:
+    return ["layer", F.col("bucket_date").cast("string").alias("bucket_date"), F.col("bucket_number").cast("long").alias("bucket_number")]
+
+
 def query(name: str, sql: str | None = None):
     def keep(f):
         Q[name] = f
@@ -31,7 +34,7 @@ METRIC_SQL = ", ".join(f"round({m}, 6) AS {m}" for m in baseline.METRICS)
 @query("baseline_layers", f"WITH {STATS} SELECT {KEYS_SQL}, {BUCKET_SQL}, included_count, excluded_count, {METRIC_SQL} FROM st")
 def baseline_layers(spark, d):
     """AGG-01..09, 11: five layers, seventeen metrics."""
-    return base.statistics(spark, d).select(*KEYS, *BUCKET, "included_count", "excluded_count", *[F.round(m, 6).alias(m) for m in baseline.METRICS])
+    return base.statistics(spark, d).select(*KEYS, *bucket(), "included_count", "excluded_count", *[F.round(m, 6).alias(m) for m in baseline.METRICS])
 
 
 @query(
@@ -63,7 +66,7 @@ SELECT {KEYS_SQL}, {BUCKET_SQL}, metric, CASE WHEN included_count = 0 THEN 'no_s
 )
 def baseline_null_reasons(spark, d):
     """AGG-10."""
-    return base.statistics(spark, d).select(*KEYS, *BUCKET, F.explode("metric_null_reasons").alias("metric", "reason"))
+    return base.statistics(spark, d).select(*KEYS, *bucket(), F.explode("metric_null_reasons").alias("metric", "reason"))
 
 
 @query(
@@ -73,7 +76,7 @@ SELECT {KEYS_SQL}, {BUCKET_SQL}, code, count(*) AS n FROM c GROUP BY ALL""",
 )
 def baseline_exclusions(spark, d):
     """AGG-12, QRY-36 source."""
-    return base.statistics(spark, d).select(*KEYS, *BUCKET, F.explode("exclusions_by_reason").alias("code", "n"))
+    return base.statistics(spark, d).select(*KEYS, *bucket(), F.explode("exclusions_by_reason").alias("code", "n"))
 
 
 @query(
@@ -87,7 +90,7 @@ layer = 'week' AND (bucket_date < DATE '{base.WINDOW[0]}' OR bucket_date + 7 > D
 def baseline_activity(spark, d):
     """AGG-13..15."""
     return base.statistics(spark, d).select(
-        *KEYS, *BUCKET, F.array_join(F.col("active_dates").cast("array<string>"), ",").alias("active_dates"), F.array_join(F.col("active_weeks").cast("array<string>"), ",").alias("active_weeks"),
+        *KEYS, *bucket(), F.array_join(F.col("active_dates").cast("array<string>"), ",").alias("active_dates"), F.array_join(F.col("active_weeks").cast("array<string>"), ",").alias("active_weeks"),
         cal.micros(F.col("first_sample_at")).alias("first_us"), cal.micros(F.col("last_sample_at")).alias("last_us"), base.day_text("range_start"), base.day_text("range_end"), "partial_week",
     )
 
@@ -149,7 +152,7 @@ def baseline_sufficiency(spark, d):
     """AGG-19, 20."""
     out = baseline.sufficiency(base.statistics(spark, d))
     cols = [c for n in ("basic", "p95", "p99") for c in (F.col(f"{n}.met").alias(f"{n}_met"), F.array_join(f"{n}.reasons", ",").alias(f"{n}_reasons"))]
-    return out.select(*KEYS, *BUCKET, *cols, F.col("basic.actual_coverage").alias("actual_coverage"))
+    return out.select(*KEYS, *bucket(), *cols, F.col("basic.actual_coverage").alias("actual_coverage"))
 
 
 @query(

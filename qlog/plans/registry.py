@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from qlog.plans import q_baseline
+from qlog.plans import q_baseline, q_facts, q_search
 
-MODULES = [q_baseline]
+MODULES = [q_baseline, q_facts, q_search]
 
 
 def queries() -> dict:
