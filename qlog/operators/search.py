@@ -104,7 +104,9 @@ def history(records: DataFrame, cursor: tuple | None, limit: int) -> DataFrame:
     """QRY-11: a keyset page, newest first: rows after the cursor (end_at, analysis_id, occurrence_id); ``more`` tells of a next page."""
     key = F.struct("end_at", "analysis_id", "occurrence_id")
     if cursor is not None:
-        records = records.where(key < F.struct(*[F.lit(c) for c in cursor]))
+        kinds = dict(records.dtypes)
+        after = [F.lit(v).cast(kinds[c]) for v, c in zip(cursor, ('end_at', 'analysis_id', 'occurrence_id'))]
+        records = records.where(key < F.struct(*after))
     page = records.orderBy(F.desc("end_at"), F.desc("analysis_id"), F.desc("occurrence_id")).limit(limit + 1)
     order = Window.orderBy(F.desc("end_at"), F.desc("analysis_id"), F.desc("occurrence_id"))
     page = page.withColumn("n", F.row_number().over(order)).withColumn("more", F.max("n").over(Window.partitionBy()) > limit)

@@ -140,10 +140,10 @@ def publication_checks(spark, d):
 
 
 #: Publication log: one build an order of the first 12 customers' months; results by order status.
-LOG = """pl AS (SELECT 'C' || (o_custkey % 3) AS scope_id, 'B' || o_orderkey AS build_id, o_orderdate AS at,
+LOG = """pl AS (SELECT 'C' || (o_custkey % 3) AS scope_id, 'B' || o_orderkey AS build_id, o_orderdate AS stamp,
   CASE o_orderstatus WHEN 'F' THEN 'check_failed' WHEN 'P' THEN 'no_samples' ELSE 'published' END AS result, year(o_orderdate) AS year, month(o_orderdate) AS month, CAST(round(o_totalprice) AS BIGINT) AS bytes, o_orderpriority FROM orders),
 cl AS (SELECT DISTINCT build_id FROM pl WHERE o_orderpriority LIKE '1%'),
-cu AS (SELECT scope_id, max_by(build_id, {'a': at, 'b': build_id}) AS build_id, max(at) AS published_at FROM pl WHERE result = 'published' GROUP BY scope_id)"""
+cu AS (SELECT scope_id, max_by(build_id, {'a': stamp, 'b': build_id}) AS build_id, max(stamp) AS published_at FROM pl WHERE result = 'published' GROUP BY scope_id)"""
 
 
 def _log(spark, d):
@@ -168,7 +168,7 @@ def publication_current(spark, d):
 
 @query(
     "publication_history",
-    f"""WITH {LOG}, h AS (SELECT pl.*, row_number() OVER (PARTITION BY pl.scope_id ORDER BY at DESC, pl.build_id DESC) AS n, cu.build_id AS cur FROM pl LEFT JOIN cu USING (scope_id))
+    f"""WITH {LOG}, h AS (SELECT pl.*, row_number() OVER (PARTITION BY pl.scope_id ORDER BY stamp DESC, pl.build_id DESC) AS n, cu.build_id AS cur FROM pl LEFT JOIN cu USING (scope_id))
 SELECT scope_id, build_id, n, result, coalesce(build_id = cur, false) AND result = 'published' AS is_current, build_id IN (SELECT build_id FROM cl) AS cleaned,
 CASE WHEN result <> 'published' THEN 'published_version_not_found' WHEN build_id IN (SELECT build_id FROM cl) THEN 'results_cleaned' END AS unusable FROM h WHERE n <= 50""",
 )

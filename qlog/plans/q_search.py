@@ -59,7 +59,7 @@ def search_exact_identity(spark, d):
 
 _HITS = f"""{STATS}, q AS (SELECT * FROM x WHERE fingerprint IS NOT NULL),
 bs AS (SELECT DISTINCT 'F1' AS fingerprint, scope_id, database FROM st WHERE layer = 'overall' AND included_count > 0),
-h AS (SELECT fingerprint, scope_id, database, execution_user, count(*) AS records, min(end_at) AS first_at, max(end_at) AS last_at, array_to_string(list_sort(list(DISTINCT timing_type) FILTER (timing_type IS NOT NULL)), ',') AS timings,
+h AS (SELECT fingerprint, scope_id, database, execution_user, count(*) AS records, min(end_at) AS first_at, max(end_at) AS last_at, coalesce(array_to_string(list_sort(list(DISTINCT timing_type) FILTER (timing_type IS NOT NULL)), ','), '') AS timings,
   bool_or(timing_type IS NULL) AS has_unknown FROM q GROUP BY ALL)"""
 
 
@@ -78,8 +78,8 @@ def search_hits(spark, d):
 
 @query(
     "search_exact",
-    f"""WITH {_HITS}, w AS (SELECT 'F' || g AS fingerprint FROM range(0, 25) t(g)), s AS (SELECT fingerprint, sum(records) AS records, bool_or(fingerprint = 'F1' AND database IS NOT NULL) AS b FROM h GROUP BY fingerprint)
-SELECT fingerprint, CASE WHEN fingerprint = 'F13' THEN 'unreliable_fingerprint' WHEN records IS NULL THEN 'not_seen' WHEN b THEN 'has_baseline' ELSE 'records_without_baseline' END AS state, CAST(coalesce(records, 0) AS BIGINT) AS records FROM w LEFT JOIN s USING (fingerprint)""",
+    f"""WITH {_HITS}, w AS (SELECT 'F' || g AS fingerprint FROM range(0, 25) t(g)), sn AS (SELECT fingerprint, sum(records) AS records, bool_or(fingerprint = 'F1' AND database IS NOT NULL) AS b FROM h GROUP BY fingerprint)
+SELECT fingerprint, CASE WHEN fingerprint = 'F13' THEN 'unreliable_fingerprint' WHEN records IS NULL THEN 'not_seen' WHEN b THEN 'has_baseline' ELSE 'records_without_baseline' END AS state, CAST(coalesce(records, 0) AS BIGINT) AS records FROM w LEFT JOIN sn USING (fingerprint)""",
 )
 def search_exact(spark, d):
     """QRY-13."""

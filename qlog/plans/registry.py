@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from qlog.plans import q_baseline, q_facts, q_search
+from qlog.plans import q_baseline, q_facts, q_operations, q_records, q_search
 
-MODULES = [q_baseline, q_facts, q_search]
+MODULES = [q_baseline, q_facts, q_search, q_records, q_operations]
 
 
 def queries() -> dict:
