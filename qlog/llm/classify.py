@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from qlog.llm.common import fold
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most_rows: int, most_chars: int) -> pa.Table:
-    """Text and label of at most ``most_rows`` labelled rows outside the held-out fold.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most_rows: int, most_chars: int) -> DataFrame:
+    """doc_id, text, lang, y of at most ``most_rows`` labelled rows outside the held-out fold.
 
     The rows with the smallest hash of their id are taken, so the sample does not depend on file
     order; texts over ``most_chars`` characters, null texts and null or unclear labels (an id with
-    both values) are left out. Both bounds are parameters; only this sample reaches the driver.
+    both values) are left out, copies of a text count once. Both bounds are parameters.
     """
     chosen = (
         labels.select("doc_id", F.col(label).cast("int").alias("_y"))
@@ -29,28 +29,33 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most_rows)
     )
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     # at most most_rows rows of two numbers: small enough to broadcast by construction
     return (
-        docs.select("doc_id", "text")
+        docs.select("doc_id", "text", lang.cast("string").alias("lang"))
         .where(F.length("text").between(1, most_chars))
         .join(F.broadcast(chosen.select("doc_id", "_y")), "doc_id")
         .groupBy(F.xxhash64("text").alias("_h"), "_y")
-        .agg(F.min(F.struct("doc_id", "text")).alias("d"))
-        .select(F.col("d.doc_id").alias("doc_id"), F.col("d.text").alias("text"), F.col("_y").alias("y"))
+        .agg(F.min(F.struct("doc_id", "text", "lang")).alias("d"))
+        .select(F.col("d.doc_id").alias("doc_id"), "d.text", "d.lang", F.col("_y").alias("y"))
         .orderBy("doc_id")
         .limit(most_rows)
-        .toArrow()
     )
 
 
-def release() -> None:
-    """Give the memory of a finished training back to the system, so the driver keeps only the model."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # other C libraries have no such call
-        pass
+def fit_in_task(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """Model that ``fit`` makes of the (bounded) sample, trained in one task; only the model reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(pa.Table.from_batches(got)))], pa.binary())})
+
+    row = sample.coalesce(1).mapInArrow(run, "model binary").first()
+    if row is None:  # no labelled row at all
+        kinds = {"doc_id": pa.int64(), "text": pa.string(), "lang": pa.string(), "y": pa.int32()}
+        return fit(pa.table({n: pa.array([], k) for n, k in kinds.items()}))
+    return pickle.loads(row[0])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -107,8 +107,8 @@ def features(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, vertex, keys, ends = [], [], [], [0]
-            for _, _, raw, offsets in text_slices(b.column(2)):
+            for i, j, raw, offsets in text_slices(b.column(2)):
+                sizes, vertex, keys, ends = [], [], [], [0]
                 for s in shingle_sets(raw, offsets, n):
                     sizes.append(len(s))
                     if len(s):
@@ -118,9 +118,9 @@ def features(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
                     else:
                         vertex.append(None)
                         ends.append(ends[-1])
-            flat = pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64())
-            cols = [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(vertex, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "n_shingles", "v", "keys"])
+                flat = pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64())
+                cols = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(vertex, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "n_shingles", "v", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, v long, keys array<long>")
 
@@ -130,17 +130,17 @@ def _members(texts: DataFrame, n: int, bands: Bands) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, sizes, band, arrays = [], [], [], []
             for i, _, raw, offsets in text_slices(b.column(2)):
+                at, sizes, band, arrays = [], [], [], []
                 for k, s in enumerate(shingle_sets(raw, offsets, n), i):
                     for c in bands.of(len(s)):
                         at.append(k)
                         sizes.append(len(s))
                         band.append(c)
                         arrays.append(s.tobytes())
-            take = pa.array(at, pa.int64())
-            cols = [b.column(0).take(take), b.column(1).take(take), pa.array(sizes, pa.int64()), pa.array(band, pa.int32()), pa.array(arrays, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["cc", "v", "n", "c", "shingles"])
+                take = pa.array(at, pa.int64())
+                cols = [b.column(0).take(take), b.column(1).take(take), pa.array(sizes, pa.int64()), pa.array(band, pa.int32()), pa.array(arrays, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["cc", "v", "n", "c", "shingles"])
 
     return texts.select("cc", "v", "text").mapInArrow(run, "cc long, v long, n long, c int, shingles binary")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qlog.llm.classify import Adam, release, sigmoid, temperature, training_sample
+from qlog.llm.classify import Adam, fit_in_task, sigmoid, temperature, training_sample
 from qlog.llm.common import U64, Hasher, fold, mix, spans, text_slices
 
 NONZERO, WINDOW, FAN_IN, PARTS = 4, 2, 64, 16
@@ -158,15 +158,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", fold
     """
     sums = context_vectors(docs, buckets, dims).astype(np.float64)
     vectors = (sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1e-9)).astype(np.float32)
-    sample = training_sample(docs, labels, label, folds, held, most_rows, most_chars)
-    y = sample["y"].to_numpy().astype(np.float64)
-    pooled = pool(sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string()), vectors)
-    back = np.arange(len(y)) % 5 == 4
-    model = fit_network(pooled[~back], y[~back], vectors)
-    model.heat = temperature(model.logits(pooled[back]).astype(np.float64), y[back])
-    del sample, pooled, sums
-    release()
-    return model
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)  # buckets * dims * 4 bytes
+
+    def fit(sample: pa.Table) -> QualityModel:
+        y = sample["y"].to_numpy().astype(np.float64)
+        pooled = pool(sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string()), shared.value)
+        back = np.arange(len(y)) % 5 == 4
+        model = fit_network(pooled[~back], y[~back], shared.value)
+        model.heat = temperature(model.logits(pooled[back]).astype(np.float64), y[back])
+        return model
+
+    return fit_in_task(training_sample(docs, labels, label, folds, held, most_rows, most_chars), fit)
 
 
 def score_quality(docs: DataFrame, model: QualityModel, score: str = "score") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qlog.llm.classify import Adam, release, sigmoid, temperature, training_sample
+from qlog.llm.classify import Adam, fit_in_task, sigmoid, temperature, training_sample
 from qlog.llm.common import U64, Hasher, fold, spans, text_slices
 
 WIDTHS = (1, 2, 3)
@@ -166,30 +166,30 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds
     0.3 where a language has under 20 of them or only one label). Language never enters a score.
     An empty sample gives a model that scores every text 0.5 * its prior.
     """
-    sample = training_sample(docs, labels, label, folds, held, most_rows, most_chars)
+    return fit_in_task(training_sample(docs, labels, label, folds, held, most_rows, most_chars), fit_sample)
+
+
+def fit_sample(sample: pa.Table) -> ToxicityModel:
+    """Network, temperature and thresholds of one labelled sample (doc_id, text, lang, y)."""
     y = sample["y"].to_numpy().astype(np.float64)
     texts = sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string())
     back = np.arange(len(y)) % 5 == 4
     model = fit_network(texts.filter(pa.array(~back)), y[~back])
     if back.any():
-        s = score_texts(model, texts.filter(pa.array(back)))
-        logits = np.log(np.clip(s, 1e-9, 1 - 1e-9) / (1 - np.clip(s, 1e-9, 1 - 1e-9)))
+        s = np.clip(score_texts(model, texts.filter(pa.array(back))), 1e-9, 1 - 1e-9)
+        logits = np.log(s / (1 - s))
         model.heat = temperature(logits, y[back])
-        if "lang" in docs.columns:
-            ids = sample["doc_id"].filter(pa.array(back)).to_pylist()
-            spark = docs.sparkSession
-            keys = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-            langs = {r[0]: r[1] for r in docs.select("doc_id", "lang").join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.min("lang")).collect()}
-            of = np.array([langs.get(i) or "" for i in ids])
-            for lang in np.unique(of):
-                p, t = sigmoid(logits[of == lang] / model.heat), y[back][of == lang]
-                if lang and len(t) >= 20 and 0 < t.sum() < len(t):
-                    grid = np.arange(0.1, 0.91, 0.05)
-                    f1 = [2 * ((p >= g) & (t > 0)).sum() / max(1, (p >= g).sum() + t.sum()) for g in grid]
-                    best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-12)
-                    model.thresholds[str(lang)] = round(float(grid[best].mean()), 3)
-    del sample, texts
-    release()
+        of = np.array([x or "" for x in sample["lang"].to_pylist()])[back]
+        for lang in np.unique(of):
+            p, t = sigmoid(logits[of == lang] / model.heat), y[back][of == lang]
+            if lang and len(t) >= 20 and 0 < t.sum() < len(t):
+                grid = np.arange(0.1, 0.91, 0.05)
+                f1 = [2 * ((p >= g) & (t > 0)).sum() / max(1, (p >= g).sum() + t.sum()) for g in grid]
+                best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-12)
+                model.thresholds[str(lang)] = round(float(grid[best].mean()), 3)
+        whole = fit_network(texts, y)  # the kept-back rows have done their part
+        whole.heat, whole.thresholds = model.heat, model.thresholds
+        model = whole
     return model
 
 
