@@ -69,7 +69,7 @@ def metrics(layered: DataFrame, keys: list[str]) -> DataFrame:
         spread.alias("stddev_ms"),
         F.try_divide(spread, mean).alias("cv"),
         _ms(F.col("mad")).alias("mad_ms"),
-        (at["p75"] - at["p25"]).alias("iqr_ms"),
+        _ms(F.get("q", F.lit(2)) - F.get("q", F.lit(0))).alias("iqr_ms"),
         "log_median",
         "log_mad",
         F.try_divide(at["p95"], at["p50"]).alias("p95_p50"),

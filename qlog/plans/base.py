@@ -157,14 +157,14 @@ agg AS (
     quantile_cont(us, 0.25) FILTER (included) / 1000.0 AS p25_ms, quantile_cont(us, 0.5) FILTER (included) / 1000.0 AS p50_ms,
     quantile_cont(us, 0.75) FILTER (included) / 1000.0 AS p75_ms, quantile_cont(us, 0.9) FILTER (included) / 1000.0 AS p90_ms,
     quantile_cont(us, 0.95) FILTER (included) / 1000.0 AS p95_ms, quantile_cont(us, 0.99) FILTER (included) / 1000.0 AS p99_ms,
-    stddev_pop(us) FILTER (included) / 1000.0 AS stddev_ms, mad(CAST(us AS DOUBLE)) FILTER (included) / 1000.0 AS mad_ms,
+    stddev_pop(us) FILTER (included) / 1000.0 AS stddev_ms, (quantile_cont(us, 0.75) FILTER (included) - quantile_cont(us, 0.25) FILTER (included)) / 1000.0 AS iqr_ms, mad(CAST(us AS DOUBLE)) FILTER (included) / 1000.0 AS mad_ms,
     quantile_cont(ln(1 + ms), 0.5) FILTER (included) AS log_median, mad(ln(1 + ms)) FILTER (included) AS log_mad,
     list_sort(list(DISTINCT CAST(l AS DATE)) FILTER (included)) AS active_dates,
     list_sort(list(DISTINCT CAST(date_trunc('week', l) AS DATE)) FILTER (included)) AS active_weeks,
     min(start_at) FILTER (included) AS first_sample_at, max(start_at) FILTER (included) AS last_sample_at
   FROM lay GROUP BY ALL),
 st AS (
-  SELECT *, CASE WHEN mean_ms <> 0 THEN stddev_ms / mean_ms END AS cv, p75_ms - p25_ms AS iqr_ms,
+  SELECT *, CASE WHEN mean_ms <> 0 THEN stddev_ms / mean_ms END AS cv,
     CASE WHEN p50_ms <> 0 THEN p95_ms / p50_ms END AS p95_p50, CASE WHEN p50_ms <> 0 THEN p99_ms / p50_ms END AS p99_p50
   FROM agg)
 """
