@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qlog.llm.common import U64, Hasher, mix, spans, text_slices
+from qlog.llm.common import U64, Hasher, mix, spans, text_slices, written
 
 #: Digits, lower- and (folded) upper-case letters and every byte of a character beyond ASCII.
 WORD_BYTES = np.array([1 if (0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80) else 0 for b in range(256)], np.uint8)
@@ -220,6 +220,7 @@ def find_matches(docs: DataFrame, bench: DataFrame, window: int = 13, block_char
         hits = _search(keyed.select("_h", "text"), block(b)).where("n_hit > 0").select("_h", "matches", "items").dropDuplicates(["_h"])
         found = hits if found is None else found.unionByName(hits)
     found = found.groupBy("_h").agg(F.collect_list("matches").alias("_m"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = written(found, "found")
     base = _search(keyed, TestIndex(np.zeros(0, U64), np.zeros(BLOOM // 8, np.uint8), [], [])).drop("matches", "items", "n_hit", "longest")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

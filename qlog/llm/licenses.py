@@ -14,6 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qlog.llm.common import written
+
 SHINGLE, LEAST, MISS = 5, 0.8, 1e-6
 #: (length, step) of windows in words; a class takes templates of up to length - step + 1 words.
 CLASSES = [(8, 2), (16, 4), (32, 8), (64, 16), (128, 32)]
@@ -127,7 +129,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     share = F.size(F.array_intersect("shingles", "own")) / F.size("shingles")
     sure = met.select("_h", "license", share.alias("share")).where(F.col("share") >= LEAST).groupBy("_h", "license").agg(F.max("share").alias("containment"))
     lists = sure.groupBy("_h").agg(F.array_sort(F.collect_list(F.struct("license", "containment"))).alias(found))
-    out = keyed.join(lists, "_h", "left")
+    out = keyed.join(written(lists, "licenses"), "_h", "left")  # two plain shuffles: a hot text can be split
     return out.withColumn(found, F.coalesce(found, F.array().cast("array<struct<license:string,containment:double>>"))).select(*docs.columns, found)
 
 

@@ -205,7 +205,7 @@ def pseudonymise(docs: DataFrame, key: str = "local-key", found: str = "pii") ->
         texts = docs.select(F.sha2("text", 256).alias("_h"), F.explode(entities(F.col("text"))).alias("e")).withColumn("type", entity_type(F.col("e")))
         texts = texts.withColumn("form", normal(F.col("e"), F.col("type"))).select("_h", "type", "form").distinct()
         maps = texts.join(again, ["type", "form"]).groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct(pair, "turn"))).alias("_turns"))
-        work = docs.withColumn("_h", F.sha2("text", 256)).join(maps, "_h", "left").drop("_h")
+        work = docs.withColumn("_h", F.sha2("text", 256)).join(written(maps, "maps"), "_h", "left").drop("_h")  # maps are written: a hot text can be split
         turn_of = "_turns"
 
     def replaced(e: Column) -> Column:

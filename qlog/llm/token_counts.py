@@ -85,7 +85,7 @@ def maintained_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     hashed = docs.select("doc_id", "source", "lang", F.xxhash64("text").alias("th"))
-    first = hashed.groupBy("th").agg(F.min("doc_id").alias("kept"))
+    first = written(hashed.groupBy("th").agg(F.min("doc_id").alias("kept")), "first")
     counts = written(count_tokens(docs), "counts")
     gone = hashed.join(first, "th").where("doc_id <> kept").select("doc_id").distinct()
     removed = counts.join(gone, "doc_id", "left_semi")
