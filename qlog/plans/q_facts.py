@@ -162,7 +162,7 @@ def _cleaned(spark, d):
 
 @query("publication_current", f"WITH {LOG} SELECT scope_id, build_id, epoch_us(published_at) AS at_us FROM cu")
 def publication_current(spark, d):
-    """FCT-11."""
+    """FCT-11, JOI-09."""
     return facts.current_versions(_log(spark, d)).select("scope_id", "build_id", cal.micros(F.col("published_at")).alias("at_us"))
 
 
