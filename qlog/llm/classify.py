@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qlog.llm.common import fold
+from qlog.llm.common import fold, release
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most_rows: int, most_chars: int) -> DataFrame:
@@ -49,7 +49,10 @@ def fit_in_task(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if got:
-            yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(pa.Table.from_batches(got)))], pa.binary())})
+            made = pickle.dumps(fit(pa.Table.from_batches(got)))
+            got.clear()
+            release()
+            yield pa.RecordBatch.from_pydict({"model": pa.array([made], pa.binary())})
 
     row = sample.coalesce(1).mapInArrow(run, "model binary").first()
     if row is None:  # no labelled row at all

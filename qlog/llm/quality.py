@@ -113,7 +113,7 @@ def pool(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """Mean and standard deviation of the token vectors of each text, and its log length."""
     buckets, dims = vectors.shape
     parts = []
-    for i, j, raw, offsets in text_slices(texts, 1 << 20):
+    for i, j, raw, offsets in text_slices(texts, 1 << 19):
         tokens, first = token_buckets(raw, offsets, buckets)
         n = np.diff(first)
         out = np.zeros((j - i, 2 * dims + 1), np.float32)

@@ -59,7 +59,7 @@ def plain_pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 class Pieces:
     """Ids of pieces by hash: sorted hashes, and each one's run in an array of ids."""
 
-    def __init__(self, encode, most: int = 2_000_000):
+    def __init__(self, encode, most: int = 1_000_000):
         self.encode, self.most = encode, most
         self.clear()
 
@@ -92,7 +92,7 @@ class Encoder:
     def __init__(self, encode):
         self.pieces = Pieces(encode)
 
-    def runs(self, texts: pa.Array, most_bytes: int = 6 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def runs(self, texts: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first text, ids of a run of texts, end of each text's ids from 0 on)."""
         for i, _, raw, offsets in text_slices(texts, most_bytes):
             start, end, first = plain_pieces(raw, offsets)

@@ -152,7 +152,7 @@ def fit_network(texts: pa.Array, y: np.ndarray, buckets: int = 1 << 15, dims: in
 
 def score_texts(model: ToxicityModel, texts: pa.Array) -> np.ndarray:
     parts = []
-    for _, _, raw, offsets in text_slices(texts, 1 << 20):
+    for _, _, raw, offsets in text_slices(texts, 1 << 19):
         word, prefix, first = word_rows(raw, offsets, model.buckets, model.prefix_bytes)
         parts.append(model.logits((word, prefix), first))
     return sigmoid(np.concatenate(parts) / model.heat) if parts else np.zeros(0)
