@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from qlog.llm.common import written
+
 #: At least 16 key characters, one of them a digit, not inside a longer run.
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,120}[0-9])[A-Za-z0-9+/_=-]{16,}"
 # Names that credentials are assigned to, paths of test material, frequent word parts.
@@ -87,7 +89,8 @@ def fit_forest(labelled: DataFrame, most_rows: int = 20_000, trees: int = 30, de
 
     ``labelled``: findings with features and ``label`` (0 or 1). Gives None where a label is missing altogether.
     """
-    sample = labelled.where(F.col("label").isin(0.0, 1.0)).orderBy(F.xxhash64("doc_id", "place", "value"), "doc_id", "place").limit(most_rows).select(*FEATURES, "label")
+    sample = labelled.where(F.col("label").isin(0.0, 1.0)).orderBy(F.xxhash64("doc_id", "place", "value"), "doc_id", "place").limit(most_rows)
+    sample = written(sample.select(*FEATURES, "label"), "findings")  # read several times by the training
     kinds = {r[0] for r in sample.select("label").distinct().collect()}  # two values at most
     if len(kinds) < 2:
         return None
