@@ -143,7 +143,8 @@ lay AS (
 
 
 def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return baseline.statistics(samples(spark, sf_dir), KEYS, *window_dates())
+    """All buckets of the build. Samples are kept, as counts, metrics and exclusions each read them (on disk where memory is short)."""
+    return baseline.statistics(samples(spark, sf_dir).cache(), KEYS, *window_dates())
 
 
 STATS = (
