@@ -77,6 +77,11 @@ def normal(e: Column, kind: Column) -> Column:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it; keeps plans small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _dealt(e: Column, slot: str, values: Column) -> Column:
     """``e`` with its matches of ``slot`` (one character each) replaced by the elements of ``values``."""
     gaps = F.split(e, slot, -1)
@@ -120,14 +125,14 @@ def _name(e: Column, key: str, turn: Column) -> Column:
     bare = F.regexp_replace(title, r"\.$", "")
     female = bare.isin(TITLES["latin", "f"] + TITLES["cyrillic", "f"])
     stem = F.when(cyrillic, F.regexp_replace(surname, "а$", "")).otherwise(surname)
-    h = _hash(key, F.lit("surname"), stem, turn)
+    hashed = _hash(key, F.lit("surname"), stem, turn)
     g = _hash(key, F.when(female, "given f").otherwise("given m"), given, F.lit(0))
 
-    def made(script: str) -> Column:
+    def made(script: str, h: Column) -> Column:
         three = F.concat(*[_pick(SYLLABLES[script], _number(h, 1 + 4 * k)) for k in range(3)])
-        return F.concat(F.upper(F.substring(three, 1, 1)), F.substring(three, 2, 100))
+        return F.initcap(three)
 
-    last = F.when(cyrillic, F.concat(made("cyrillic"), F.when(female, "ова").otherwise("ов"))).otherwise(made("latin"))
+    last = _let(hashed, lambda h: F.when(cyrillic, F.concat(made("cyrillic", h), F.when(female, "ова").otherwise("ов"))).otherwise(made("latin", h)))
     first = F.when(cyrillic, F.when(female, _pick(GIVEN["cyrillic", "f"], _number(g, 1))).otherwise(_pick(GIVEN["cyrillic", "m"], _number(g, 1)))).otherwise(
         F.when(female, _pick(GIVEN["latin", "f"], _number(g, 1))).otherwise(_pick(GIVEN["latin", "m"], _number(g, 1)))
     )
@@ -136,8 +141,11 @@ def _name(e: Column, key: str, turn: Column) -> Column:
 
 def surrogate(e: Column, kind: Column, form: Column, key: str, turn: Column) -> Column:
     """Replacement of entity ``e``; ``turn`` counts the draws that a collision made necessary."""
-    h = _hash(key, kind, form, turn)
-    more = F.concat(_digits(h), _digits(F.sha2(F.concat(h, F.lit("+")), 256)))
+    digits = lambda h: F.concat(_digits(h), _digits(F.sha2(F.concat(h, F.lit("+")), 256)))
+    return _let(_hash(key, kind, form, turn), lambda h: _let(digits(h), lambda more: _surrogate(e, kind, form, key, turn, h, more)))
+
+
+def _surrogate(e: Column, kind: Column, form: Column, key: str, turn: Column, h: Column, more: Column) -> Column:
     top_level = F.regexp_extract(e, r"\.[^.@]+$", 0)
     head = F.substring(e, F.lit(1), F.length(e) - F.length(top_level))
     letters = F.concat(_letters(h), _letters(F.sha2(F.concat(h, F.lit("a")), 256)), _letters(F.sha2(F.concat(h, F.lit("b")), 256)), _letters(F.sha2(F.concat(h, F.lit("c")), 256)))
@@ -173,7 +181,7 @@ def redraws(docs: DataFrame, key: str, rounds: int = 20) -> DataFrame:
     turns = known.withColumn("turn", F.lit(0))
     real = known.select("type", F.col("form").alias("s"))
     for n in range(1, rounds + 1):
-        drawn = turns.withColumn("s", normal(surrogate(F.col("e"), F.col("type"), F.col("form"), key, F.col("turn")), F.col("type")))
+        drawn = turns.withColumn("s", _let(surrogate(F.col("e"), F.col("type"), F.col("form"), key, F.col("turn")), lambda x: normal(x, F.col("type"))))
         shared = drawn.groupBy("type", "s").agg(F.min("form").alias("first"), F.count("*").alias("k"))
         taken = shared.where("k > 1").select("type", "s", "first").unionByName(drawn.select("type", "s").distinct().join(real, ["type", "s"]).withColumn("first", F.lit(None).cast("string")))
         taken = taken.groupBy("type", "s").agg(F.min(F.struct(F.col("first").isNotNull().alias("free"), "first")).alias("t"))
@@ -208,11 +216,11 @@ def pseudonymise(docs: DataFrame, key: str = "local-key", found: str = "pii") ->
         work = docs.withColumn("_h", F.sha2("text", 256)).join(written(maps, "maps"), "_h", "left").drop("_h")  # maps are written: a hot text can be split
         turn_of = "_turns"
 
+    def turn(kind: Column, form: Column) -> Column:
+        return F.lit(0) if turn_of is None else F.coalesce(F.try_element_at(F.col(turn_of), F.concat_ws("|", kind, form)), F.lit(0))
+
     def replaced(e: Column) -> Column:
-        kind = entity_type(e)
-        form = normal(e, kind)
-        turn = F.lit(0) if turn_of is None else F.coalesce(F.try_element_at(F.col(turn_of), F.concat_ws("|", kind, form)), F.lit(0))
-        return surrogate(e, kind, form, key, turn)
+        return _let(entity_type(e), lambda kind: _let(normal(e, kind), lambda form: surrogate(e, kind, form, key, turn(kind, form))))
 
     own = work.withColumn("_e", entities(F.col("text")))
     new = F.array_append(F.transform("_e", replaced), F.lit(""))
