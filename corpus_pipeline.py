@@ -24,6 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents, the one with the smallest id; all that are linked with nothing.
 
+    Linked are documents with a Jaccard of at least 0.9 of their three-word shingles.
     Rows that repeat an id and its text are one document. Rows without an id stay.
     """
     linked = jaccard_components(docs)
