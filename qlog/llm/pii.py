@@ -10,6 +10,8 @@ different entities with one surrogate, and surrogates that are real entities; th
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from qlog.llm.common import written
 
 #: Largest number of redrawn entities that go to the rewriting as one broadcast map; more are joined by text.
 MAP_LIMIT = 50_000
+#: Draws after which a number's format is held to have no room left.
+MOST_ROUNDS = 200
 
 # Titles by gender and script, and the syllables and given names that surrogate names are made of.
 TITLES = {
@@ -38,6 +42,8 @@ SYLLABLES = {
 
 _ADDRESS = r"[\p{L}\p{N}._%+-]"
 _TITLE_WORDS = "|".join(t for ts in TITLES.values() for t in ts)
+#: The titles that a name begins with, and the blank after them.
+TITLED = rf"^(?:{_TITLE_WORDS})\.? "
 PATTERN = "|".join(
     [
         rf"(?<!{_ADDRESS}){_ADDRESS}++@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)+",
@@ -117,39 +123,108 @@ def _pick(words: list[str], n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]), n % len(words) + 1)
 
 
-def _name(e: Column, key: str, turn: Column) -> Column:
-    """Title kept; given name by gender and script; surname of three syllables (Cyrillic ones end by gender)."""
-    parts = F.split(e, " ")
-    title, given, surname = F.element_at(parts, 1), F.element_at(parts, 2), F.element_at(parts, -1)
-    cyrillic = surname.rlike(r"\p{IsCyrillic}")
-    bare = F.regexp_replace(title, r"\.$", "")
-    female = bare.isin(TITLES["latin", "f"] + TITLES["cyrillic", "f"])
-    stem = F.when(cyrillic, F.regexp_replace(surname, "а$", "")).otherwise(surname)
-    hashed = _hash(key, F.lit("surname"), stem, turn)
-    g = _hash(key, F.when(female, "given f").otherwise("given m"), given, F.lit(0))
+def _parts(e: Column) -> tuple[Column, Column]:
+    """Titles of a name with the blank after them, and the words of the rest; the last one is the surname."""
+    title = F.regexp_extract(e, TITLED, 0)
+    return title, F.split(F.substring(e, F.length(title) + 1, F.length(e)), " ")
 
-    def made(script: str, h: Column) -> Column:
-        three = F.concat(*[_pick(SYLLABLES[script], _number(h, 1 + 4 * k)) for k in range(3)])
-        return F.initcap(three)
 
-    last = _let(hashed, lambda h: F.when(cyrillic, F.concat(made("cyrillic", h), F.when(female, "ова").otherwise("ов"))).otherwise(made("latin", h)))
-    first = F.when(cyrillic, F.when(female, _pick(GIVEN["cyrillic", "f"], _number(g, 1))).otherwise(_pick(GIVEN["cyrillic", "m"], _number(g, 1)))).otherwise(
-        F.when(female, _pick(GIVEN["latin", "f"], _number(g, 1))).otherwise(_pick(GIVEN["latin", "m"], _number(g, 1)))
+def _cyrillic(word: Column) -> Column:
+    return word.rlike(r"\p{IsCyrillic}")
+
+
+def _gender(title: Column) -> Column:
+    bare = F.regexp_extract(title, r"^[^ .]+", 0)
+    return F.when(bare.isin(TITLES["latin", "f"] + TITLES["cyrillic", "f"]), "f").otherwise("m")
+
+
+def _stem(surname: Column) -> Column:
+    """Surname without its Cyrillic feminine ending."""
+    return F.when(_cyrillic(surname), F.regexp_replace(surname, "а$", "")).otherwise(surname)
+
+
+def _syllables(script: str, h: Column, count: Column) -> Column:
+    """Up to 16 syllables dealt by a hash."""
+    return F.array_join(F.transform(F.sequence(F.lit(1), count), lambda k: _pick(SYLLABLES[script], F.conv(F.substring(h, 4 * k - 3, F.lit(4)), 16, 10).cast("int"))), "")
+
+
+def _surname(stem: Column, key: str, turn: Column) -> Column:
+    """Three syllables, and one more with each draw (Cyrillic ones end in the masculine ending)."""
+    count = F.least(turn + 3, F.lit(16))
+    return _let(
+        _hash(key, F.lit("surname"), stem, turn),
+        lambda h: F.when(_cyrillic(stem), F.concat(F.initcap(_syllables("cyrillic", h, count)), F.lit("ов"))).otherwise(F.initcap(_syllables("latin", h, count))),
     )
-    return F.when(F.size(parts) > 2, F.concat_ws(" ", title, first, last)).otherwise(F.concat_ws(" ", title, last))
+
+
+def _given(word: Column, gender: Column, cyrillic: Column, key: str, turn: Column) -> Column:
+    """A given name by gender and script; from the third draw on with syllables added."""
+
+    def made(script: str, h: Column) -> Column:
+        first = F.when(gender == "f", _pick(GIVEN[script, "f"], _number(h, 1))).otherwise(_pick(GIVEN[script, "m"], _number(h, 1)))
+        return F.when(turn > 1, F.concat(first, _syllables(script, F.sha2(h, 256), F.least(F.greatest(turn - 1, F.lit(1)), F.lit(16))))).otherwise(first)
+
+    return _let(_hash(key, F.concat(F.lit("given "), gender), word, turn), lambda h: F.when(cyrillic, made("cyrillic", h)).otherwise(made("latin", h)))
+
+
+def _given_form(stem: Column, gender: Column, word: Column) -> Column:
+    return F.concat_ws("|", stem, gender, word)
+
+
+def _name(e: Column, key: str, turn) -> Column:
+    """Titles kept; given names by gender and script; surname by its stem (Cyrillic ones end by gender).
+
+    ``turn(type, form)`` gives the draw of a surname and of a given name within its surname.
+    """
+    title, words = _parts(e)
+
+    def whole(surname: Column, gender: Column) -> Column:
+        stem, cyrillic = _stem(surname), _cyrillic(surname)
+        last = F.concat(_surname(stem, key, turn(F.lit("surname"), stem)), F.when(cyrillic & (gender == "f"), "а").otherwise(""))
+        given = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: _given(w, gender, cyrillic, key, turn(F.lit("given"), _given_form(stem, gender, w))))
+        return F.concat(title, F.array_join(F.array_append(given, last), " "))
+
+    return _let(F.struct(F.element_at(words, -1).alias("s"), _gender(title).alias("g")), lambda x: whole(x["s"], x["g"]))
+
+
+def units(e: Column) -> Column:
+    """(type, form, e) of all that draws on its own in an entity: itself; of a name its surname and its given names."""
+
+    def unit(kind: Column, form: Column, own: Column) -> Column:
+        return F.struct(kind.alias("type"), form.alias("form"), own.alias("e"))
+
+    title, words = _parts(e)
+
+    def of_name(surname: Column, gender: Column) -> Column:
+        stem = _stem(surname)
+        given = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: unit(F.lit("given"), _given_form(stem, gender, w), w))
+        return F.array_append(given, unit(F.lit("surname"), stem, stem))
+
+    names = _let(F.struct(F.element_at(words, -1).alias("s"), _gender(title).alias("g")), lambda x: of_name(x["s"], x["g"]))
+    return _let(entity_type(e), lambda kind: F.when(kind == "name", names).otherwise(F.array(unit(kind, normal(e, kind), e))))
+
+
+def _drawn(kind: Column, form: Column, e: Column, key: str, turn: Column) -> Column:
+    """Surrogate of a unit in normal form; of a given name together with its surname's stem."""
+    parts = F.split(form, r"\|")
+    stem, gender, word = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
+    given = F.concat_ws("|", stem, _given(word, gender, _cyrillic(stem), key, turn))
+    other = _let(surrogate(e, kind, form, key, turn), lambda x: normal(x, kind))
+    return F.when(kind == "surname", _surname(form, key, turn)).when(kind == "given", given).otherwise(other)
 
 
 def surrogate(e: Column, kind: Column, form: Column, key: str, turn: Column) -> Column:
-    """Replacement of entity ``e``; ``turn`` counts the draws that a collision made necessary."""
+    """Replacement of entity ``e`` that is no name; ``turn`` counts the draws that a collision made necessary."""
     digits = lambda h: F.concat(_digits(h), _digits(F.sha2(F.concat(h, F.lit("+")), 256)))
-    return _let(_hash(key, kind, form, turn), lambda h: _let(digits(h), lambda more: _surrogate(e, kind, form, key, turn, h, more)))
+    return _let(_hash(key, kind, form, turn), lambda h: _let(digits(h), lambda more: _surrogate(e, kind, form, turn, h, more)))
 
 
-def _surrogate(e: Column, kind: Column, form: Column, key: str, turn: Column, h: Column, more: Column) -> Column:
+def _surrogate(e: Column, kind: Column, form: Column, turn: Column, h: Column, more: Column) -> Column:
     top_level = F.regexp_extract(e, r"\.[^.@]+$", 0)
     head = F.substring(e, F.lit(1), F.length(e) - F.length(top_level))
     letters = F.concat(_letters(h), _letters(F.sha2(F.concat(h, F.lit("a")), 256)), _letters(F.sha2(F.concat(h, F.lit("b")), 256)), _letters(F.sha2(F.concat(h, F.lit("c")), 256)))
-    email = F.concat(_dealt(_dealt(head, r"[\p{L}]", letters), "[0-9]", more), top_level)
+    longer = F.substring(F.translate(F.sha2(F.concat(h, F.lit("e")), 256), "0123456789abcdef", "abdefgiklmnoprst"), F.lit(1), turn)
+    email = F.concat(longer, _dealt(_dealt(head, r"[\p{L}]", letters), "[0-9]", more), top_level)
     country = F.regexp_extract(e, r"^\+[0-9]{1,3}", 0)
     country = F.when(F.startswith(e, F.lit("+1")), F.lit("+1")).otherwise(country)
     phone = F.concat(country, _dealt(F.substring(e, F.length(country) + 1, F.lit(1000)), "[0-9]", more))
@@ -159,9 +234,7 @@ def _surrogate(e: Column, kind: Column, form: Column, key: str, turn: Column, h:
     check = ((F.lit(10) - _luhn(F.array_append(body, F.lit("0"))) % 10) % 10).cast("string")
     number = F.when(_luhn(plain) % 10 == 0, _dealt(e, "[0-9]", F.array_append(body, check))).otherwise(_dealt(e, "[0-9]", more))
     iban = F.concat(F.substring(e, 1, 2), _dealt(F.substring(e, 3, 1000), "[0-9]", more))
-    return (
-        F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "iban", iban).when(kind.isin("ssn", "number"), number).otherwise(_name(e, key, turn))
-    )
+    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "iban", iban).otherwise(number)
 
 
 def entities(text: Column) -> Column:
@@ -169,19 +242,21 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
 
 
-def redraws(docs: DataFrame, key: str, rounds: int = 20) -> DataFrame:
-    """(type, form, turn) of the distinct entities that need another draw than the first.
+def redraws(docs: DataFrame, key: str) -> DataFrame:
+    """(type, form, turn) of the distinct units that need another draw than the first.
 
-    Each round, surrogates that several entities share, or that are real entities, are drawn again by
-    all but the smallest form. Ends when none is left; distinct entities then have distinct surrogates.
+    Each round, surrogates that several units share, or that are real ones, are drawn again by all but
+    the smallest form. Ends when none is left; distinct entities then have distinct surrogates. Names and
+    e-mail addresses grow with each draw, so their space never runs out; numbers keep their length, and a
+    corpus that holds nearly all numbers of one format raises an error after ``MOST_ROUNDS``.
     """
-    found = docs.select(F.explode(entities(F.col("text"))).alias("e")).withColumn("type", entity_type(F.col("e")))
+    found = docs.select(F.explode(entities(F.col("text"))).alias("e")).select(F.inline(units(F.col("e"))))
     # mentions that differ in punctuation only are one entity; its surrogate is compared in normal form
-    known = written(found.withColumn("form", normal(F.col("e"), F.col("type"))).groupBy("type", "form").agg(F.min("e").alias("e")), "entities")
+    known = written(found.groupBy("type", "form").agg(F.min("e").alias("e")), "entities")
     turns = known.withColumn("turn", F.lit(0))
     real = known.select("type", F.col("form").alias("s"))
-    for n in range(1, rounds + 1):
-        drawn = turns.withColumn("s", _let(surrogate(F.col("e"), F.col("type"), F.col("form"), key, F.col("turn")), lambda x: normal(x, F.col("type"))))
+    for n in itertools.count(1):
+        drawn = turns.withColumn("s", _drawn(F.col("type"), F.col("form"), F.col("e"), key, F.col("turn")))
         shared = drawn.groupBy("type", "s").agg(F.min("form").alias("first"), F.count("*").alias("k"))
         taken = shared.where("k > 1").select("type", "s", "first").unionByName(drawn.select("type", "s").distinct().join(real, ["type", "s"]).withColumn("first", F.lit(None).cast("string")))
         taken = taken.groupBy("type", "s").agg(F.min(F.struct(F.col("first").isNotNull().alias("free"), "first")).alias("t"))
@@ -189,6 +264,8 @@ def redraws(docs: DataFrame, key: str, rounds: int = 20) -> DataFrame:
         again = written(again.distinct(), "again")
         if again.isEmpty():
             break
+        if n > MOST_ROUNDS:
+            raise ValueError(f"surrogates still collide after {MOST_ROUNDS} draws: {again.groupBy('type').count().collect()}")
         turns = written(turns.join(again.withColumn("more", F.lit(1)), ["type", "form"], "left").select("type", "form", "e", (F.col("turn") + F.coalesce("more", F.lit(0))).alias("turn")), "turns")
     return turns.where("turn > 0").select("type", "form", "turn")
 
@@ -210,8 +287,8 @@ def pseudonymise(docs: DataFrame, key: str = "local-key", found: str = "pii") ->
         work = docs.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
         turn_of = "_turns"
     else:
-        texts = docs.select(F.sha2("text", 256).alias("_h"), F.explode(entities(F.col("text"))).alias("e")).withColumn("type", entity_type(F.col("e")))
-        texts = texts.withColumn("form", normal(F.col("e"), F.col("type"))).select("_h", "type", "form").distinct()
+        texts = docs.select(F.sha2("text", 256).alias("_h"), F.explode(entities(F.col("text"))).alias("e"))
+        texts = texts.select("_h", F.inline(units(F.col("e")))).select("_h", "type", "form").distinct()
         maps = texts.join(again, ["type", "form"]).groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct(pair, "turn"))).alias("_turns"))
         work = docs.withColumn("_h", F.sha2("text", 256)).join(written(maps, "maps"), "_h", "left").drop("_h")  # maps are written: a hot text can be split
         turn_of = "_turns"
@@ -220,7 +297,8 @@ def pseudonymise(docs: DataFrame, key: str = "local-key", found: str = "pii") ->
         return F.lit(0) if turn_of is None else F.coalesce(F.try_element_at(F.col(turn_of), F.concat_ws("|", kind, form)), F.lit(0))
 
     def replaced(e: Column) -> Column:
-        return _let(entity_type(e), lambda kind: _let(normal(e, kind), lambda form: surrogate(e, kind, form, key, turn(kind, form))))
+        other = lambda kind: _let(normal(e, kind), lambda form: surrogate(e, kind, form, key, turn(kind, form)))
+        return _let(entity_type(e), lambda kind: F.when(kind == "name", _name(e, key, turn)).otherwise(other(kind)))
 
     own = work.withColumn("_e", entities(F.col("text")))
     new = F.array_append(F.transform("_e", replaced), F.lit(""))

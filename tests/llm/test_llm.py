@@ -150,6 +150,20 @@ def test_pii_redraws_collisions(spark):
     assert sorted(again) == sorted(out)
 
 
+def test_pii_space_never_runs_out(spark):
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    names = [f"{a}{b}{c}x" for a in "ABCDEFGHIJKLMNOPQR" for b in abc for c in abc[:10]]  # more than three syllables give
+    texts = [f"Mr {n}, Mrs Anna {n}, Mr. {n}" for n in names] + [f"{a}@{b}.org" for a in abc for b in abc] + [f"Mr {g}x Kovacs" for g in abc.upper()]
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(frame(spark, texts), "k").collect()}
+    forms = [re.findall(r"\w+(?=,|$)", out[i]) for i in range(len(names))]
+    assert all(len(set(f)) == 1 and len(f) == 3 for f in forms)
+    assert len({f[0] for f in forms}) == len(names) > 4096 and not {f[0] for f in forms} & set(names)
+    mails = [out[i] for i in range(len(names), len(names) + 26 * 26)]
+    assert len(set(mails)) == 26 * 26 and not set(mails) & set(texts)
+    given = [out[i].split() for i in range(len(texts) - 26, len(texts))]
+    assert len({g[1] for g in given}) == 26 and len({g[2] for g in given}) == 1
+
+
 def test_pii_empty_table(spark):
     assert pii.pseudonymise(frame(spark, PII).where("false")).count() == 0
 
