@@ -1,6 +1,6 @@
 """Secret scans: a random forest removes false positives among key-like strings.
 
-Candidates are runs of key characters with a digit in them. Features are the candidate's length and
+Candidates are runs of key characters, and every value assigned to a credential's name. Features are the candidate's length and
 character mix, transitions between character classes, how much of it dictionary words cover, the
 document's path and the neighbouring words. A random forest of Spark's own, trained on labelled
 findings, scores every candidate. DataFrame functions only.
@@ -16,13 +16,23 @@ from pyspark.sql import functions as F
 
 from qlog.llm.common import written
 
-#: At least 16 key characters, one of them a digit, not inside a longer run.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,120}[0-9])[A-Za-z0-9+/_=-]{16,}"
 # Names that credentials are assigned to, paths of test material, frequent word parts.
-CREDENTIAL = r"(?i)(?:token|secret|password|passwd|pwd|api_?key|apikey|access_?key|auth|credential|private_?key)"
+CREDENTIAL = r"(?i:token|secret|password|passwd|pwd|api_?key|apikey|access_?key|auth(?!or(?!i[sz]))|credential|private_?key)"
+_KEY = "[A-Za-z0-9+/_-]"
+_SET = r"[\"']?\]?\s{0,4}+(?::=|=>|={1,2}+|:)\s{0,4}+"
+#: A credential's name up to the value that is assigned to it.
+ASSIGNED = rf"{CREDENTIAL}[A-Za-z0-9_.-]{{0,40}}{_SET}(?:(?i:bearer|basic)\s{{1,4}})?[\"']?+"
+#: A value: up to its closing quote, else up to a blank, a separator or the next parameter of a URL.
+_VALUE = r"(?:(?<=\")[^\"\r\n]+(?=\")|(?<=')[^'\r\n]+(?=')|(?:[^\s\"'`,;&<>=]|=(?!\s)|=++(?=\s|$)|&(?![\w.-]+=))+(?<![)\]}.]))"
+#: At least 16 key characters, not inside a longer run; a run that an assignment follows is its name and no candidate.
+_RUN = (
+    rf"(?<!{_KEY})(?={_KEY}{{16}})(?!{_KEY}{{0,80}}?{CREDENTIAL}{_KEY}{{0,40}}{_SET}[\"']?[^\s\"'=])"
+    rf"{_KEY}{{16,}}+(?!={{1,2}}(?:{_KEY}|[\"'][^\s\"',;:)\]}}>]))={{0,2}}"
+)
+CANDIDATE = rf"{ASSIGNED}{_VALUE}|{_RUN}"
 TEST_PATH = r"(?i)test|example|sample|fixture|mock|doc|lock|vendor"
 DICTIONARY = "tion|ing|the|and|for|ent|ter|con|pro|est|ver|der|lich|heit|keit|ung|sch|que|ment|eau|aux|mente|cion|dad|ado|list|name|user|data|file|page|index|value|type|code|test|item|time|date|line|text|key|id"
-PLACEHOLDER = r"(?i)^(?:x+|0+|1+|example.*|your.*|test.*|changeme.*|(.)\1{7,}.*)$"
+PLACEHOLDER = r"(?i)^(?:x+|0+|1+|example.*|your.*|test.*|changeme.*|(.)\1{7,}.*|none|null|nil|true|false|undefined|\*+|[$%{].*)$"
 
 FEATURES = ["length", "digits", "upper", "lower", "symbols", "transitions", "distinct", "dictionary", "hexadecimal", "test_path", "credential", "assigned", "quoted", "left_words", "right_word"]
 
@@ -38,9 +48,17 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     ``right`` are the 40 characters around it, ``th`` the hash of the text.
     """
     where = F.col(path) if path in docs.columns else F.lit(None).cast("string")
-    found = F.when(F.col("text").rlike("[0-9]"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text", where.cast("string").alias("path"), found.alias("v")).where(F.size("v") > 0)
-    rows = rows.select("doc_id", "th", "path", "v", F.split("text", CANDIDATE, -1).alias("g"))
+    found = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text", where.cast("string").alias("path"), found.alias("m")).where(F.size("m") > 0)
+    rows = rows.select("doc_id", "th", "path", "m", F.split("text", CANDIDATE, -1).alias("g"), F.transform("m", lambda x: F.regexp_extract(x, rf"^{ASSIGNED}(?=[^\s=])", 0)).alias("names"))
+    # a name belongs to the text before its value
+    rows = rows.select(
+        "doc_id",
+        "th",
+        "path",
+        F.zip_with("m", "names", lambda x, y: F.substring(x, F.length(y) + 1, F.length(x))).alias("v"),
+        F.zip_with("g", F.array_append("names", F.lit("")), lambda x, y: F.concat(x, y)).alias("g"),
+    )
     sizes = F.zip_with(F.transform("g", lambda x: F.length(x)), F.concat(F.transform("v", lambda x: F.length(x)), F.array(F.lit(0))), lambda a, b: F.named_struct(F.lit("a"), a, F.lit("b"), b))
     starts = F.aggregate(
         sizes,
@@ -48,10 +66,13 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
         lambda s, x: F.named_struct(F.lit("at"), s["at"] + x["a"] + x["b"], F.lit("all"), F.array_append(s["all"], s["at"] + x["a"])),
         lambda s: s["all"],
     )
-    each = rows.select("doc_id", "th", "path", "g", starts.alias("s"), F.posexplode("v").alias("place", "value"))
-    return each.select(
-        "doc_id", "th", "path", "place", F.get("s", F.col("place")).alias("start"), "value", F.right(F.get("g", F.col("place")), F.lit(40)).alias("left"), F.left(F.get("g", F.col("place") + 1), F.lit(40)).alias("right")
-    )
+
+    def one(v: Column, i: Column) -> Column:
+        left, right = F.right(F.get("g", i), F.lit(40)), F.left(F.get("g", i + 1), F.lit(40))
+        return F.struct(i.alias("place"), F.get("s", i).alias("start"), v.alias("value"), left.alias("left"), right.alias("right"))
+
+    each = rows.withColumn("s", starts).select("doc_id", "th", "path", F.inline(F.transform("v", one)))
+    return each.select("doc_id", "th", "path", "place", "start", "value", "left", "right")
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -70,7 +91,7 @@ def with_features(found: DataFrame) -> DataFrame:
             "hexadecimal": flag(F.lower(c).rlike("^[0-9a-f]+$")),
             "test_path": flag(F.col("path").rlike(TEST_PATH)),
             "credential": flag(F.col("left").rlike(CREDENTIAL)),
-            "assigned": flag(F.col("left").rlike(r"[=:]\s*[\"']?$")),
+            "assigned": flag(F.col("left").rlike(r"[=:]>?\s*[\"']?$")),
             "quoted": flag(F.col("left").rlike("[\"']$") & F.col("right").rlike("^[\"']")),
             "left_words": F.regexp_count("left", F.lit(r"\p{L}+")).cast("double"),
             "right_word": flag(F.col("right").rlike(r"^[\"']?\s+\p{L}")),
@@ -79,9 +100,13 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
-    """Labels where no reviewed findings are at hand: 1 for a value assigned to a credential's name, unless a placeholder."""
-    named = F.col("left").rlike(CREDENTIAL + r"\w*\s*[=:]\s*[\"']?$")
-    return found.withColumn("label", (named & ~F.col("value").rlike(PLACEHOLDER)).cast("double"))
+    """Labels where no reviewed findings are at hand: 1 for a value assigned to a credential's name, unless a placeholder.
+
+    A short word without quotes and digits that follows a blank is prose or code, and phrases are prose.
+    """
+    named, value = F.col("left").rlike(ASSIGNED + "$"), F.col("value")
+    key = value.rlike(r"[0-9]|^.{16}") | F.col("left").rlike(r"[=:\"']$")
+    return found.withColumn("label", (named & key & ~value.rlike(PLACEHOLDER) & ~value.rlike(r"\s")).cast("double"))
 
 
 def fit_forest(labelled: DataFrame, most_rows: int = 20_000, trees: int = 30, depth: int = 6, seed: int = 3):

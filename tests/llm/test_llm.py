@@ -225,6 +225,26 @@ def test_secrets_with_one_label_only(spark):
     assert secrets.secrets_digest(frame(spark, ["x"]).where("false")).count() == 0
 
 
+def test_secrets_in_common_forms(spark):
+    rng = random.Random(6)
+    some = lambda n, of="0123456789abcdef": "".join(rng.choice(of) for _ in range(n))
+    forms = [
+        ("API_KEY={}", lambda: some(32)), ("https://a.org/x?page=2&token={}&to=9", lambda: some(20)), ('"db_password": "{}"', lambda: some(22, "abcdefghijklmnopqrstuvwxyzABCDEFGH")), ('password = "{}"', lambda: f"Tr0ub4&{some(4)}"),
+        ("COMPANY_WIDE_SERVICE_SECRET='{}'", lambda: some(130, "abcdefghijkl") + "7"), ("Authorization: Bearer {}", lambda: some(28)), ("export DB_PASSWD={}", lambda: some(11)), ("key_for_all_access_token: {}", lambda: some(26) + "=="),
+    ]
+    values = [(form, make()) for form, make in forms for _ in range(25)]
+    texts = [f"so {form.format(v)} end" for form, v in values]
+    texts += [f"order {some(17, '123456789')} came" for _ in range(60)] + [f"on Internationalisierung{some(3, 'abc')} by author: Smith" for _ in range(60)]
+    docs = frame(spark, texts)
+    got = {}
+    for r in secrets.scan_secrets(docs).collect():
+        assert texts[r["doc_id"]][r["start"] : r["start"] + len(r["value"])] == r["value"]
+        if r["secret"]:
+            got.setdefault(r["doc_id"], []).append(r["value"])
+    assert got == {i: [v] for i, (_, v) in enumerate(values)}
+    assert {r["value"] for r in secrets.candidates(docs).where(f"doc_id < {len(values)}").collect()} == {v for _, v in values}
+
+
 # --- 6: decontamination ----------------------------------------------------------------------------
 
 
