@@ -1,6 +1,6 @@
 """PII: surrogates for detected entities, in DataFrame functions only.
 
-Entities are found by one pattern. Each becomes a surrogate that is a keyed hash of its type and
+Entities are found by one pattern, and names once more without their titles in the text that has them. Each becomes a surrogate that is a keyed hash of its type and
 normalised form, written in the format of the original: an e-mail address stays one, a phone number
 keeps its country code and its punctuation, an address of four octets keeps valid octets, a number that
 passes the Luhn check still passes it, a name keeps its title, gender and script. Equal entities have
@@ -26,6 +26,7 @@ MOST_ROUNDS = 200
 TITLES = {
     ("latin", "m"): ["Mr", "Herr", "Monsieur", "Señor", "Sr"],
     ("latin", "f"): ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra"],
+    ("latin", ""): ["Dr", "Prof", "Professor", "Doctor", "Doktor"],
     ("cyrillic", "m"): ["господин", "Господин", "г-н"],
     ("cyrillic", "f"): ["госпожа", "Госпожа", "г-жа"],
 }
@@ -40,24 +41,37 @@ SYLLABLES = {
     "cyrillic": ["ба", "до", "фен", "гар", "хол", "жин", "кел", "лум", "мар", "нор", "пел", "кин", "рос", "сел", "тор", "вен"],
 }
 
+#: Words inside a name that stay as they are.
+PARTICLES = ["von", "vom", "van", "zu", "zum", "zur", "de", "del", "der", "den", "des", "di", "da", "dos", "du", "la", "le", "ten", "ter", "bin", "ibn", "y", "e"]
+
 _ADDRESS = r"[\p{L}\p{N}._%+-]"
 _TITLE_WORDS = "|".join(t for ts in TITLES.values() for t in ts)
 #: The titles that a name begins with, and the blank after them.
-TITLED = rf"^(?:{_TITLE_WORDS})\.? "
+TITLED = rf"^(?:(?:{_TITLE_WORDS})\.? ){{1,3}}"
+_WORD = rf"(?!(?:{_TITLE_WORDS})(?!\p{{L}}))(?:[ae]l-|d['’])?(?:\p{{Lu}}\p{{L}}*(?:['’-]\p{{Lu}}\p{{L}}+)+|\p{{Lu}}\p{{L}}+)"
+_WORDS = rf"(?:(?:\p{{Lu}}\.|{'|'.join(PARTICLES)}) )*{_WORD}"
+_GROUP = "[0-9A-Fa-f]{1,4}"
 PATTERN = "|".join(
     [
         rf"(?<!{_ADDRESS}){_ADDRESS}++@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)+",
         r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
+        r"(?=\+(?:[ .()-]{0,2}[0-9]){8})\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
         r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
+        rf"(?<![\p{{L}}\p{{N}}:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}(?::{_GROUP}){{0,6}})?::(?:{_GROUP}(?::{_GROUP}){{0,6}})?)(?![\p{{L}}\p{{N}}:]|\.[0-9])",
         r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
         r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![\p{L}\p{N}])",
         r"(?<![0-9])[0-9]{4}(?:[ -][0-9]{4}){3}(?![0-9])",
+        r"(?<![0-9])[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5}(?![0-9])",
         r"(?<![0-9])[0-9]{13,19}(?![0-9])",
-        rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE_WORDS})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+        # national phone numbers: area code in brackets, groups of 3-3-4, a leading 0
+        r"(?<![\p{L}\p{N}])\([0-9]{2,5}\)[ .-]?[0-9]{2,4}[ .-]?[0-9]{3,5}(?![0-9])",
+        r"(?<![\p{L}\p{N}.,:/_-])(?:1[ .-])?[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.| [0-9]{3} )[0-9]{4}(?![0-9]|[.-][0-9])",
+        r"(?<![\p{L}\p{N}.,:/_-])(?![0-9]{2}[./-][0-9]{2}[./-](?:19|20)[0-9]{2}(?![0-9]))(?=0(?:[ /.-]?[0-9]){8,13}(?![0-9]))0(?:[0-9]{1,4}(?:[ /.-][0-9]{2,8}){1,4}|[1-9][0-9]{8,10})(?![0-9])",
+        rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE_WORDS})\.? ){{1,3}}{_WORDS}(?: {_WORDS})*",
     ]
 )
 #: No text without one of these can hold an entity; spares most texts the pattern.
-HINT = rf"[0-9]|@|(?:{_TITLE_WORDS})\.? \p{{Lu}}"
+HINT = rf"[0-9]|@|(?:{_TITLE_WORDS})\.? \p{{L}}"
 TYPES = ["email", "phone", "ip", "ssn", "iban", "number", "name"]
 
 
@@ -66,9 +80,11 @@ def entity_type(e: Column) -> Column:
         F.when(F.contains(e, F.lit("@")), "email")
         .when(F.startswith(e, F.lit("+")), "phone")
         .when(e.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
+        .when(e.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), "ip")
         .when(e.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(e.rlike(r"^[A-Z]{2}[0-9]{2}"), "iban")
-        .when(e.rlike(r"^[0-9]"), "number")
+        .when(e.rlike(r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"), "number")
+        .when(e.rlike(r"^[0-9(]"), "phone")
         .otherwise("name")
     )
 
@@ -76,7 +92,7 @@ def entity_type(e: Column) -> Column:
 def normal(e: Column, kind: Column) -> Column:
     """Form in which two mentions of one entity are equal."""
     return (
-        F.when(kind == "email", F.lower(e))
+        F.when(kind.isin("email", "ip"), F.lower(e))
         .when(kind.isin("phone", "ssn", "number"), F.regexp_replace(e, "[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(e, " ", ""))
         .otherwise(e)
@@ -133,9 +149,11 @@ def _cyrillic(word: Column) -> Column:
     return word.rlike(r"\p{IsCyrillic}")
 
 
-def _gender(title: Column) -> Column:
+def _gender(title: Column, words: Column) -> Column:
+    """By the first title; where that tells none, by the first given name."""
     bare = F.regexp_extract(title, r"^[^ .]+", 0)
-    return F.when(bare.isin(TITLES["latin", "f"] + TITLES["cyrillic", "f"]), "f").otherwise("m")
+    female = bare.isin(TITLES["latin", "f"] + TITLES["cyrillic", "f"]) | (bare.isin(TITLES["latin", ""]) & F.element_at(words, 1).isin(GIVEN["latin", "f"] + GIVEN["cyrillic", "f"]))
+    return F.when(female, "f").otherwise("m")
 
 
 def _stem(surname: Column) -> Column:
@@ -181,10 +199,10 @@ def _name(e: Column, key: str, turn) -> Column:
     def whole(surname: Column, gender: Column) -> Column:
         stem, cyrillic = _stem(surname), _cyrillic(surname)
         last = F.concat(_surname(stem, key, turn(F.lit("surname"), stem)), F.when(cyrillic & (gender == "f"), "а").otherwise(""))
-        given = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: _given(w, gender, cyrillic, key, turn(F.lit("given"), _given_form(stem, gender, w))))
+        given = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: F.when(w.isin(PARTICLES), w).otherwise(_given(w, gender, cyrillic, key, turn(F.lit("given"), _given_form(stem, gender, w)))))
         return F.concat(title, F.array_join(F.array_append(given, last), " "))
 
-    return _let(F.struct(F.element_at(words, -1).alias("s"), _gender(title).alias("g")), lambda x: whole(x["s"], x["g"]))
+    return _let(F.struct(F.element_at(words, -1).alias("s"), _gender(title, words).alias("g")), lambda x: whole(x["s"], x["g"]))
 
 
 def units(e: Column) -> Column:
@@ -197,10 +215,10 @@ def units(e: Column) -> Column:
 
     def of_name(surname: Column, gender: Column) -> Column:
         stem = _stem(surname)
-        given = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: unit(F.lit("given"), _given_form(stem, gender, w), w))
+        given = F.transform(F.filter(F.slice(words, 1, F.size(words) - 1), lambda w: ~w.isin(PARTICLES)), lambda w: unit(F.lit("given"), _given_form(stem, gender, w), w))
         return F.array_append(given, unit(F.lit("surname"), stem, stem))
 
-    names = _let(F.struct(F.element_at(words, -1).alias("s"), _gender(title).alias("g")), lambda x: of_name(x["s"], x["g"]))
+    names = _let(F.struct(F.element_at(words, -1).alias("s"), _gender(title, words).alias("g")), lambda x: of_name(x["s"], x["g"]))
     return _let(entity_type(e), lambda kind: F.when(kind == "name", names).otherwise(F.array(unit(kind, normal(e, kind), e))))
 
 
@@ -225,10 +243,11 @@ def _surrogate(e: Column, kind: Column, form: Column, turn: Column, h: Column, m
     letters = F.concat(_letters(h), _letters(F.sha2(F.concat(h, F.lit("a")), 256)), _letters(F.sha2(F.concat(h, F.lit("b")), 256)), _letters(F.sha2(F.concat(h, F.lit("c")), 256)))
     longer = F.substring(F.translate(F.sha2(F.concat(h, F.lit("e")), 256), "0123456789abcdef", "abdefgiklmnoprst"), F.lit(1), turn)
     email = F.concat(longer, _dealt(_dealt(head, r"[\p{L}]", letters), "[0-9]", more), top_level)
-    country = F.regexp_extract(e, r"^\+[0-9]{1,3}", 0)
+    country = F.regexp_extract(e, r"^(?:\+[0-9]{1,3}|\(?0)", 0)
     country = F.when(F.startswith(e, F.lit("+1")), F.lit("+1")).otherwise(country)
     phone = F.concat(country, _dealt(F.substring(e, F.length(country) + 1, F.lit(1000)), "[0-9]", more))
     ip = F.concat_ws(".", *[F.conv(F.substring(h, 1 + 2 * k, 2), 16, 10) for k in range(4)])
+    ip = F.when(F.contains(e, F.lit(":")), F.concat_ws(":", *[F.substring(h, 1 + 4 * k, 4) for k in range(8)])).otherwise(ip)
     plain = F.split(form, "")
     body = F.slice(more, 1, F.length(form) - 1)
     check = ((F.lit(10) - _luhn(F.array_append(body, F.lit("0"))) % 10) % 10).cast("string")
@@ -242,6 +261,16 @@ def entities(text: Column) -> Column:
     return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
 
 
+def repeats(found: Column) -> Column:
+    """Pattern of a text's entities and of its names without their titles; null where it has no names."""
+    names = F.filter(found, lambda e: e.rlike(TITLED))
+    rest = F.transform(names, lambda e: F.regexp_replace(e, TITLED, ""))
+    both = F.array_distinct(F.concat(rest, F.transform(rest, lambda r: F.element_at(F.split(r, " "), -1))))
+    # of names and letters only; dots of initials are the one special character
+    words = F.regexp_replace(F.array_join(both, "|"), r"\.", r"\\.")
+    return F.when(F.size(names) > 0, F.concat(F.lit(PATTERN + r"|(?<![\p{L}\p{N}])(?:"), words, F.lit(r")(?![\p{L}\p{N}])")))
+
+
 def redraws(docs: DataFrame, key: str) -> DataFrame:
     """(type, form, turn) of the distinct units that need another draw than the first.
 
@@ -298,12 +327,20 @@ def pseudonymise(docs: DataFrame, key: str = "local-key", found: str = "pii") ->
 
     def replaced(e: Column) -> Column:
         other = lambda kind: _let(normal(e, kind), lambda form: surrogate(e, kind, form, key, turn(kind, form)))
-        return _let(entity_type(e), lambda kind: F.when(kind == "name", _name(e, key, turn)).otherwise(other(kind)))
-
-    own = work.withColumn("_e", entities(F.col("text")))
-    new = F.array_append(F.transform("_e", replaced), F.lit(""))
-    text = F.when(F.size("_e") > 0, F.array_join(F.zip_with(F.split("text", PATTERN, -1), new, lambda g, s: F.concat(g, s)), "")).otherwise(F.col("text"))
-    kinds = F.transform(F.coalesce("_e", F.array().cast("array<string>")), entity_type)
+        return _let(entity_type(e), lambda kind: F.when(kind == "name", named(e)).otherwise(other(kind)))
+
+    def named(e: Column) -> Column:
+        """An untitled mention is the end of a titled one of its text, and so is its surrogate."""
+        titled = F.when(e.rlike(TITLED), e).otherwise(F.get(F.filter("_e", lambda x: x.rlike(TITLED) & F.endswith(x, F.concat(F.lit(" "), e))), F.lit(0)))
+        n = F.size(F.split(e, " "))
+        return _let(_name(titled, key, turn), lambda full: F.when(e.rlike(TITLED), full).otherwise(F.array_join(F.slice(F.split(full, " "), -n, n), " ")))
+
+    own = work.withColumn("_e", entities(F.col("text"))).withColumn("_p", repeats(F.col("_e")))
+    own = own.withColumn("_all", F.when(F.col("_p").isNull(), F.col("_e")).otherwise(F.regexp_extract_all("text", F.col("_p"), F.lit(0))))
+    gaps = F.when(F.col("_p").isNull(), F.split("text", PATTERN, -1)).otherwise(F.split("text", F.col("_p"), -1))
+    new = F.array_append(F.transform("_all", replaced), F.lit(""))
+    text = F.when(F.size("_all") > 0, F.array_join(F.zip_with(gaps, new, lambda g, s: F.concat(g, s)), "")).otherwise(F.col("text"))
+    kinds = F.transform(F.coalesce("_all", F.array().cast("array<string>")), entity_type)
     counts = F.map_from_entries(F.transform(F.array_distinct(kinds), lambda t: F.struct(t, F.size(F.filter(kinds, lambda k: k == t)))))
     return own.withColumn(found, counts).withColumn("text", text).select(*docs.columns, found)
 
