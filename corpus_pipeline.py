@@ -25,11 +25,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of linked documents, the one with the smallest id; all that are linked with nothing.
 
     Linked are documents with a Jaccard of at least 0.9 of their three-word shingles.
-    Rows that repeat an id and its text are one document. Rows without an id stay.
+    Rows that repeat an id and its text are one document; rows of one id with different texts are several.
+    Rows without an id stay.
     """
-    linked = jaccard_components(docs)
-    dropped = linked.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.withColumn("_h", F.xxhash64("text")).join(dropped, "doc_id", "left_anti")
+    linked = jaccard_components(docs, text_hash=True)
+    dropped = linked.where("doc_id <> component_id").select("doc_id", F.col("th").alias("_h")).distinct()
+    kept = docs.withColumn("_h", F.xxhash64("text")).join(dropped, ["doc_id", "_h"], "left_anti")
     named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "_h"])
     return named.unionByName(kept.where("doc_id is null")).select(docs.columns)
 

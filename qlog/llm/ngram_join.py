@@ -205,8 +205,8 @@ def _tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("task", "tile", "v", "n", "shingles", "comp", "left").groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile: int = TILE) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``.
+def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile: int = TILE, text_hash: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``; with ``text_hash`` also th, the xxhash64 of its text.
 
     Two texts link when ``den`` * shared >= ``num`` * united shingles. component_id is the smallest
     doc_id reachable by links. Null texts and texts without words have no shingles and are linked with
@@ -243,8 +243,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     own = written(own.join(found, F.col("v") == F.col("node"), "left").select("v", "first", F.coalesce("component", "v").alias("comp")), "vertices")
     names = written(own.groupBy("comp").agg(F.min("first").alias("component_id")), "names")
     named = written(own.join(names, "comp").select("v", "component_id"), "named")
-    out = feats.select("doc_id", "n_shingles", "v").join(named, "v", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    own = ["th"] if text_hash else []
+    out = feats.select("doc_id", "n_shingles", "v", *own).join(named, "v", "left")
+    return out.select("doc_id", *own, "n_shingles", F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _rest(members: DataFrame, found: DataFrame, num: int, den: int, tile: int) -> DataFrame:

@@ -53,6 +53,14 @@ def test_stages(spark, tables):
     check_pieces(rows, dict(zip(order, whole_ids([last[i]["text"] or "" for i in order]))))
 
 
+def test_near_duplicates_with_reused_ids(spark):
+    rows = [(1, "a b c d e"), (5, "A b c d e"), (5, "some other clean text"), (5, "some other clean text"), (7, "x y z"), (None, "a b c d e")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept.collect()) == [("1", "a b c d e"), ("5", "some other clean text"), ("7", "x y z"), ("None", "a b c d e")]
+
+
 def test_run_and_empty(spark, tables, tmp_path):
     path = tables[0]
     assert corpus_pipeline.run(spark, path).agg(F.count_distinct("doc_id")).first()[0] > 50
