@@ -1,9 +1,10 @@
-"""Helpers that the training-data operators share: shared tables, text slices, token hashes."""
+"""Helpers that the training-data operators share: written tables, text slices, token hashes."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 import os
 import tempfile
 import uuid
@@ -31,7 +32,6 @@ def release() -> None:
 _ODD = 0x9E3779B97F4A7C15
 MASK64 = (1 << 64) - 1
 
-
 _own_dir: list[str] = []
 
 
@@ -51,15 +51,44 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+_roots: dict[str, str] = {}
+
+
+def _root(spark: SparkSession) -> str:
+    """Folder of this application below the shared folder; it goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        _roots[app] = f"{shared_dir(spark).rstrip('/')}/qlog-{app}-{uuid.uuid4().hex[:12]}"
+        path, fs = _hadoop(spark, _roots[app])
+        fs.deleteOnExit(path)
+    return _roots[app]
+
+
+def _hadoop(spark: SparkSession, name: str):
+    """Hadoop's path of a name and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage.
 
-    A lost executor then costs a re-read, not a recomputation of what stands above.
+    A lost executor then costs a re-read, not a recomputation of what stands above. The table is
+    deleted by ``forget``, or with all others when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/qlog-{uuid.uuid4().hex}/{name}"
+    path = f"{_root(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._qlog_path = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that nothing reads any more."""
+    for df in tables:
+        path, fs = _hadoop(df.sparkSession, df._qlog_path)
+        fs.delete(path, True)
 
 
 def small(df: DataFrame, most_rows: int) -> DataFrame:
@@ -77,6 +106,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_key(col: str = "text") -> Column:
+    """Identity of a text: its SHA-256, null for a null text."""
+    return F.sha2(col, 256)
+
+
 def fold(col: Column, folds: int) -> Column:
     """crc32 of the id as text modulo ``folds``; null ids fall into no fold (null)."""
     return F.crc32(col.cast("string").cast("binary")) % folds
@@ -91,25 +125,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=U64) * U64(_ODD))
-
-
-BYTE_VALUE = _byte_values()
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64, at least ``n`` of each."""
-    if len(_powers["up"]) < n:
-        size = max(n, 1 << 16)
-        for name, base in (("up", _ODD), ("down", pow(_ODD, -1, 1 << 64))):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=U64)
-    return _powers["up"], _powers["down"]
-
-
 def text_slices(texts: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first, end, bytes, offsets) of runs of texts of about ``most_bytes``; a longer text is its own run.
 
@@ -153,28 +168,50 @@ def spans(raw: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np.n
     return start, end, np.searchsorted(start, offsets)
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Keeps the first n bytes of a little-endian load, n from 0 to 8.
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], U64)
+#: Ranges of more bytes are rare and are hashed one by one.
+LONG = 64
+
+
 class Hasher:
-    """64-bit hashes of byte ranges of one run of texts, in constant time a range."""
+    """64-bit hashes and comparisons of byte ranges of one run of texts, eight bytes a step.
+
+    ``fold_case`` folds A-Z. A range's hash depends on its bytes alone, so hashes of different runs compare.
+    """
 
     def __init__(self, raw: np.ndarray, fold_case: bool = False):
-        self.up, self.down = _power_tables(len(raw) + 1)
-        values = BYTE_VALUE
-        if fold_case:
-            values = values.copy()
-            values[65:91] = values[97:123]
-        self.sums = np.zeros(len(raw) + 1, U64)
-        np.cumsum(values[raw] * self.up[: len(raw)], out=self.sums[1:])
+        self.bytes = np.zeros(len(raw) + 16, np.uint8)
+        self.bytes[: len(raw)] = _LOWER[raw] if fold_case else raw
+        self.loads = np.ndarray((len(raw) + 8,), "<u8", self.bytes, strides=(1,))  # the eight bytes from each byte on
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.down[start]
-        return mix(h + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
-
-
-def kinds_of(words: str, runs: str = "") -> np.ndarray:
-    """Byte kinds: 1 for the bytes of ``words``, the byte itself for ``runs``, 0 for separators."""
-    k = np.zeros(256, np.uint8)
-    for b in words.encode("latin-1"):
-        k[b] = 1
-    for b in runs.encode("latin-1"):
-        k[b] = b
-    return k
+        size = end - start
+        h = mix(size.astype(U64) + U64(_ODD))
+        live = np.flatnonzero((size > 0) & (size <= LONG))
+        for k in range(0, LONG, 8):
+            if not len(live):
+                break
+            own = self.loads[start[live] + k] & _MASKS[np.minimum(size[live] - k, 8)]
+            h[live] = mix((h[live] ^ own) * U64(0xD6E8FEB86659FD93))
+            live = live[size[live] > k + 8]
+        for i in np.flatnonzero(size > LONG):
+            h[i] = int.from_bytes(hashlib.blake2b(self.bytes[start[i] : end[i]], digest_size=8).digest(), "little")
+        return h
+
+    def equal(self, start: np.ndarray, end: np.ndarray, other: Hasher, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Whether each range equals, byte for byte, the other run's range from ``at`` to ``to``."""
+        size = end - start
+        same = size == to - at
+        live = np.flatnonzero(same & (size > 0) & (size <= LONG))
+        for k in range(0, LONG, 8):
+            if not len(live):
+                break
+            ok = (self.loads[start[live] + k] ^ other.loads[at[live] + k]) & _MASKS[np.minimum(size[live] - k, 8)] == 0
+            same[live[~ok]] = False
+            live = live[ok & (size[live] > k + 8)]
+        for i in np.flatnonzero(same & (size > LONG)):
+            same[i] = np.array_equal(self.bytes[start[i] : end[i]], other.bytes[at[i] : to[i]])
+        return same

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qlog.llm.common import written
+from qlog.llm.common import forget, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,11 +18,19 @@ def components(edges: DataFrame) -> DataFrame:
     Nulls and loops in the links are ignored.
     """
     edges = written(edges.where("a <> b").select("a", "b").distinct(), "links")
-    labels = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("component", F.col("node")), "nodes")
+    labels = None
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
         step = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("to")), "step")
         moved = edges.join(step, "a").select("b", F.col("to").alias("a2")).join(step.select(F.col("a").alias("b"), F.col("to").alias("b2")), "b")
-        edges = written(moved.where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "links")
-        labels = written(labels.join(step.withColumnRenamed("a", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component")), "nodes")
-    return labels
+        past, edges = edges, written(moved.where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "links")
+        if labels is None:  # the first map holds every node
+            labels = step.select(F.col("a").alias("node"), F.col("to").alias("component"))
+            forget(past)
+        else:
+            old, named = labels, labels.join(step.withColumnRenamed("a", "component"), "component", "left")
+            labels = written(named.select("node", F.coalesce("to", "component").alias("component")), "nodes")
+            forget(past, step)
+            if hasattr(old, "_qlog_path"):
+                forget(old)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")) if labels is None else labels

@@ -2,15 +2,20 @@
 
 A text is the set of 64-bit hashes of its distinct shingles. Texts whose sets are equal are one
 vertex. Only vertices that may reach the threshold meet: a set is dealt into as many parts as two
-sets of that size may differ in, and one more, so two linked sets have an equal part. Vertices with
-equal parts form candidate groups. A group is cut into bands of sizes and those into tiles of bounded
-size; in a tile hashed bitmaps bound every overlap from above by counting bits, and an exact
-intersection of the sorted arrays decides the rest. Links within a tile leave it as a spanning forest,
-never as all pairs.
+sets of that size may differ in, and one more, so two linked sets have an equal part. The vertices that
+have one part of one size band in common are a candidate group; groups are never merged, so texts that
+share a passage with each other in turn do not run together. A group is cut into tiles of bounded size; in a tile hashed
+bitmaps bound every overlap from above by counting bits, and an exact intersection of the sorted arrays
+decides the rest. Links within a tile leave it as a spanning forest, never as all pairs.
+
+Each vertex first goes to one group alone, which links nearly all of a family of copies. Of all its groups
+only those are then compared whose members are still in several components, and only members
+outside a group's largest component with the others.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -19,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qlog.llm.common import MASK64, U64, Hasher, mix, small, spans, text_slices, written
+from qlog.llm.common import MASK64, U64, Hasher, forget, mix, small, spans, text_key, text_slices, written
 from qlog.llm.graph import components
 
 #: ASCII blanks separate words; everything else belongs to them.
 WORD_BYTES = np.array([0 if b in (9, 10, 11, 12, 13, 32) else 1 for b in range(256)], np.uint8)
-TILE, PIVOTS, SMALL_ROWS = 224, 32, 128
+TILE, PIVOTS, SMALL_ROWS = 2048, 32, 128
+#: Shingles that the sets of a tile hold together, about; a tile of longer texts has fewer rows, ``LEAST_TILE`` at least.
+TILE_SHINGLES, LEAST_TILE = 1 << 20, 8
 #: The table that picks the texts of candidates (four numbers a row) is broadcast up to so many rows, else shuffled.
 SEND_ROWS = 500_000
 
@@ -103,46 +110,38 @@ def part_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def features(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """doc_id, th (hash of the text), n_shingles, v (vertex: hash of the set; null if empty), keys."""
+    """doc_id, th (identity of the text), n_shingles, h1 and h2 (128-bit hash of the set; null if empty), keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, raw, offsets in text_slices(b.column(2)):
-                sizes, vertex, keys, ends = [], [], [], [0]
+                sizes, keys, ends, digests = [], [], [0], []
                 for s in shingle_sets(raw, offsets, n):
                     sizes.append(len(s))
                     if len(s):
-                        vertex.append(int(mix(np.array([np.sum(mix(s), dtype=U64) + U64(len(s))]))[0].astype(np.int64)))
+                        digests.append(hashlib.blake2b(s, digest_size=16).digest())
                         keys.append(part_keys(s, bands))
-                        ends.append(ends[-1] + len(keys[-1]))
-                    else:
-                        vertex.append(None)
-                        ends.append(ends[-1])
+                    ends.append(ends[-1] + (len(keys[-1]) if len(s) else 0))
+                none = np.array(sizes) == 0
+                halves = np.zeros((len(sizes), 2), np.int64)
+                halves[~none] = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
                 flat = pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64())
-                cols = [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(vertex, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "th", "n_shingles", "v", "keys"])
+                made = [pa.array(sizes, pa.int64()), *[pa.array(halves[:, k].copy(), pa.int64(), mask=none) for k in (0, 1)], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), *made], ["doc_id", "th", "n_shingles", "h1", "h2", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id long, th long, n_shingles long, v long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("th"), "text").mapInArrow(run, "doc_id long, th string, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
-def _members(texts: DataFrame, n: int, bands: Bands) -> DataFrame:
-    """(cc, v, n, c, shingles) for each band of each vertex."""
+def _sets(texts: DataFrame, n: int) -> DataFrame:
+    """(id, n, shingles) of each vertex's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, _, raw, offsets in text_slices(b.column(2)):
-                at, sizes, band, arrays = [], [], [], []
-                for k, s in enumerate(shingle_sets(raw, offsets, n), i):
-                    for c in bands.of(len(s)):
-                        at.append(k)
-                        sizes.append(len(s))
-                        band.append(c)
-                        arrays.append(s.tobytes())
-                take = pa.array(at, pa.int64())
-                cols = [b.column(0).take(take), b.column(1).take(take), pa.array(sizes, pa.int64()), pa.array(band, pa.int32()), pa.array(arrays, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["cc", "v", "n", "c", "shingles"])
+            for i, j, raw, offsets in text_slices(b.column(1)):
+                arrays = [s.tobytes() for s in shingle_sets(raw, offsets, n)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(x) // 8 for x in arrays], pa.int64()), pa.array(arrays, pa.binary())], ["id", "n", "shingles"])
 
-    return texts.select("cc", "v", "text").mapInArrow(run, "cc long, v long, n long, c int, shingles binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, n long, shingles binary")
 
 
 def _bitmaps(arrays: list[np.ndarray], bits: int) -> np.ndarray:
@@ -183,14 +182,14 @@ def link_tile(sizes: np.ndarray, arrays: list[np.ndarray], comps: np.ndarray, le
 
 
 def _tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) found in tiles. ``rows``: task, tile, v, n, shingles, comp, left."""
+    """Links (a, b) between components, found in tiles. ``rows``: task, tile, n, shingles, comp, left."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
         tile = t["tile"].to_numpy()
         order = np.argsort(tile, kind="stable")
         cuts = np.flatnonzero(np.diff(tile[order])) + 1
-        v, n, comp, left = (t[c].to_numpy() for c in ("v", "n", "comp", "left"))
+        n, comp, left = (t[c].to_numpy() for c in ("n", "comp", "left"))
         raw = t["shingles"].combine_chunks()
         a, b = [], []
         for own in np.split(order, cuts):
@@ -198,72 +197,151 @@ def _tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
                 continue
             arrays = [np.frombuffer(raw[int(i)].as_buffer(), U64) for i in own]
             for x, y in link_tile(n[own], arrays, comp[own], left[own], num, den):
-                a.append(int(v[own[x]]))
-                b.append(int(v[own[y]]))
+                a.append(int(comp[own[x]]))
+                b.append(int(comp[own[y]]))
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.select("task", "tile", "v", "n", "shingles", "comp", "left").groupBy("task").applyInArrow(run, "a long, b long")
+    return rows.select("task", "tile", "n", "shingles", "comp", "left").groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile: int = TILE, text_hash: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``; with ``text_hash`` also th, the xxhash64 of its text.
+def _longs(top: str) -> F.Column:
+    return F.sequence(F.lit(0).cast("long"), F.col(top) - 1)
+
+
+def _pooled(large: F.Column, rows: DataFrame) -> DataFrame:
+    """``rows`` with their task: a tile of a large group is one, tiles of small groups share tasks of bounded size."""
+    held = rows.where(~large).agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
+    tasks = max(1, held["k"] // SMALL_ROWS, (held["n"] or 0) // TILE_SHINGLES)
+    return rows.withColumn("task", F.when(large, F.col("tile")).otherwise(F.pmod("tile", F.lit(tasks))))
+
+
+def _first_links(met: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links found where each vertex goes to one of its groups; some pivots of a large group go to all its tiles."""
+    one = met.groupBy("id").agg(F.min(F.struct(F.xxhash64("key").alias("o"), "key", "k", "blocks", "n")).alias("g")).select("id", "g.key", "g.k", "g.blocks", "g.n")
+    pivot = F.pmod(F.xxhash64("id", F.lit(1)), "k") < PIVOTS
+    tiles = F.when((F.col("blocks") > 1) & pivot, _longs("blocks")).otherwise(F.array(F.pmod(F.xxhash64("id"), "blocks")))
+    rows = one.withColumn("b", F.explode(tiles)).withColumn("tile", F.xxhash64("key", "b"))
+    rows = _pooled(F.col("blocks") > 1, written(rows.select("id", "blocks", "n", "tile"), "rows"))
+    return _tiles(rows.join(sets, "id").withColumn("comp", F.col("id")).withColumn("left", F.lit(True)), num, den)
+
+
+def _groups(pairs: DataFrame, tile: int, name: str) -> DataFrame:
+    """(key, id, n, k, tile, blocks) of the groups of ``pairs`` (id, n, key) that have several members."""
+    shared = pairs.groupBy("key").agg(F.count("*").alias("k"), F.max("n").alias("most")).where("k > 1")
+    rows = F.greatest(F.lit(min(LEAST_TILE, tile)), F.least(F.lit(tile), F.floor(F.lit(TILE_SHINGLES) / F.col("most")))).alias("tile")
+    shared = written(shared.select("key", "k", rows).withColumn("blocks", F.ceil(F.col("k") / F.col("tile"))), "shared")
+    met = written(pairs.join(shared, "key"), name)
+    forget(shared)
+    return met
+
+
+def _open(met: DataFrame, comps: DataFrame) -> DataFrame:
+    """Members of the groups that hold several components, with their component and how many rows are outside the largest.
+
+    Of groups with the same members (told by a 128-bit hash of them all) one is enough.
+    """
+    labelled = written(met.join(comps, F.col("id") == F.col("node"), "left").select("key", "blocks", "tile", "n", "id", F.coalesce("component", "id").alias("comp")), "labelled")
+    both = lambda x, y: [F.bit_xor(x).alias("x"), F.bit_xor(y).alias("y")]
+    by = labelled.groupBy("key", "comp").agg(F.count("*").alias("k"), *both(F.xxhash64("id"), F.xxhash64("id", F.lit(3))))
+    main = by.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("k"), F.max("k").alias("most"), *both("x", "y")).where("k > most")
+    main = main.groupBy("k", "x", "y").agg(F.min_by(F.struct("key", "main", (F.col("k") - F.col("most")).alias("rest")), "key").alias("g")).select("g.*")
+    rows = written(labelled.join(written(main, "main"), "key").withColumn("left", F.col("comp") != F.col("main")), "open")
+    forget(labelled)
+    return rows
+
+
+def _rare_keys(ids: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    """(id, n, key): keys of each set's rarest shingles, of which two linked sets share one.
+
+    Sets of a band differ in so many shingles at most; of one more, taken rarest first in one order for
+    all, the first shared shingle is among both sets' own. Shingles that no other set has need no key.
+    """
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            arrays = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(1)]
+            sizes = [len(x) for x in arrays]
+            if arrays:
+                yield pa.RecordBatch.from_pydict({"id": np.repeat(b.column(0).to_numpy(), sizes), "n": np.repeat(np.array(sizes, np.int64), sizes), "x": np.concatenate(arrays)})
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, keys = [], []
+            for i, (n, shared) in enumerate(zip(b.column(1).to_pylist(), b.column(2))):
+                own = shared.values.to_numpy().view(U64)
+                for c in bands.of(n):
+                    took = own[: max(0, bands.parts[c] - bands.spare[c] - (n - len(own)))]
+                    keys.append(mix(took + U64((c + 1) * 0xA24BAED4963EE407 & MASK64)))
+                    at += [i] * len(took)
+            take = pa.array(at, pa.int64())
+            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(flat)], ["id", "n", "key"])
+
+    items = written(sets.join(ids, "id", "left_semi").select("id", "shingles").mapInArrow(every, "id long, n long, x long"), "items")
+    often = items.groupBy("x").agg(F.count("*").alias("k")).where("k > 1")
+    rare = items.join(written(often, "often"), "x").groupBy("id", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda r: r["x"]).alias("shared"))
+    keys = written(rare.select("id", "n", "shared").mapInArrow(keyed, "id long, n long, key long"), "keys")
+    forget(items)
+    return keys
+
+
+def _other_links(met: DataFrame, sets: DataFrame, comps: DataFrame, bands: Bands, tile: int) -> DataFrame:
+    """Links between different components inside all groups that still hold several.
+
+    Members of groups of more than one tile are grouped anew by their rarest shingles, so that texts which
+    only have a frequent passage in common no longer meet. What is still larger than a tile is compared
+    tile by tile, the rest with all.
+    """
+    rows = _open(met, comps)
+    single = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "left"))
+    small_groups, large = rows.where("blocks = 1"), rows.where("blocks > 1")
+    done = small_groups.select("key", "blocks", "n", "id", "comp", F.inline(single))
+    if not large.isEmpty():
+        again = _open(_groups(_rare_keys(large.select("id").distinct(), sets, bands), tile, "met again"), comps)
+        again = again.withColumn("rests", F.ceil(F.col("rest") / F.col("tile")))
+        a, b = F.pmod(F.xxhash64("id", F.lit(2)), "rests"), F.pmod(F.xxhash64("id"), "blocks")
+        each = lambda x, y, left: F.struct(x.alias("a"), y.alias("b"), F.lit(left).alias("left"))
+        as_right = F.transform(_longs("rests"), lambda x: each(x, b, False))
+        as_left = F.transform(_longs("blocks"), lambda x: each(a, x, True))
+        product = F.when(F.col("left"), F.concat(as_left, as_right)).otherwise(as_right)
+        done = done.unionByName(again.select("key", "blocks", "n", "id", "comp", F.inline(F.when(F.col("blocks") == 1, single).otherwise(product))))
+    done = written(done.select("id", "blocks", "n", "comp", "left", F.xxhash64("key", "a", "b").alias("tile")), "rows")
+    links = written(_tiles(_pooled(F.col("blocks") > 1, done).join(sets, "id"), bands.num, bands.den), "links")
+    forget(rows, done)
+    return links
+
+
+def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile: int = TILE, text_hash: bool = False, send_rows: int = SEND_ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``; with ``text_hash`` also th, the ``text_key`` of its text.
 
     Two texts link when ``den`` * shared >= ``num`` * united shingles. component_id is the smallest
     doc_id reachable by links. Null texts and texts without words have no shingles and are linked with
     nothing. Rows with equal sets (repeated rows among them) are linked with each other. Null ids are
     never a component's name while another id is there. An empty table gives no rows. Other columns
-    of ``docs`` are ignored.
+    of ``docs`` are ignored. ``tile``: rows of a tile at most; ``send_rows``: see ``SEND_ROWS``.
     """
     bands = Bands(num, den)
     feats = written(features(docs, n, bands), "features")
-    pairs = feats.where("v is not null").select("v", F.explode("keys").alias("key"))
-    shared = written(pairs.groupBy("key").agg(F.min("v").alias("m"), F.max("v").alias("z")).where("m <> z").select("key", "m"), "shared")
-    group = components(pairs.join(shared, "key").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")))
-    group = group.select(F.col("node").alias("v"), F.col("component").alias("cc"))
-    # one text for each vertex that shares a part with another
-    chosen = written(feats.join(group, "v").groupBy("v").agg(F.min(F.struct("doc_id", "th")).alias("d"), F.min("cc").alias("cc")).select("v", "cc", F.col("d.doc_id").alias("d"), "d.th"), "chosen")
-    texts = docs.select(F.col("doc_id").cast("long").alias("d2"), F.xxhash64("text").alias("th2"), "text")
-    texts = texts.join(small(chosen, SEND_ROWS), F.col("th2").eqNullSafe(F.col("th")) & F.col("d2").eqNullSafe(F.col("d"))).select("cc", "v", "text")
-    members = written(_members(texts, n, bands).dropDuplicates(["v", "c"]), "members")
-    sizes = written(members.groupBy("cc", "c").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / tile)), "sizes")
-    sized = members.join(sizes, ["cc", "c"])
-    buckets = max(1, (sizes.where("blocks = 1").agg(F.sum("count")).first()[0] or 0) // SMALL_ROWS)
-    block = F.pmod(F.xxhash64("v"), "blocks")
-    pivot = F.pmod(F.xxhash64("v", F.lit(1)), "count") < PIVOTS
-    first = sized.withColumn("b", F.explode(F.when((F.col("blocks") > 1) & pivot, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(block))))
-    first = first.withColumn("tile", F.xxhash64("cc", "c", "b")).withColumn("task", F.when(F.col("blocks") > 1, F.col("tile")).otherwise(F.pmod("tile", F.lit(buckets))))
-    links = written(_tiles(first.withColumn("comp", F.col("v")).withColumn("left", F.lit(True)), num, den), "links")
-    found = components(links)
-    large = sizes.where("blocks > 1")
-    if not large.isEmpty():
-        links = links.union(_rest(members.join(large, ["cc", "c"]), found, num, den, tile))
-        found = components(links)
+    # one row for each distinct set, numbered; one of its documents stands for it
+    own = feats.where("h1 is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "th")).alias("d"), F.any_value("n_shingles").alias("n"), F.any_value("keys").alias("keys"))
+    own = written(own.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "n", "first", "d.doc_id", "d.th", "keys"), "vertices")
+    met = _groups(own.select("id", "n", F.explode("keys").alias("key")), tile, "met")
+    chosen = written(own.join(met.select("id").distinct(), "id", "left_semi").select("id", F.col("doc_id").alias("d"), "th"), "chosen")
+    texts = docs.select(F.col("doc_id").cast("long").alias("d2"), text_key().alias("th2"), "text")
+    texts = texts.join(small(chosen, send_rows), F.col("th2").eqNullSafe(F.col("th")) & F.col("d2").eqNullSafe(F.col("d"))).select("id", "text")
+    sets = written(_sets(texts, n).dropDuplicates(["id"]).drop("n"), "sets")
+    first = components(_first_links(met, sets, num, den))
+    more = components(_other_links(met, sets, first, bands, tile))
+    moved = more.select(F.col("node").alias("component"), F.col("component").alias("last"))
+    comps = first.unionByName(more.select("node", F.col("node").alias("component"))).dropDuplicates(["node"]).join(moved, "component", "left").select("node", F.coalesce("last", "component").alias("comp"))
     # vertices to components, components to their smallest document
-    own = feats.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("first"))
-    own = written(own.join(found, F.col("v") == F.col("node"), "left").select("v", "first", F.coalesce("component", "v").alias("comp")), "vertices")
-    names = written(own.groupBy("comp").agg(F.min("first").alias("component_id")), "names")
-    named = written(own.join(names, "comp").select("v", "component_id"), "named")
-    own = ["th"] if text_hash else []
-    out = feats.select("doc_id", "n_shingles", "v", *own).join(named, "v", "left")
-    return out.select("doc_id", *own, "n_shingles", F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def _rest(members: DataFrame, found: DataFrame, num: int, den: int, tile: int) -> DataFrame:
-    """Links of large bands between members that the first tiles left in different components.
-
-    Members outside the band's main component (the rest) meet all members, tile by tile; members of
-    the main component need not meet each other.
-    """
-    labelled = written(members.join(found, F.col("v") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "v")).drop("node", "component"), "labelled")
-    by = labelled.groupBy("cc", "c", "comp").agg(F.count("*").alias("k"))
-    main = by.groupBy("cc", "c").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), (F.sum("k") - F.max("k")).alias("rest"))
-    main = written(main.where("rest > 0").withColumn("rests", F.ceil(F.col("rest") / tile)), "main")
-    rows = labelled.join(main, ["cc", "c"]).withColumn("a", F.pmod(F.xxhash64("v", F.lit(2)), "rests")).withColumn("b", F.pmod(F.xxhash64("v"), "blocks"))
-    longs = lambda top: F.sequence(F.lit(0).cast("long"), F.col(top) - 1)
-    left = rows.where("comp <> main").withColumn("b", F.explode(longs("blocks"))).withColumn("left", F.lit(True))
-    right = rows.withColumn("a", F.explode(longs("rests"))).withColumn("left", F.lit(False))
-    both = left.unionByName(right).withColumn("tile", F.xxhash64("cc", "c", "a", "b")).withColumn("task", F.col("tile"))
-    return written(_tiles(both, num, den), "links")
+    linked = written(own.select("id", "first").join(comps, F.col("id") == F.col("node")).select("id", "first", "comp"), "linked")
+    names = linked.groupBy("comp").agg(F.min("first").alias("name"))
+    named = written(own.select("id", "h1", "h2", "first").join(linked.join(names, "comp").select("id", "name"), "id", "left").select("h1", "h2", F.coalesce("name", "first").alias("component_id")), "named")
+    forget(own, met, chosen, sets, linked)
+    extra = ["th"] if text_hash else []
+    out = feats.select("doc_id", "n_shingles", "h1", "h2", *extra).join(named, ["h1", "h2"], "left")
+    return out.select("doc_id", *extra, "n_shingles", F.when(F.col("h1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 DIGEST_SQL = r"""

@@ -3,7 +3,8 @@
 A text's ids are those of its pieces in order, because the tokenizer never lets a token cross white
 space, nor a change between letters, digits and punctuation where both sides are plain. Pieces that
 could behave otherwise (other scripts, apostrophes, angle brackets) are encoded as whole
-white-space-delimited words. Distinct pieces are remembered from batch to batch, up to a limit.
+white-space-delimited words. Distinct pieces are remembered from batch to batch, up to a limit; they are
+found by hash and compared byte for byte, so equal hashes of different pieces do no harm.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def plain_pieces(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class Pieces:
-    """Ids of pieces by hash: sorted hashes, and each one's run in an array of ids."""
+    """Ids of pieces by hash: sorted hashes, and each one's bytes and its run in an array of ids."""
 
     def __init__(self, encode, most: int = 1_000_000):
         self.encode, self.most = encode, most
@@ -66,20 +67,26 @@ class Pieces:
     def clear(self) -> None:
         self.hash, self.row = np.zeros(0, U64), np.zeros(0, np.int64)
         self.ends, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.starts, self.raw = np.zeros(1, np.int64), np.zeros(0, np.uint8)
+        self.bytes = Hasher(self.raw)
 
     def rows(self, hashes: np.ndarray, words) -> np.ndarray:
-        """Row of each (distinct, sorted) hash; ``words(k)`` gives the texts of those not known yet."""
+        """Row of each (distinct, sorted) hash; ``words(k)`` gives the folded bytes of those not known yet."""
         at = np.minimum(np.searchsorted(self.hash, hashes), max(0, len(self.hash) - 1))
         new = np.flatnonzero(self.hash[at] != hashes) if len(self.hash) else np.arange(len(hashes))
         if len(new):
             if len(self.hash) + len(new) > self.most and len(self.hash):
                 self.clear()
                 return self.rows(hashes, words)
-            got = self.encode(words(new))
+            own = words(new)
+            got = self.encode([w.decode() for w in own])
             ends = self.ends[-1] + np.cumsum([len(x) for x in got])
             first = len(self.ends) - 1
             self.ends = np.concatenate([self.ends, ends])
             self.ids = np.concatenate([self.ids, np.fromiter((i for x in got for i in x), np.uint32)])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(w) for w in own])])
+            self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(own), np.uint8)])
+            self.bytes = Hasher(self.raw)
             self.row = np.concatenate([self.row, first + np.arange(len(new))])
             self.hash = np.concatenate([self.hash, hashes[new]])
             order = np.argsort(self.hash)
@@ -89,8 +96,10 @@ class Pieces:
 
 
 class Encoder:
-    def __init__(self, encode):
-        self.pieces = Pieces(encode)
+    """``encode`` gives the ids of words; ``fold_case`` tells whether it ignores the case of A-Z."""
+
+    def __init__(self, encode, fold_case: bool = True):
+        self.pieces, self.encode, self.fold_case = Pieces(encode), encode, fold_case
 
     def runs(self, texts: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first text, ids of a run of texts, end of each text's ids from 0 on)."""
@@ -99,13 +108,21 @@ class Encoder:
             if not len(start):
                 yield i, np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
                 continue
-            hashes, at, back = np.unique(Hasher(raw, fold_case=True).of(start, end), return_index=True, return_inverse=True)
-            data = raw.tobytes()
-            rows = self.pieces.rows(hashes, lambda new: [data[a:b].decode() for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist())])[back]
+            own = Hasher(raw, self.fold_case)
+            hashes, at, back = np.unique(own.of(start, end), return_index=True, return_inverse=True)
+            data = own.bytes.tobytes()
+            cut = lambda k: [data[a:b] for a, b in zip(start[k].tolist(), end[k].tolist())]
+            rows = self.pieces.rows(hashes, lambda new: cut(at[new]))[back]
             p = self.pieces
-            size = p.ends[rows + 1] - p.ends[rows]
+            begin, size, ids = p.ends[rows], p.ends[rows + 1] - p.ends[rows], p.ids
+            other = np.flatnonzero(~own.equal(start, end, p.bytes, p.starts[rows], p.starts[rows + 1]))
+            if len(other):  # another piece has the same hash: these are encoded by themselves
+                got = self.encode([w.decode() for w in cut(other)])
+                size[other] = [len(x) for x in got]
+                begin[other] = len(ids) + np.cumsum(size[other]) - size[other]
+                ids = np.concatenate([ids, np.fromiter((x for one in got for x in one), np.uint32)])
             ends = np.concatenate([[0], np.cumsum(size)])
-            ids = p.ids[np.repeat(p.ends[rows] - ends[:-1], size) + np.arange(ends[-1])]
+            ids = ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
             yield i, ids, ends[first]
 
 
@@ -126,23 +143,30 @@ def load_tokenizer(name: str) -> Encoder:
 
         path = public_tokenizers.path(name)
     tokenizer = Tokenizer.from_file(path)
+    whole = lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    probe = ["Words", "and", "more", ",", "1", "2", "3", "..", "words", "."]
+    if whole(["Words and\nmore, 123.. words."])[0] != [i for ids in whole(probe) for i in ids]:
+        raise ValueError(f"{name}: its tokens cross white space or depend on it, so texts cannot be encoded piece by piece")
+    fold_case = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AZ") == "az"
     model, direct = tokenizer.model, _byte_letters()
 
     def encode(words: list[str]) -> list[list[int]]:
         got: list = [None] * len(words)
         rest = []
         for n, w in enumerate(words):
-            if w.isascii() and w.isalpha():  # one pre-token as it stands
+            if not fold_case:
+                rest.append(n)
+            elif w.isascii() and w.isalpha():  # one pre-token as it stands
                 got[n] = [t.id for t in model.tokenize(w.lower())]
             elif w.isalpha() and all("À" <= c <= "ÿ" or c.isascii() for c in w):
                 got[n] = [t.id for t in model.tokenize(w.lower().encode().decode("latin-1").translate(direct))]
             else:
                 rest.append(n)
-        for n, e in zip(rest, tokenizer.encode_batch_fast([words[n] for n in rest], add_special_tokens=False)):
-            got[n] = e.ids
+        for n, ids in zip(rest, whole([words[n] for n in rest])):
+            got[n] = ids
         return got
 
-    return Encoder(encode)
+    return Encoder(encode, fold_case)
 
 
 def _byte_letters() -> dict[int, str]:
