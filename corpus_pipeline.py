@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qlog.llm.common import table, written
+from qlog.llm.common import table, text_key, written
 from qlog.llm.decontaminate import remove_contaminated
 from qlog.llm.ngram_join import jaccard_components
 from qlog.llm.packing import pack
@@ -28,11 +28,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat an id and its text are one document; rows of one id with different texts are several.
     Rows without an id stay.
     """
-    linked = jaccard_components(docs, text_hash=True)
-    dropped = linked.where("doc_id <> component_id").select("doc_id", F.col("th").alias("_h")).distinct()
-    kept = docs.withColumn("_h", F.xxhash64("text")).join(dropped, ["doc_id", "_h"], "left_anti")
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id", "_h"])
-    return named.unionByName(kept.where("doc_id is null")).select(docs.columns)
+    linked = jaccard_components(docs, text_hash=True).where("doc_id is not null").groupBy("doc_id", F.coalesce("th", F.lit("")).alias("_h"))
+    marks = linked.agg((F.col("doc_id") != F.min("component_id")).alias("_copy"), (F.count("*") > 1).alias("_repeated")).where("_copy or _repeated")
+    marks = written(marks, "marks")
+    found = docs.withColumn("_h", F.coalesce(text_key(), F.lit(""))).join(marks, ["doc_id", "_h"], "left").where("not coalesce(_copy, false)")
+    if marks.where("_repeated").isEmpty():
+        return found.select(docs.columns)
+    repeated = F.coalesce("_repeated", F.lit(False))
+    return found.where(~repeated).unionByName(found.where(repeated).dropDuplicates(["doc_id", "_h"])).select(docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
