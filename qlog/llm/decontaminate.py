@@ -2,9 +2,11 @@
 
 Documents are taken in shards (runs of a task's rows). Per shard the suffixes that can start a
 verbatim match are sorted by their first words; every test suffix, that is every window of a
-benchmark item, is found in it by binary search, which gives all its locations. Neighbouring windows
-add up to the longest match. Suffixes whose first words occur in no window in that order can match
-nothing and are left out before sorting, which changes no result.
+benchmark item, is found in it by binary search, which gives all its locations. Windows that follow each
+other in an item and in a document alike are one verbatim match, so each item's longest matches come with
+their place in the item and in the document. Suffixes whose first words occur in no window in that order
+can match nothing and are left out before sorting, which changes no result. Found windows are compared
+byte for byte.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from qlog.llm.common import U64, Hasher, mix, spans, text_slices, written
+from qlog.llm.common import U64, Hasher, mix, spans, text_key, text_slices, written
 
 #: Digits, lower- and (folded) upper-case letters and every byte of a character beyond ASCII.
 WORD_BYTES = np.array([1 if (0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80) else 0 for b in range(256)], np.uint8)
@@ -32,28 +34,37 @@ FOUND = [
     T.StructField("longest", T.LongType()),
     T.StructField("matches", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("words", T.LongType())]))),
     T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("longest_match", T.LongType()),
+    T.StructField("verbatim", T.ArrayType(T.StructType([T.StructField("item", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("item_start", "start", "words")]]))),
 ]
+RUN = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))
+VERBATIM = pa.list_(pa.struct([("item", pa.string()), ("item_start", pa.int64()), ("start", pa.int64()), ("words", pa.int64())]))
 
 
 @dataclass
 class Windows:
-    """Windows of one length: sorted distinct keys, and the items that hold each."""
+    """Windows of one length: sorted distinct keys, and where in which items each stands."""
 
     length: int
     keys: np.ndarray
-    first: np.ndarray  # of each key's items in ``items``
+    first: np.ndarray  # of each key's places in ``items`` and ``at``
     items: np.ndarray
+    at: np.ndarray  # number of the window's first word among all words
     grams: np.ndarray  # bloom table of the windows' first words
 
 
 @dataclass
 class TestIndex:
-    """One block of the benchmark: its words (as sorted hashes), item ids and windows by length."""
+    """One block of the benchmark: its words (as sorted hashes and as bytes), item ids, items' first words and windows by length."""
 
     words: np.ndarray
     seen: np.ndarray
     ids: list[str | None]
     windows: list[Windows]
+    item_first: np.ndarray
+    raw: np.ndarray  # folded bytes of the block's words
+    start: np.ndarray
+    end: np.ndarray
 
 
 def _gram(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -71,13 +82,17 @@ def _keys(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 def build_index(rows: list[tuple], window: int) -> TestIndex:
     """``rows``: (item_id, text). Items without words have no window."""
     texts = pa.array([t or "" for _, t in rows], pa.string())
-    words, ends = [], [0]
+    words, ends, raws, starts, stops, base = [np.zeros(0, U64)], [0], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     for _, _, raw, offsets in text_slices(texts):
         start, end, first = spans(raw, offsets, WORD_BYTES)
-        words.append(Hasher(raw, fold_case=True).of(start, end))
+        own = Hasher(raw, fold_case=True)
+        words.append(own.of(start, end))
         ends += list(ends[-1] + first[1:])
-    hashes = np.concatenate(words) if words else np.zeros(0, U64)
-    vocabulary, ids = np.unique(hashes, return_inverse=True)
+        raws.append(own.bytes[: len(raw)])
+        starts.append(start + base)
+        stops.append(end + base)
+        base += len(raw)
+    vocabulary, ids = np.unique(np.concatenate(words), return_inverse=True)
     ids = ids.astype(np.uint32) + 1
     seen = np.zeros(BLOOM, bool)
     seen[(vocabulary % U64(BLOOM)).astype(np.int64)] = True
@@ -91,11 +106,16 @@ def build_index(rows: list[tuple], window: int) -> TestIndex:
     for n, parts in sorted(by_length.items()):
         at, item = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         keys, back = np.unique(_keys(ids, at, n), return_inverse=True)
-        pairs = np.unique(np.stack([back, item], 1), axis=0)
+        order = np.argsort(back, kind="stable")
         grams = np.zeros(BLOOM, bool)
         grams[_gram(ids, at, min(GRAM, n)).astype(np.int64)] = True
-        found.append(Windows(n, keys, np.searchsorted(pairs[:, 0], np.arange(len(keys) + 1)), pairs[:, 1], np.packbits(grams)))
-    return TestIndex(vocabulary, np.packbits(seen), [None if i is None else str(i) for i, _ in rows], found)
+        found.append(Windows(n, keys, np.searchsorted(back[order], np.arange(len(keys) + 1)), item[order], at[order], np.packbits(grams)))
+    return TestIndex(vocabulary, np.packbits(seen), [None if i is None else str(i) for i, _ in rows], found, np.array(ends), *(np.concatenate(x) for x in (raws, starts, stops)))
+
+
+def _expand(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], ... first[0] + count[0] - 1, first[1], ..."""
+    return np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
 
 
 def _bit(table: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -104,10 +124,11 @@ def _bit(table: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def search_shard(index: TestIndex, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
-    """Words of each text of the shard, and (text, n_hit, longest, matches, items) of texts with matches."""
+    """Words of each text of the shard, and (text, n_hit, longest, matches, items, longest_match, verbatim) of texts with matches."""
     start, end, first = spans(raw, offsets, WORD_BYTES)
     n_words, size = np.diff(first), len(start)
-    h = Hasher(raw, fold_case=True).of(start, end)
+    own = Hasher(raw, fold_case=True)
+    h = own.of(start, end)
     ids = np.zeros(size, np.uint32)
     likely = np.flatnonzero(_bit(index.seen, h % U64(BLOOM)))
     if len(index.words) and len(likely):
@@ -115,8 +136,8 @@ def search_shard(index: TestIndex, raw: np.ndarray, offsets: np.ndarray) -> tupl
         ids[likely] = np.where(index.words[at] == h[likely], at + 1, 0)
     text_end = np.repeat(first[1:], n_words)
     edge = np.zeros(size + 1, np.int32)
-    where, which = [], []
-    known = ids > 0
+    hits: list[tuple[np.ndarray, ...]] = []  # place, place in the benchmark, item, words
+    known, other = ids > 0, Hasher(index.raw) if len(index.raw) else None
     for w in index.windows:
         g = min(GRAM, w.length)
         ok = known[: max(0, size - g + 1)].copy()
@@ -131,35 +152,56 @@ def search_shard(index: TestIndex, raw: np.ndarray, offsets: np.ndarray) -> tupl
         order = np.argsort(keys, kind="stable")  # the shard's suffix array
         keys, at = keys[order], at[order]
         low, high = np.searchsorted(keys, w.keys, "left"), np.searchsorted(keys, w.keys, "right")
-        hits = high - low
-        if not hits.any():
+        number = np.repeat(np.arange(len(w.keys)), high - low)
+        place = at[_expand(low, high - low)]
+        there = w.at[w.first[number]]
+        same = np.ones(len(place), bool)  # equal hashes of different words are no match
+        for k in range(w.length):
+            same &= own.equal(start[place + k], end[place + k], other, index.start[there + k], index.end[there + k])
+        place, number = place[same], number[same]
+        if not len(place):
             continue
-        number = np.repeat(np.arange(len(w.keys)), hits)
-        place = at[np.repeat(low - np.concatenate([[0], np.cumsum(hits)[:-1]]), hits) + np.arange(hits.sum())]
         np.add.at(edge, place, 1)
         np.add.at(edge, place + w.length, -1)
-        pairs = np.unique(np.stack([np.searchsorted(first, place, "right") - 1, number], 1), axis=0)
-        count = w.first[pairs[:, 1] + 1] - w.first[pairs[:, 1]]
-        text = np.repeat(pairs[:, 0], count)
-        item = w.items[np.repeat(w.first[pairs[:, 1]] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
-        pairs = np.unique(np.stack([text, item], 1), axis=0)
-        where.append(pairs[:, 0])
-        which.append(pairs[:, 1])
-    if not where:
+        count = w.first[number + 1] - w.first[number]
+        every = _expand(w.first[number], count)
+        hits.append((np.repeat(place, count), w.at[every], w.items[every], np.full(len(every), w.length)))
+    if not hits:
         return n_words, []
     hit = np.cumsum(edge[:-1]) > 0
-    text, item = np.concatenate(where), np.concatenate(which)
+    place, there, item, words = (np.concatenate(x) for x in zip(*hits))
+    # windows that follow each other in the text and in the item are one match
+    order = np.lexsort((place, there - place, item))
+    place, there, item, words = place[order], there[order], item[order], words[order]
+    text = np.searchsorted(first, place, "right") - 1
+    new = np.ones(len(place), bool)
+    new[1:] = (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1) | (there[1:] != there[:-1] + 1)
+    begin = np.flatnonzero(new)
+    length = np.append(begin[1:], len(place)) - begin - 1 + words[begin]
+    place, there, item, text = place[begin], there[begin], item[begin], text[begin]
     out = []
-    for t in np.unique(text):
+    by = np.argsort(text, kind="stable")
+    for own_rows in np.split(by, np.flatnonzero(np.diff(text[by])) + 1):
+        t = text[own_rows[0]]
         a, b = first[t], first[t + 1]
         ends = np.flatnonzero(np.diff(np.concatenate([[0], hit[a:b].view(np.int8), [0]])))
         runs = [(int(x), int(y - x)) for x, y in zip(ends[::2], ends[1::2])]
-        items = sorted({index.ids[i] for i in item[text == t]} - {None})
-        out.append((int(t), sum(n for _, n in runs), max(n for _, n in runs), runs, items))
+        items = sorted({index.ids[i] for i in item[own_rows]} - {None})
+        matches = sorted((int(place[k] - a), index.ids[item[k]] or "", int(there[k] - index.item_first[item[k]]), int(length[k]), index.ids[item[k]]) for k in own_rows)
+        out.append((int(t), sum(n for _, n in runs), max(n for _, n in runs), runs, items, int(length[own_rows].max()), [(m[4], m[2], m[0], m[3]) for m in matches]))
     return n_words, out
 
 
-def _search(docs: DataFrame, index: TestIndex) -> DataFrame:
+def _empty_index() -> TestIndex:
+    return build_index([], 1)
+
+
+def _listed(rows: list | None, names: tuple[str, ...]) -> list | None:
+    return None if rows is None else [dict(zip(names, r)) for r in rows]
+
+
+def _search(docs: DataFrame, index: TestIndex):
+    """``docs`` with FOUND, and the broadcast that it needs until it is written."""
     shared = docs.sparkSession.sparkContext.broadcast(index)  # one block: at most block_chars of text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,21 +209,22 @@ def _search(docs: DataFrame, index: TestIndex) -> DataFrame:
             if not b.num_rows:
                 continue
             n = b.num_rows
-            cols: list[list] = [[0] * n, [0] * n, [0] * n, [None] * n, [None] * n]
+            cols: list[list] = [[0] * n, [0] * n, [0] * n, [None] * n, [None] * n, [0] * n, [None] * n]
             for i, _, raw, offsets in text_slices(b.column(b.schema.get_field_index("text")), SHARD_BYTES):
                 words, found = search_shard(shared.value, raw, offsets)
                 cols[0][i : i + len(words)] = words.tolist()
-                for t, n_hit, longest, runs, items in found:
-                    cols[1][i + t], cols[2][i + t], cols[3][i + t], cols[4][i + t] = n_hit, longest, runs, items
-            matches = [None if m is None else [{"start": s, "words": k} for s, k in m] for m in cols[3]]
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))
-            made = [pa.array(c, pa.int64()) for c in cols[:3]] + [pa.array(matches, kind), pa.array(cols[4], pa.list_(pa.string()))]
+                for t, *values in found:
+                    for col, x in zip(cols[1:], values):
+                        col[i + t] = x
+            runs = pa.array([_listed(m, ("start", "words")) for m in cols[3]], RUN)
+            verbatim = pa.array([_listed(m, ("item", "item_start", "start", "words")) for m in cols[6]], VERBATIM)
+            made = [*[pa.array(c, pa.int64()) for c in cols[:3]], runs, pa.array(cols[4], pa.list_(pa.string())), pa.array(cols[5], pa.int64()), verbatim]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *[f.name for f in FOUND]])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *FOUND]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *FOUND])), shared
 
 
-def _merged(n_words: int, lists: list) -> tuple[int, int, list[tuple[int, int]]]:
+def _merged(lists: list) -> tuple[int, int, list[tuple[int, int]]]:
     """Union of runs of hit words from several blocks."""
     runs: list[list[int]] = []
     for s, k in sorted((r["start"], r["start"] + r["words"]) for one in lists for r in one):
@@ -193,16 +236,20 @@ def _merged(n_words: int, lists: list) -> tuple[int, int, list[tuple[int, int]]]
     return sum(sizes), max(sizes, default=0), [(a, b - a) for a, b in runs]
 
 
-def find_matches(docs: DataFrame, bench: DataFrame, window: int = 13, block_chars: int = 32 << 20) -> DataFrame:
-    """Add n_words, n_hit, longest, matches (runs of hit words) and items to every document.
+def find_matches(docs: DataFrame, bench: DataFrame, window: int = 13, block_chars: int = 8 << 20) -> DataFrame:
+    """Add n_words, n_hit, longest, matches (runs of hit words), items, longest_match and verbatim to every document.
+
+    ``verbatim`` holds each maximal match of one item of at least a window: item, first word there, first
+    word here, words; ``longest_match`` is the largest of them, while ``longest`` is the longest run of hit
+    words, in which matches of several items may follow each other.
 
     The benchmark is read in blocks of about ``block_chars`` characters (its size is checked first);
-    one block at a time is sent to the executors. With one block there is no shuffle. With several,
-    the matches of the blocks meet by the hash of the text.
+    one block at a time is indexed, sent to the executors and searched. With one block there is no
+    shuffle. With several, the matches of the blocks meet by the identity of the text.
 
     Null texts have no words; an item without words matches nothing; an item with a null id marks
-    words but is not listed; repeated items and documents count as often as they are there, item ids
-    once. Input columns with the new names are replaced.
+    words but is not listed in ``items``; repeated items and documents count as often as they are there,
+    item ids once. Input columns with the new names are replaced.
     """
     docs = docs.drop(*[f.name for f in FOUND])
     bench = bench.select("item_id", "text").where(F.length("text") > 0)
@@ -213,26 +260,30 @@ def find_matches(docs: DataFrame, bench: DataFrame, window: int = 13, block_char
         return build_index([tuple(r) for r in rows.orderBy("item_id", "text").toLocalIterator()], window)
 
     if blocks == 1:
-        return _search(docs, block(0))
-    keyed = docs.withColumn("_h", F.sha2("text", 256))
+        return _search(docs, block(0))[0]
+    keyed = docs.withColumn("_h", text_key())
     found = None
     for b in range(blocks):
-        hits = _search(keyed.select("_h", "text"), block(b)).where("n_hit > 0").select("_h", "matches", "items").dropDuplicates(["_h"])
+        hits, shared = _search(keyed.select("_h", "text"), block(b))
+        hits = written(hits.where("n_hit > 0").select("_h", "matches", "items", "longest_match", "verbatim").dropDuplicates(["_h"]), "hits")
+        shared.destroy()
         found = hits if found is None else found.unionByName(hits)
-    found = found.groupBy("_h").agg(F.collect_list("matches").alias("_m"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    flat = lambda c: F.flatten(F.collect_list(c))
+    found = found.groupBy("_h").agg(
+        F.collect_list("matches").alias("_m"), F.array_sort(F.array_distinct(flat("items"))).alias("items"), F.max("longest_match").alias("longest_match"), F.sort_array(flat("verbatim")).alias("verbatim")
+    )
     found = written(found, "found")
-    base = _search(keyed, TestIndex(np.zeros(0, U64), np.zeros(BLOOM // 8, np.uint8), [], [])).drop("matches", "items", "n_hit", "longest")
+    base = _search(keyed, _empty_index())[0].drop(*[f.name for f in FOUND[1:]])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.column(b.schema.get_field_index("_m")).to_pylist()
-            got = [(0, 0, None) if r is None else _merged(0, r) for r in rows]
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))
-            made = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([None if g[2] is None else [{"start": s, "words": k} for s, k in g[2]] for g in got], kind)]
+            got = [(0, 0, None) if r is None else _merged(r) for r in rows]
+            made = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([_listed(g[2], ("start", "words")) for g in got], RUN)]
             keep = [n for n in b.schema.names if n not in ("_m", "_h")]
             yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(n)) for n in keep], *made], [*keep, "n_hit", "longest", "matches"])
 
-    joined = base.join(found, "_h", "left")
+    joined = base.join(found, "_h", "left").withColumn("longest_match", F.coalesce("longest_match", F.lit(0).cast("long")))
     fields = [f for f in joined.schema.fields if f.name not in ("_m", "_h")]
     out = joined.mapInArrow(merge, T.StructType([*fields, *FOUND[1:4]]))
     return out.select(*docs.columns, *[f.name for f in FOUND])
@@ -251,7 +302,7 @@ def decontamination_digest(docs: DataFrame, bench: DataFrame) -> DataFrame:
     found = find_matches(docs.select("doc_id", "text"), bench)
     items = F.coalesce("items", F.array().cast("array<string>"))
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), contaminated().alias("contaminated"), "longest"
+        "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), contaminated().alias("contaminated"), "longest", "longest_match"
     )
 
 
@@ -261,26 +312,31 @@ WITH words AS (
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
   FROM documents),
 items AS (
-  SELECT item_id,
+  SELECT item_id, row_number() OVER () AS item,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
   FROM benchmark),
 windows AS (
-  SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS x
-  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+  SELECT item_id, item, i AS place, least(13, len(w)) AS k, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS x
+  FROM (SELECT item_id, item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
 places AS (
   SELECT rid, k, i, array_to_string(w[i : i + k - 1], ' ') AS x
   FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
-hits AS (SELECT rid, item_id, i, p.k FROM places p JOIN windows USING (k, x)),
+hits AS (SELECT rid, item_id, item, place, i, p.k FROM places p JOIN windows USING (k, x)),
 covered AS (SELECT rid, count(DISTINCT j) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS j FROM hits) GROUP BY rid),
 listed AS (SELECT rid, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hits WHERE item_id IS NOT NULL GROUP BY rid),
 longest AS (
   SELECT rid, max(n) AS longest FROM (
     SELECT rid, g, count(*) AS n FROM (
       SELECT rid, j - row_number() OVER (PARTITION BY rid ORDER BY j) AS g
-      FROM (SELECT DISTINCT rid, unnest(range(i, i + k)) AS j FROM hits)) GROUP BY rid, g) GROUP BY rid)
+      FROM (SELECT DISTINCT rid, unnest(range(i, i + k)) AS j FROM hits)) GROUP BY rid, g) GROUP BY rid),
+verbatim AS (
+  SELECT rid, max(n) AS longest_match FROM (
+    SELECT rid, count(*) - 1 + any_value(k) AS n FROM (
+      SELECT rid, item, place - i AS diagonal, k, i - row_number() OVER (PARTITION BY rid, item, place - i ORDER BY i) AS g FROM hits)
+    GROUP BY rid, item, diagonal, g) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
-       CAST(coalesce(longest, 0) AS BIGINT) AS longest
-FROM words LEFT JOIN covered USING (rid) LEFT JOIN listed USING (rid) LEFT JOIN longest USING (rid)
+       CAST(coalesce(longest, 0) AS BIGINT) AS longest, CAST(coalesce(longest_match, 0) AS BIGINT) AS longest_match
+FROM words LEFT JOIN covered USING (rid) LEFT JOIN listed USING (rid) LEFT JOIN longest USING (rid) LEFT JOIN verbatim USING (rid)
 """

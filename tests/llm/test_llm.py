@@ -478,3 +478,84 @@ def test_rollup_is_idempotent_and_recovers(spark, tmp_path):
     assert r.commit("2", token_counts.signed(counts.where("doc_id = 0"), "v1", -1))
     assert r.commit("3", token_counts.signed(counts.where("doc_id in (1, 3)"), "v1", -1).unionByName(token_counts.signed(counts.where("doc_id = 1"), "v2", 1)))
     assert sorted(tuple(x) for x in r.totals().collect()) == [("s", "en", "v2", 1, 1), ("s", "fr", "v1", 2, 2)]
+
+
+def test_verbatim_matches_and_places(spark):
+    rng = random.Random(19)
+    bench = [(i, words(rng, rng.choice([13, 20, 40, 6]))) for i in range(8)] + [(9, "one two " * 12)]
+    texts = list(ODD)
+    for _ in range(30):
+        a, b = bench[rng.randrange(9)][1].split(), bench[rng.randrange(9)][1].split()
+        texts.append(" ".join([*words(rng, rng.randrange(9)).split(), *a[rng.randrange(5) :], *b[: rng.randrange(30) + 1], words(rng, 5)]))
+    docs, items = frame(spark, texts).select("doc_id", "text"), spark.createDataFrame(bench, "item_id long, text string")
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+    want = {}
+    for d, t in enumerate(texts):
+        w, found = split(t), []
+        for item, text in bench:
+            x = split(text)
+            least = min(13, len(x))
+            for i in range(len(w)):
+                for k in range(len(x)):
+                    n = 0
+                    while i + n < len(w) and k + n < len(x) and w[i + n] == x[k + n]:
+                        n += 1
+                    if n >= least and (not i or not k or w[i - 1] != x[k - 1]):
+                        found.append((str(item), k, i, n))
+        want[d] = sorted(found)
+    for size in (8 << 20, 200):
+        got = {r["doc_id"]: (sorted(tuple(v) for v in r["verbatim"] or []), r["longest_match"]) for r in decontaminate.find_matches(docs, items, block_chars=size).collect()}
+        assert got == {d: (v, max([n for *_, n in v], default=0)) for d, v in want.items()}
+    assert any(want.values())
+
+
+def test_hashes_that_texts_cannot_break(spark):
+    one = "a"
+    for _ in range(11):
+        one += one.translate({97: 98, 98: 97})
+    two = one.translate({97: 98, 98: 97})
+    texts = [f"x {one} y", f"x {two} y", one[:40], two[:40]]
+    assert len({r["component_id"] for r in ngram_join.jaccard_components(frame(spark, texts)).collect()}) == 4
+    rows = [r.asDict() for r in packing.pack(frame(spark, texts)).collect()]
+    check_pieces(rows, dict(enumerate(whole_ids(texts))))
+    items = spark.createDataFrame([(1, one), (2, one[:40])], "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.find_matches(frame(spark, texts), items).collect()}
+    assert got == {0: ["1"], 1: None, 2: ["2"], 3: None}
+
+
+def test_equal_hashes_of_different_pieces(monkeypatch):
+    rng = random.Random(18)
+    texts = [words(rng, 30) + " é1 <b> don't " + "y" * 90 for _ in range(20)]
+    encode = tokens.load_tokenizer("word_bpe_49k.json").encode
+    whole = tokens.Hasher.of
+    monkeypatch.setattr(tokens.Hasher, "of", lambda self, a, b: whole(self, a, b) % np.uint64(5))
+    got = []
+    for _, ids, ends in tokens.Encoder(encode).runs(pa.array(texts), 500):
+        got += [ids[a:b].tolist() + [2] for a, b in zip(ends[:-1], ends[1:])]
+    assert got == whole_ids(texts)
+    with pytest.raises(ValueError):
+        tokens.load_tokenizer("byte_bpe_50k.json")
+
+
+def test_ngram_join_with_frequent_passages(spark, monkeypatch):
+    rng = random.Random(17)
+    base = " ".join(f"b{i}" for i in range(105))
+    texts = [base + " " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(45)) for _ in range(600)]
+    texts += [t.replace("u", "v", 1) for t in texts[:20]]
+    made, whole = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df, name: made.append((name, whole(df, name))) or made[-1][1])
+    monkeypatch.setattr(ngram_join, "forget", lambda *tables: None)
+    got = sorted(tuple(r) for r in ngram_join.jaccard_components(frame(spark, texts), tile=50, send_rows=10).collect())
+    assert [c for _, _, c in got] == [*range(600), *range(20)]
+    assert sum(t.count() for name, t in made if name == "rows") < 5 * len(texts)
+    near = near_copies(rng, 150)
+    got = sorted(tuple(r) for r in ngram_join.jaccard_components(frame(spark, near), tile=16, send_rows=0).collect())
+    assert got == brute_components(near)
+
+
+def test_packing_sums_ranks_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUPS_A_SUM", 3)
+    rng = random.Random(16)
+    texts = ["same words here"] * 90 + [words(rng, rng.randrange(1, 40)) for _ in range(60)]
+    rows = [r.asDict() for r in packing.pack(frame(spark, texts), ranks_a_task=4).collect()]
+    check_pieces(rows, dict(enumerate(whole_ids(texts))))
