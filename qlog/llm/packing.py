@@ -23,6 +23,8 @@ from qlog.llm.common import written
 from qlog.llm.tokens import load_tokenizer
 
 RANK_BITS = 44
+#: Salted groups of a length whose counts are added up in one task; the sums of these are few enough for one task again.
+GROUPS_A_SUM = 4096
 
 
 @dataclass
@@ -133,8 +135,8 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
 
     ``keep_ids`` adds each piece's token ids. Null and empty texts are one piece of ``end_id`` alone.
     Repeated rows are packed as often as they occur. An empty table gives no rows. Ranks within a
-    length are counted in salted groups of about ``ranks_a_task`` rows, so a length that a third of
-    all documents have is still spread.
+    length are counted in salted groups of about ``ranks_a_task`` rows, whose counts are added up in two
+    levels, so a length that a third of all documents have is still spread.
     """
     pieces = written(cut_documents(docs, tokenizer, end_id, size, keep_ids), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
@@ -143,8 +145,13 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
     salts = F.greatest(F.lit(1), (F.col("count") / ranks_a_task).cast("long"))
     table = pieces.sparkSession.createDataFrame(sorted(counts.items()), "length long, count long").select("length", salts.alias("salts"))
     salted = pieces.join(F.broadcast(table), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), "salts")).drop("salts")
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    first = salted.groupBy("length", "salt").count().select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+    # sums of the groups before each group in two levels, so that no task sees all groups of a very frequent length
+    before = lambda *by: Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    groups = salted.groupBy("length", "salt").count().withColumn("up", F.floor(F.col("salt") / GROUPS_A_SUM)).withColumn("at", F.col("salt"))
+    tops = groups.groupBy("length", "up").agg(F.sum("count").alias("count")).withColumn("at", F.col("up"))
+    tops = tops.select("length", "up", F.coalesce(F.sum("count").over(before("length")), F.lit(0)).alias("base"))
+    first = groups.withColumn("own", F.coalesce(F.sum("count").over(before("length", "up")), F.lit(0))).join(tops, ["length", "up"])
+    first = first.select("length", "salt", (F.col("base") + F.col("own")).alias("first"))
     inside = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = salted.join(first, ["length", "salt"]).withColumn("rank", F.col("first") + F.row_number().over(inside) - 1).drop("salt", "first")
 
