@@ -559,3 +559,59 @@ def test_packing_sums_ranks_in_two_levels(spark, monkeypatch):
     texts = ["same words here"] * 90 + [words(rng, rng.randrange(1, 40)) for _ in range(60)]
     rows = [r.asDict() for r in packing.pack(frame(spark, texts), ranks_a_task=4).collect()]
     check_pieces(rows, dict(enumerate(whole_ids(texts))))
+
+
+def test_licenses_of_whole_bodies(spark):
+    rng = random.Random(15)
+    body = words(rng, 150)
+    texts = [words(rng, 70) + " " + body + " " + words(rng, 40), body.rsplit(" ", 60)[0], " ".join(w for w in body.split() if rng.random() > 0.01), None, ""]
+    own = [("long", body), ("longer", words(rng, 900)), ("short", "just five words of it")]
+    out = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(frame(spark, [*texts, "x just five words of it"]), own).collect()}
+    assert [[x["license"] for x in out[i]] for i in range(6)] == [["long"], [], ["long"], [], [], ["short"]]
+    for bad in ("four words are few", " ".join(["word"] * 5000)):
+        with pytest.raises(ValueError):
+            licenses.scan_licenses(frame(spark, texts), [("bad", bad)])
+
+
+def test_changes_between_tables(spark, tmp_path):
+    cols = "doc_id long, source string, lang string, version string, th string, tokens long"
+    old = [(1, "a", "en", "v", "x", 3), (1, "a", "en", "v", "x", 3), (2, None, "de", "v", "y", 5), (None, "b", None, "v", None, 0)]
+    new = [(1, "a", "en", "v", "x", 3), (2, None, "de", "w", "y", 6), (3, "a", "en", "v", "z", 1), (1, "a", "en", "v", "other", 4)]
+    made = token_counts.changes(spark.createDataFrame(old, cols), spark.createDataFrame(new, cols))
+    r = token_counts.Rollup(spark, str(tmp_path / "store"))
+    r.commit("a/1", token_counts.changes(spark.createDataFrame([], cols), spark.createDataFrame(old, cols)))
+    assert r.commit("b", made) and r.compact() == 2 and not r.commit("a/1", made) and not r.commit("b", made)
+    want = sorted([("a", "en", "v", 3, 8), (None, "de", "w", 1, 6)], key=str)
+    assert sorted((tuple(x) for x in r.totals().collect()), key=str) == want
+    assert r.commit("c", made.limit(0)) and r.compact() == 2 and r.compact() == 1
+    assert sorted((tuple(x) for x in r.totals().collect()), key=str) == want
+
+
+def test_two_writers_of_one_batch(spark, tmp_path):
+    r = token_counts.Rollup(spark, str(tmp_path / "store"))
+    delta = spark.createDataFrame([("s", "en", "v", 1, 7)], "source string, lang string, version string, docs int, tokens long")
+    r._log([("x", r._add(delta), None)])
+    r._log([("x", r._add(delta), None)])  # neither saw the other's row
+    assert [tuple(x) for x in r.totals().collect()] == [("s", "en", "v", 1, 7)]
+
+
+def test_maintained_counts(spark, tmp_path):
+    rng = random.Random(14)
+    rows = [(i, words(rng, rng.randrange(9)), rng.choice(["de", "en", None]), rng.choice(["a", "b", None])) for i in range(60)]
+    rows += [(100 + i, *r[1:]) for i, r in enumerate(rows[:9])] + [(3, "another text", "de", "a"), (3, "another text", "de", "a"), (4, None, "de", "b"), (5, None, "en", "b"), (None, rows[0][1], "de", "a")]
+    spark.createDataFrame([(*r, 0, "clash") for r in rows], "doc_id long, text string, lang string, source string, n_chars int, version string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = whole_ids([t or "" for _, t, *_ in rows])
+    least = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            least[t] = min(i, least.get(t, i))
+    want = {}
+    for (i, t, lang, source), own in zip(rows, ids):
+        if i is None or least[t] == i:
+            key = (source, lang, "word_bpe_49k+end" if lang == "de" else "word_bpe_49k")
+            docs, tokens_ = want.get(key, (0, 0))
+            want[key] = (docs + 1, tokens_ + len(own) - (lang != "de"))
+    got = {(r["source"], r["lang"], r["version"]): (r["docs"], r["tokens"]) for r in token_counts.maintained_counts(spark, str(tmp_path)).collect()}
+    assert got == want
+    spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert token_counts.maintained_counts(spark, f"{tmp_path}/empty").count() == 0
