@@ -14,11 +14,11 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from qlog.llm.common import written
+from qlog.llm.common import text_key, written
 
 SHINGLE, LEAST, MISS = 5, 0.8, 1e-6
 #: (length, step) of windows in words; a class takes templates of up to length - step + 1 words.
-CLASSES = [(8, 2), (16, 4), (32, 8), (64, 16), (128, 32)]
+CLASSES = [(8 << k, 2 << k) for k in range(10)]
 
 # Notices by which texts name their licence.
 TEMPLATES = [
@@ -70,7 +70,13 @@ def anchors_for(templates: list[tuple[str, str]]) -> list[str]:
 
 
 def template_class(words: int) -> int:
-    return next(k for k, (length, step) in enumerate(CLASSES) if words <= length - step + 1)
+    """Smallest class whose windows hold a template of so many words whole."""
+    if words < SHINGLE:
+        raise ValueError(f"a licence template has {SHINGLE} words at least, this one has {words}")
+    fit = [k for k, (length, step) in enumerate(CLASSES) if words <= length - step + 1]
+    if not fit:
+        raise ValueError(f"a licence template has {CLASSES[-1][0] - CLASSES[-1][1] + 1} words at most, this one has {words}; split it")
+    return fit[0]
 
 
 def bands_for(templates: list[tuple[str, str]], miss: float = MISS) -> int:
@@ -106,8 +112,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
 
     A notice is found where one window holds at least 0.8 of a template's distinct five-word shingles;
     ``containment`` is the best share. Null and empty texts have none. Repeated rows are found alike. An
-    input column named ``found`` is replaced. Templates are a parameter of some hundred rows; their
-    bands are broadcast.
+    input column named ``found`` is replaced. Templates are a parameter of some hundred rows, whole licence
+    bodies among them; their bands are broadcast. One of under five or too many words is an error.
     """
     templates = TEMPLATES if templates is None else templates
     spark, bands = docs.sparkSession, bands_for(templates)
@@ -115,7 +121,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
     known = spark.createDataFrame(rows, "template int, license string, class int, shingles array<string>")
     known = known.select("*", F.posexplode(_signature(F.col("shingles"), bands)).alias("band", "value"))
     docs = docs.drop(found)
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    keyed = docs.withColumn("_h", text_key())
     anchor = "(?<![a-z0-9])(?:" + "|".join(anchors_for(templates)) + ")(?![a-z0-9])"
     text = keyed.select("_h", "text").where(F.lower("text").rlike(anchor))
     words = text.select("_h", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("w")).where(F.size("w") >= SHINGLE)
@@ -139,7 +145,10 @@ def _windows(c: int) -> Column:
 
 
 def license_digest(docs: DataFrame) -> DataFrame:
-    """doc_id, n_licenses, licenses (comma-joined names) and best containment of every document."""
+    """doc_id, n_licenses, licenses (comma-joined names) and best containment of every document.
+
+    Null and empty texts have 0, "" and 0.0; repeated rows are listed as often as they are there.
+    """
     thin = docs.select("doc_id", "text")
     found = scan_licenses(thin)
     return found.select(
@@ -154,7 +163,8 @@ def digest_sql() -> str:
     """DuckDB twin: the same windows, each compared with every template directly."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     shingles = ",\n".join(f"({k}, {quoted(name)}, {template_class(len(template_words(t)))}, {len(template_shingles(t))}, {quoted(s)})" for k, (name, t) in enumerate(TEMPLATES) for s in template_shingles(t))
-    classes = ", ".join(f"({k}, {length}, {step})" for k, (length, step) in enumerate(CLASSES))
+    used = {template_class(len(template_words(t))) for _, t in TEMPLATES}
+    classes = ", ".join(f"({k}, {length}, {step})" for k, (length, step) in enumerate(CLASSES) if k in used)
     return f"""
 WITH t(template, license, class, n, s) AS (VALUES {shingles}),
 k(class, length, step) AS (VALUES {classes}),
