@@ -615,3 +615,19 @@ def test_maintained_counts(spark, tmp_path):
     assert got == want
     spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
     assert token_counts.maintained_counts(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_topk_of_large_components(spark):
+    rng = random.Random(13)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(1, 300)]
+    rows += [(20, [1e9, 0.5, -1.0, 2.0]), (301, [3.0, 6.0, 1e9, 1.0]), (302, [1e6, 2e6, -1e7, 0.0])]
+    df = lambda own: spark.createDataFrame(own, "vec_id long, embedding array<double>")
+    whole = [[int(np.floor(64 * c)) for c in v] for _, v in rows]
+    want = []
+    for n, (q, _) in enumerate(rows):
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(whole[n], whole[m])), i) for m, (i, _) in enumerate(rows) if m != n)[:20]
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in topk.top_k(df(rows)).collect()) == sorted(want)
+    with pytest.raises(Exception, match="query 40 and vector .* does not fit a long"):
+        topk.top_k(df([*rows, (40, [2.0**70, -(2.0**69), 0.0, 1.0])])).collect()
