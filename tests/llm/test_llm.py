@@ -631,3 +631,72 @@ def test_topk_of_large_components(spark):
     assert sorted(tuple(r) for r in topk.top_k(df(rows)).collect()) == sorted(want)
     with pytest.raises(Exception, match="query 40 and vector .* does not fit a long"):
         topk.top_k(df([*rows, (40, [2.0**70, -(2.0**69), 0.0, 1.0])])).collect()
+
+
+def test_secrets_of_repeated_rows(spark):
+    rng = random.Random(11)
+    text = 'token = "' + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + '" here'
+    docs = frame(spark, [text, f"order {10**16} came"])
+    out = secrets.secrets_digest(docs.union(docs)).where("doc_id = 0").collect()
+    assert [(r["n_candidates"], r["n_secrets"]) for r in out] == [(1, 1), (1, 1)]
+
+
+def test_secrets_learn_from_reviewed_findings(spark):
+    """Findings on which the weak rule is wrong: keys without a credential's name, and public keys that have one."""
+    rng = random.Random(10)
+    some = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    of = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"
+    texts = [f"use {some(36, of)} to sign in" for _ in range(120)] + [f"secret_name = {'-'.join(some(5, 'abc') + 'tion' for _ in range(4))} is public" for _ in range(120)]
+    docs = frame(spark, texts)
+    found = secrets.candidates(docs)
+    true = F.col("doc_id") < 120
+    old = found.where(F.col("doc_id") % 2 == 0).withColumn("label", true.cast("double"))
+    got = secrets.scan_secrets(docs, old).where(F.col("doc_id") % 2 == 1).agg(F.count_if(true & F.col("secret")).alias("hit"), F.count_if("secret").alias("said"), F.count_if(true).alias("all")).first()
+    assert got["all"] >= 55 and got["hit"] >= 0.95 * got["all"] and got["hit"] >= 0.95 * got["said"]
+    rule = secrets.weak_labels(found).agg(F.count_if(true & (F.col("label") == 1))).first()[0]
+    assert rule == 0
+    one = secrets.scan_secrets(docs, old.where("label = 0")).select("score").distinct().collect()
+    assert [r["score"] for r in one] == [0.0]
+
+
+def test_transitions_are_those_of_the_prose(spark):
+    docs = frame(spark, ["ab abba " + "0123456789abcdef0 cab", None, ""])
+    found = secrets.candidates(docs)
+    bits = secrets.transitions(found).first()["bits"]
+    around = [(r["left"], r["right"]) for r in found.collect()]
+    n = {}
+    for text in (x for pair in around for x in pair):
+        at = [secrets.ALPHABET.find(c) + 1 for c in text.lower()]
+        for a, b in zip(at, at[1:]):
+            n[a, b] = n.get((a, b), 0) + 1
+    every = {a: sum(v for (x, _), v in n.items() if x == a) for a, _ in n}
+    for a in range(secrets.SIDES):
+        for b in range(secrets.SIDES):
+            want = np.log2((every[a] + secrets.SIDES) / (n[a, b] + 1)) if (a, b) in n else np.log2(secrets.SIDES)
+            assert abs(bits[a * secrets.SIDES + b] - want) < 1e-5
+
+
+def test_pii_against_brute_force(spark):
+    """Detection and splicing by another engine of patterns; surrogates keep type and format and are one-to-one."""
+    import regex
+
+    rng = random.Random(20)
+    makers = [lambda: f"{rng.choice('abc')}{rng.randrange(50)}@x{rng.randrange(9)}.org", lambda: f"+49 30 {rng.randrange(100, 999)} {rng.randrange(1000, 9999)}", lambda: f"10.{rng.randrange(9)}.0.{rng.randrange(255)}", lambda: f"{rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"]
+    texts = [" and ".join(rng.choice(makers)() if rng.random() < 0.3 else rng.choice(WORDS) for _ in range(30)) for _ in range(120)] + [None, "", "αβγ 日本 " * 3]
+    out = {r["doc_id"]: r for r in pii.pseudonymise(frame(spark, texts), "k").collect()}
+    pattern, pairs = regex.compile(pii.PATTERN), {}
+    for i, t in enumerate(texts):
+        if not t:
+            assert out[i]["text"] == t
+            continue
+        own = pattern.findall(t)
+        gaps = pattern.split(t)
+        shape = "".join(regex.escape(g) + ("(.+?)" if k < len(own) else "") for k, g in enumerate(gaps))
+        made = regex.fullmatch(shape, out[i]["text"])
+        assert made and sum(out[i]["pii"].values()) == len(own)
+        for a, b in zip(own, made.groups()):
+            assert regex.sub(r"\d", "9", a) == regex.sub(r"\d", "9", b) or "@" in a or a.count(".") == 3
+            assert pairs.setdefault(a.lower(), b.lower()) == b.lower()
+    assert len(set(pairs.values())) == len(pairs) > 200 and not set(pairs) & set(pairs.values())
+    again = {r["doc_id"]: r["text"] for r in pii.pseudonymise(frame(spark, texts), "other key").collect()}
+    assert sum(again[i] != out[i]["text"] for i in again) > 100
