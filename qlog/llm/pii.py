@@ -1,7 +1,7 @@
 """PII: surrogates for detected entities, in DataFrame functions only.
 
-Entities are found by one pattern, and names once more without their titles in the text that has them. Each becomes a surrogate that is a keyed hash of its type and
-normalised form, written in the format of the original: an e-mail address stays one, a phone number
+Entities are found by one pattern, and names once more without their titles in the text that has them.
+Each becomes a surrogate that is a keyed hash of its type and normalised form, written in the format of the original: an e-mail address stays one, a phone number
 keeps its country code and its punctuation, an address of four octets keeps valid octets, a number that
 passes the Luhn check still passes it, a name keeps its title, gender and script. Equal entities have
 equal surrogates in all documents (coreference). A collision check over all distinct entities finds
@@ -11,14 +11,17 @@ different entities with one surrogate, and surrogates that are real entities; th
 from __future__ import annotations
 
 import itertools
+import secrets
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from qlog.llm.common import written
 
-#: Largest number of redrawn entities that go to the rewriting as one broadcast map; more are joined by text.
-MAP_LIMIT = 50_000
+#: Largest number of redrawn entities that go to the rewriting as one broadcast map, a few kB on each row; more are joined by text.
+MAP_LIMIT = 100
+#: Setting of the session that holds the secret key of surrogates.
+KEY = "spark.qlog.pii.key"
 #: Draws after which a number's format is held to have no room left.
 MOST_ROUNDS = 200
 
@@ -299,13 +302,20 @@ def redraws(docs: DataFrame, key: str) -> DataFrame:
     return turns.where("turn > 0").select("type", "form", "turn")
 
 
-def pseudonymise(docs: DataFrame, key: str = "local-key", found: str = "pii") -> DataFrame:
+def own_key(docs: DataFrame) -> str:
+    """The session's key (``KEY``); where it has none, one drawn at random, which nobody can compute surrogates with later."""
+    return docs.sparkSession.conf.get(KEY, None) or secrets.token_hex(16)
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None, found: str = "pii") -> DataFrame:
     """``docs`` with all entities of ``text`` replaced, and ``found``: map of type to number of mentions.
 
+    ``key`` makes the surrogates: equal keys give equal ones, and whoever has it can recompute them. By default
+    it is the session's (see ``own_key``).
     Null texts stay null, texts without entities stay as they are, with an empty map. Repeated rows are
     rewritten alike. A column of the input named ``found`` is replaced. An empty table gives no rows.
     """
-    docs = docs.drop(found)
+    docs, key = docs.drop(found), own_key(docs) if key is None else key
     again = redraws(docs, key)
     pair = F.concat_ws("|", "type", "form")
     few = again.limit(MAP_LIMIT + 1).count()  # decides between a bounded map and a join
@@ -345,6 +355,10 @@ def pseudonymise(docs: DataFrame, key: str = "local-key", found: str = "pii") ->
     return own.withColumn(found, counts).withColumn("text", text).select(*docs.columns, found)
 
 
-def pii_digest(docs: DataFrame, key: str = "local-key") -> DataFrame:
+def pii_digest(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """doc_id, text with surrogates and the number of mentions of each type; other columns are ignored.
+
+    Null texts stay null with no mentions; repeated rows are rewritten alike.
+    """
     out = pseudonymise(docs.select("doc_id", "text"), key)
     return out.select("doc_id", "text", *[F.coalesce(F.try_element_at("pii", F.lit(t)), F.lit(0)).cast("long").alias(f"n_{t}") for t in TYPES])
