@@ -161,7 +161,7 @@ def score_texts(model: ToxicityModel, texts: pa.Array) -> np.ndarray:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held: int = 2, most_rows: int = 6000, most_chars: int = 40_000) -> ToxicityModel:
     """Fit on at most ``most_rows`` labelled texts outside fold ``held`` (see ``training_sample``).
 
-    A fifth of the sample is kept back to set the temperature and the thresholds: for each language
+    A fifth of the sample is kept back from the network to set its temperature and thresholds: for each language
     of ``docs`` the threshold between 0.1 and 0.9 with the best F1 on its kept-back rows (the default
     0.3 where a language has under 20 of them or only one label). Language never enters a score.
     An empty sample gives a model that scores every text 0.5 * its prior.
@@ -187,9 +187,6 @@ def fit_sample(sample: pa.Table) -> ToxicityModel:
                 f1 = [2 * ((p >= g) & (t > 0)).sum() / max(1, (p >= g).sum() + t.sum()) for g in grid]
                 best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-12)
                 model.thresholds[str(lang)] = round(float(grid[best].mean()), 3)
-        whole = fit_network(texts, y)  # the kept-back rows have done their part
-        whole.heat, whole.thresholds = model.heat, model.thresholds
-        model = whole
     return model
 
 
