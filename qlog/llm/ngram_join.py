@@ -8,9 +8,10 @@ share a passage with each other in turn do not run together. A group is cut into
 bitmaps bound every overlap from above by counting bits, and an exact intersection of the sorted arrays
 decides the rest. Links within a tile leave it as a spanning forest, never as all pairs.
 
-Each vertex first goes to one group alone, which links nearly all of a family of copies. Of all its groups
+Each vertex first goes to its largest group alone, which links nearly all of a family of copies. Of all its groups
 only those are then compared whose members are still in several components, and only members
-outside a group's largest component with the others.
+outside a group's largest component with the others. There the bitmaps go first and alone, a sixteenth of the
+arrays; arrays follow for those rows only that have a partner which the bounds leave.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ from qlog.llm.graph import components
 
 #: ASCII blanks separate words; everything else belongs to them.
 WORD_BYTES = np.array([0 if b in (9, 10, 11, 12, 13, 32) else 1 for b in range(256)], np.uint8)
-TILE, PIVOTS, SMALL_ROWS = 2048, 32, 128
+TILE, PIVOTS, SMALL_ROWS = 1024, 32, 128
+#: Groups of so many members go to the task of their smallest one, so that a set that is in many of them is sent there once.
+FAMILY = 16
 #: Shingles that the sets of a tile hold together, about; a tile of longer texts has fewer rows, ``LEAST_TILE`` at least.
 TILE_SHINGLES, LEAST_TILE = 1 << 20, 8
 #: The table that picks the texts of candidates (four numbers a row) is broadcast up to so many rows, else shuffled.
@@ -132,97 +135,158 @@ def features(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_key().alias("th"), "text").mapInArrow(run, "doc_id long, th string, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Hashed bitmap of a set, four bits a shingle at least, a power of two; half of it folded on the other is that of half the size."""
+    bits = 1 << max(6, int(4 * len(s) - 1).bit_length())
+    out = np.zeros(bits, bool)
+    out[(s & U64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out).view(U64)
+
+
+def folded(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps of one tile as rows of the smallest one's size."""
+    least = min(len(m) for m in maps)
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, least), axis=0) for m in maps])
+
+
 def _sets(texts: DataFrame, n: int) -> DataFrame:
-    """(id, n, shingles) of each vertex's text."""
+    """(id, bits, shingles) of each vertex's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, raw, offsets in text_slices(b.column(1)):
-                arrays = [s.tobytes() for s in shingle_sets(raw, offsets, n)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(x) // 8 for x in arrays], pa.int64()), pa.array(arrays, pa.binary())], ["id", "n", "shingles"])
+                arrays = list(shingle_sets(raw, offsets, n))
+                made = [pa.array([f(x).tobytes() for x in arrays], pa.binary()) for f in (bitmap, np.asarray)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *made], ["id", "bits", "shingles"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, n long, shingles binary")
+    return texts.select("id", "text").mapInArrow(run, "id long, bits binary, shingles binary")
 
 
-def _bitmaps(arrays: list[np.ndarray], bits: int) -> np.ndarray:
-    out = np.zeros((len(arrays), bits), bool)
-    for row, s in zip(out, arrays):
-        row[(s % U64(bits)).astype(np.int64)] = True
-    return np.packbits(out, axis=1).view(U64)
+class Tile:
+    """Rows of a tile by size. Pairs have at least one member in ``left`` and belong to different ``comps``.
 
+    Of a pair (i, j), at most size(i) less the bits of i that j lacks can be shared, and the same the
+    other way round.
+    """
 
-def link_tile(sizes: np.ndarray, arrays: list[np.ndarray], comps: np.ndarray, left: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links of a tile that join different ``comps``.
+    def __init__(self, sizes: np.ndarray, maps: list[np.ndarray], comps: np.ndarray, left: np.ndarray, num: int, den: int):
+        self.order = np.argsort(sizes, kind="stable")
+        self.n, self.comp, self.left = sizes[self.order], comps[self.order].copy(), left[self.order]
+        self.maps, self.num, self.den = folded([maps[i] for i in self.order]), num, den
 
-    Pairs have at least one member in ``left``. Of a pair (i, j), at most size(i) less the bits of i
-    that j lacks can be shared, and the same the other way round.
-    """
-    order = np.argsort(sizes, kind="stable")
-    n, arrays, comp, left = sizes[order], [arrays[i] for i in order], comps[order].copy(), left[order]
-    bits = 1 << min(16, max(6, int(4 * n[-1] - 1).bit_length()))
-    maps = _bitmaps(arrays, bits)
-    out = []
-    for i in range(len(n) - 1):
-        end = np.searchsorted(n, n[i] * den // num, "right")
-        j = np.arange(i + 1, end)
-        j = j[(comp[j] != comp[i]) & (left[j] | left[i])]
+    def partners(self, i: int) -> np.ndarray:
+        """Rows after ``i`` that the bounds leave as its partners."""
+        n, maps = self.n, self.maps
+        j = np.arange(i + 1, np.searchsorted(n, n[i] * self.den // self.num, "right"))
+        j = j[(self.comp[j] != self.comp[i]) & (self.left[j] | self.left[i])]
         if not len(j):
-            continue
+            return j
         only_i = np.bitwise_count(maps[i] & ~maps[j]).sum(1, dtype=np.int64)
         only_j = np.bitwise_count(maps[j] & ~maps[i]).sum(1, dtype=np.int64)
         most = np.minimum(n[i] - only_i, n[j] - only_j)
-        for k in j[(num + den) * most >= num * (n[i] + n[j])]:
-            if comp[k] == comp[i]:
-                continue
-            shared = len(np.intersect1d(arrays[i], arrays[k], assume_unique=True))
-            if (num + den) * shared >= num * (n[i] + n[k]):
-                out.append((int(order[i]), int(order[k])))
-                comp[comp == comp[k]] = comp[i]
-    return out
+        return j[(self.num + self.den) * most >= self.num * (n[i] + n[j])]
+
+    def live(self) -> np.ndarray:
+        """Which rows (in the given order) have a partner that the bounds leave."""
+        out = np.zeros(len(self.n), bool)
+        for i in range(len(self.n) - 1):
+            j = self.partners(i)
+            if len(j):
+                out[self.order[i]] = out[self.order[j]] = True
+        return out
+
+    def links(self, arrays: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Spanning forest of the links."""
+        arrays, out = [arrays[i] for i in self.order], []
+        for i in range(len(self.n) - 1):
+            for k in self.partners(i):
+                if self.comp[k] == self.comp[i]:
+                    continue
+                shared = len(np.intersect1d(arrays[i], arrays[k], assume_unique=True))
+                if (self.num + self.den) * shared >= self.num * (self.n[i] + self.n[k]):
+                    out.append((int(self.order[i]), int(self.order[k])))
+                    self.comp[self.comp == self.comp[k]] = self.comp[i]
+        return out
+
+
+#: A row of a tile; ``pool`` tells which small tiles go to one task.
+ROW = "id long, blocks long, n long, comp long, left boolean, tile long, pool long"
+NAMES = [c.split()[0] for c in ROW.split(", ")]
+
+
+def _in_tasks(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` (ROW) by task and set, with the columns of ``sets``: each set once a task, and the tiles it is in there.
+
+    A tile of a large group is a task, tiles of small groups share tasks of bounded size.
+    """
+    small_tile = F.col("blocks") == 1
+    held = rows.where(small_tile).agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
+    tasks = max(1, held["k"] // SMALL_ROWS, (held["n"] or 0) // TILE_SHINGLES)
+    task = F.when(small_tile, F.pmod(F.xxhash64("pool"), F.lit(tasks))).otherwise(F.col("tile"))
+    own = rows.withColumn("task", task).groupBy("task", "id", "n", "comp").agg(F.collect_list(F.struct("tile", "left", "blocks", "pool")).alias("places"))
+    return own.join(sets, "id")
+
+
+def _places(t: pa.Table) -> dict[str, np.ndarray]:
+    """Columns of ROW, and ``at``: the row of ``t`` of each."""
+    places = t["places"].combine_chunks()
+    flat = places.flatten()
+    at = np.repeat(np.arange(len(places)), np.diff(places.offsets.to_numpy()))
+    own = {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("tile", "left", "blocks", "pool")}
+    return own | {c: t[c].to_numpy()[at] for c in ("id", "n", "comp")} | {"at": at}
 
 
-def _tiles(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) between components, found in tiles. ``rows``: task, tile, n, shingles, comp, left."""
+def _each_tile(t: pa.Table, rows: dict[str, np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, Tile]]:
+    """(numbers of its rows, tile) of every tile of a task with several rows."""
+    order = np.argsort(rows["tile"], kind="stable")
+    bits = t["bits"].combine_chunks()
+    for own in np.split(order, np.flatnonzero(np.diff(rows["tile"][order])) + 1):
+        if len(own) > 1:
+            yield own, Tile(rows["n"][own], [np.frombuffer(bits[int(i)].as_buffer(), U64) for i in rows["at"][own]], rows["comp"][own], rows["left"][own], num, den)
+
+
+def _tiles(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components, found in the tiles of ``rows`` (ROW)."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
-        tile = t["tile"].to_numpy()
-        order = np.argsort(tile, kind="stable")
-        cuts = np.flatnonzero(np.diff(tile[order])) + 1
-        n, comp, left = (t[c].to_numpy() for c in ("n", "comp", "left"))
-        raw = t["shingles"].combine_chunks()
+        places, raw = _places(t), t["shingles"].combine_chunks()
         a, b = [], []
-        for own in np.split(order, cuts):
-            if len(own) < 2:
-                continue
-            arrays = [np.frombuffer(raw[int(i)].as_buffer(), U64) for i in own]
-            for x, y in link_tile(n[own], arrays, comp[own], left[own], num, den):
-                a.append(int(comp[own[x]]))
-                b.append(int(comp[own[y]]))
+        for own, tile in _each_tile(t, places, num, den):
+            for x, y in tile.links([np.frombuffer(raw[int(i)].as_buffer(), U64) for i in places["at"][own]]):
+                a.append(int(places["comp"][own[x]]))
+                b.append(int(places["comp"][own[y]]))
         yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.select("task", "tile", "n", "shingles", "comp", "left").groupBy("task").applyInArrow(run, "a long, b long")
+    return _in_tasks(rows, sets).groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def _longs(top: str) -> F.Column:
-    return F.sequence(F.lit(0).cast("long"), F.col(top) - 1)
+def _live(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Those ``rows`` (ROW) that have a partner in their tile which the bounds leave."""
 
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        places = _places(t)
+        live = np.zeros(len(places["at"]), bool)
+        for own, tile in _each_tile(t, places, num, den):
+            live[own] = tile.live()
+        yield pa.RecordBatch.from_pydict({c: pa.array(places[c][live], pa.bool_() if c == "left" else pa.int64()) for c in NAMES})
 
-def _pooled(large: F.Column, rows: DataFrame) -> DataFrame:
-    """``rows`` with their task: a tile of a large group is one, tiles of small groups share tasks of bounded size."""
-    held = rows.where(~large).agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
-    tasks = max(1, held["k"] // SMALL_ROWS, (held["n"] or 0) // TILE_SHINGLES)
-    return rows.withColumn("task", F.when(large, F.col("tile")).otherwise(F.pmod("tile", F.lit(tasks))))
+    return _in_tasks(rows, sets.select("id", "bits")).groupBy("task").applyInArrow(run, ROW)
+
+
+def _longs(top: str) -> F.Column:
+    return F.sequence(F.lit(0).cast("long"), F.col(top) - 1)
 
 
 def _first_links(met: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links found where each vertex goes to one of its groups; some pivots of a large group go to all its tiles."""
-    one = met.groupBy("id").agg(F.min(F.struct(F.xxhash64("key").alias("o"), "key", "k", "blocks", "n")).alias("g")).select("id", "g.key", "g.k", "g.blocks", "g.n")
+    """Links found where each vertex goes to the largest of its groups; some pivots of a large group go to all its tiles."""
+    one = met.groupBy("id").agg(F.min(F.struct((-F.col("k")).alias("o"), "key", "k", "blocks", "n")).alias("g")).select("id", "g.key", "g.k", "g.blocks", "g.n")
     pivot = F.pmod(F.xxhash64("id", F.lit(1)), "k") < PIVOTS
     tiles = F.when((F.col("blocks") > 1) & pivot, _longs("blocks")).otherwise(F.array(F.pmod(F.xxhash64("id"), "blocks")))
     rows = one.withColumn("b", F.explode(tiles)).withColumn("tile", F.xxhash64("key", "b"))
-    rows = _pooled(F.col("blocks") > 1, written(rows.select("id", "blocks", "n", "tile"), "rows"))
-    return _tiles(rows.join(sets, "id").withColumn("comp", F.col("id")).withColumn("left", F.lit(True)), num, den)
+    rows = rows.select("id", "blocks", "n", F.col("id").alias("comp"), F.lit(True).alias("left"), "tile", F.col("tile").alias("pool"))
+    return _tiles(written(rows, "rows"), sets, num, den)
 
 
 def _groups(pairs: DataFrame, tile: int, name: str) -> DataFrame:
@@ -242,9 +306,9 @@ def _open(met: DataFrame, comps: DataFrame) -> DataFrame:
     """
     labelled = written(met.join(comps, F.col("id") == F.col("node"), "left").select("key", "blocks", "tile", "n", "id", F.coalesce("component", "id").alias("comp")), "labelled")
     both = lambda x, y: [F.bit_xor(x).alias("x"), F.bit_xor(y).alias("y")]
-    by = labelled.groupBy("key", "comp").agg(F.count("*").alias("k"), *both(F.xxhash64("id"), F.xxhash64("id", F.lit(3))))
-    main = by.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("k"), F.max("k").alias("most"), *both("x", "y")).where("k > most")
-    main = main.groupBy("k", "x", "y").agg(F.min_by(F.struct("key", "main", (F.col("k") - F.col("most")).alias("rest")), "key").alias("g")).select("g.*")
+    by = labelled.groupBy("key", "comp").agg(F.count("*").alias("k"), F.min("id").alias("id"), *both(F.xxhash64("id"), F.xxhash64("id", F.lit(3))))
+    main = by.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("k"), F.max("k").alias("most"), F.min("id").alias("id"), *both("x", "y")).where("k > most")
+    main = main.groupBy("k", "x", "y").agg(F.min_by(F.struct("key", "main", (F.col("k") - F.col("most")).alias("rest"), F.when(F.col("k") <= FAMILY, F.col("id")).alias("pool")), "key").alias("g")).select("g.*")
     rows = written(labelled.join(written(main, "main"), "key").withColumn("left", F.col("comp") != F.col("main")), "open")
     forget(labelled)
     return rows
@@ -295,7 +359,7 @@ def _other_links(met: DataFrame, sets: DataFrame, comps: DataFrame, bands: Bands
     rows = _open(met, comps)
     single = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), "left"))
     small_groups, large = rows.where("blocks = 1"), rows.where("blocks > 1")
-    done = small_groups.select("key", "blocks", "n", "id", "comp", F.inline(single))
+    done = small_groups.select("key", "blocks", "n", "id", "comp", "pool", F.inline(single))
     if not large.isEmpty():
         again = _open(_groups(_rare_keys(large.select("id").distinct(), sets, bands), tile, "met again"), comps)
         again = again.withColumn("rests", F.ceil(F.col("rest") / F.col("tile")))
@@ -304,10 +368,12 @@ def _other_links(met: DataFrame, sets: DataFrame, comps: DataFrame, bands: Bands
         as_right = F.transform(_longs("rests"), lambda x: each(x, b, False))
         as_left = F.transform(_longs("blocks"), lambda x: each(a, x, True))
         product = F.when(F.col("left"), F.concat(as_left, as_right)).otherwise(as_right)
-        done = done.unionByName(again.select("key", "blocks", "n", "id", "comp", F.inline(F.when(F.col("blocks") == 1, single).otherwise(product))))
-    done = written(done.select("id", "blocks", "n", "comp", "left", F.xxhash64("key", "a", "b").alias("tile")), "rows")
-    links = written(_tiles(_pooled(F.col("blocks") > 1, done).join(sets, "id"), bands.num, bands.den), "links")
-    forget(rows, done)
+        done = done.unionByName(again.select("key", "blocks", "n", "id", "comp", "pool", F.inline(F.when(F.col("blocks") == 1, single).otherwise(product))))
+    tile_of = F.xxhash64("key", "a", "b")
+    done = written(done.select("id", F.col("blocks").cast("long").alias("blocks"), "n", "comp", "left", tile_of.alias("tile"), F.coalesce("pool", tile_of).alias("pool")), "rows")
+    live = written(_live(done, sets, bands.num, bands.den), "live")
+    links = written(_tiles(live, sets, bands.num, bands.den), "links")
+    forget(rows, done, live)
     return links
 
 
