@@ -1,8 +1,8 @@
 """Latency baselines: five calendar layers, seventeen metrics, coverage and sufficiency.
 
 Samples are one row an execution: key columns, ``start_at``, ``us`` (duration in whole microseconds),
-``included`` and ``codes`` (reasons against it). Durations are counted per (group, bucket, value) before
-any percentile, so a very frequent group shrinks on the map side.
+``included`` and ``codes`` (reasons against it). They are counted once per group, hour, duration and
+reasons; all layers and metrics come from those counts, so a very frequent group shrinks on the map side.
 """
 
 from __future__ import annotations
@@ -20,11 +20,26 @@ TIMINGS = ["request", "parse", "bind", "execute_first", "execute_fetch"]
 THRESHOLDS = [("overall", 30, 200, 1000, "active_days", 7), ("day", 30, 200, 1000, None, 0), ("week", 30, 200, 1000, "active_days", 3), ("weekday", 30, 200, 1000, "active_weeks", 4), ("hour", 30, 200, 1000, "active_days", 7)]
 
 
+def by_hour(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Samples with a start, counted: ``start_at`` is the hour of their start, ``n`` their number, ``first_at`` and ``last_at`` their first and last start.
+
+    An hour lies in one bucket of each layer, as local time is whole hours away.
+    """
+    hour = F.date_trunc("hour", "start_at").cast(dict(samples.dtypes)["start_at"])
+    counted = samples.where("start_at is not null").groupBy(*keys, hour.alias("hour"), "us", "included", "codes")
+    return counted.agg(F.count("*").alias("n"), F.min("start_at").alias("first_at"), F.max("start_at").alias("last_at")).withColumnRenamed("hour", "start_at")
+
+
 def explode_layers(samples: DataFrame) -> DataFrame:
-    """AGG-01: each sample in its five buckets; samples without a start are in none."""
+    """AGG-01: each sample (or count of samples, see ``by_hour``) in its five buckets; samples without a start are in none."""
     return samples.where("start_at is not null").withColumn("_b", F.explode(cal.layer_buckets(F.col("start_at")))).select("*", "_b.*").drop("_b")
 
 
+def _number(layered: DataFrame) -> Column:
+    """Samples that a row stands for."""
+    return F.col("n") if "n" in layered.columns else F.lit(1)
+
+
 def _ms(us: Column) -> Column:
     return us / 1000.0
 
@@ -32,7 +47,7 @@ def _ms(us: Column) -> Column:
 def metrics(layered: DataFrame, keys: list[str]) -> DataFrame:
     """AGG-02..09: the seventeen metrics of the included samples of each (keys, bucket)."""
     by = [*keys, *BUCKET]
-    counted = layered.where("included and us is not null").groupBy(*by, "us").agg(F.count("*").alias("n"))
+    counted = layered.where("included and us is not null").groupBy(*by, "us").agg(F.sum(_number(layered)).alias("n"))
     logs = F.log1p(_ms(F.col("us")))
     first = counted.groupBy(*by).agg(
         F.sum("n").alias("n"),
@@ -82,15 +97,16 @@ def counts(layered: DataFrame, keys: list[str], window_start: Column, window_end
 
     ``window_start`` and ``window_end`` are local dates; the range is half-open.
     """
-    got = F.col("included")
+    got, n = F.col("included"), _number(layered)
+    first, last = ("first_at", "last_at") if "first_at" in layered.columns else ("start_at", "start_at")
     start, end = F.col("bucket_date"), F.when(F.col("layer") == "day", F.date_add("bucket_date", 1)).when(F.col("layer") == "week", F.date_add("bucket_date", 7))
     out = layered.groupBy(*keys, *BUCKET).agg(
-        F.count_if(got).alias("included_count"),
-        F.count_if(~got).alias("excluded_count"),
+        F.coalesce(F.sum(F.when(got, n)), F.lit(0)).cast("long").alias("included_count"),
+        F.coalesce(F.sum(F.when(~got, n)), F.lit(0)).cast("long").alias("excluded_count"),
         F.array_sort(F.collect_set(F.when(got, cal.day(F.col("start_at"))))).alias("active_dates"),
         F.array_sort(F.collect_set(F.when(got, cal.monday(F.col("start_at"))))).alias("active_weeks"),
-        F.min(F.when(got, F.col("start_at"))).alias("first_sample_at"),
-        F.max(F.when(got, F.col("start_at"))).alias("last_sample_at"),
+        F.min(F.when(got, F.col(first))).alias("first_sample_at"),
+        F.max(F.when(got, F.col(last))).alias("last_sample_at"),
     )
     return out.withColumns(
         {
@@ -104,7 +120,7 @@ def counts(layered: DataFrame, keys: list[str], window_start: Column, window_end
 def exclusions(layered: DataFrame, keys: list[str]) -> DataFrame:
     """AGG-12: per bucket a map of reason to the number of samples that have it (once a sample)."""
     by = [*keys, *BUCKET]
-    each = layered.where("not included").select(*by, F.explode(F.array_distinct("codes")).alias("code")).groupBy(*by, "code").count()
+    each = layered.where("not included").select(*by, _number(layered).alias("n"), F.explode(F.array_distinct("codes")).alias("code")).groupBy(*by, "code").agg(F.sum("n").alias("count"))
     return each.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "count")))).alias("exclusions_by_reason"))
 
 
@@ -123,7 +139,7 @@ def null_safe(left: DataFrame, right: DataFrame, by: list[str], how: str = "left
 
 def statistics(samples: DataFrame, keys: list[str], window_start: Column, window_end: Column) -> DataFrame:
     """All of a build: counts, exclusions, metrics and null reasons of every bucket that has samples."""
-    layered, by = explode_layers(samples), [*keys, *BUCKET]
+    layered, by = explode_layers(samples if "n" in samples.columns else by_hour(samples, keys)), [*keys, *BUCKET]
     out = null_safe(counts(layered, keys, window_start, window_end), metrics(layered, keys), by)
     out = null_safe(out, exclusions(layered, keys), by)
     empty = F.create_map().cast("map<string,bigint>")

@@ -93,7 +93,8 @@ def threshold_groups(samples: DataFrame, keys: list[str], limits: list[int], lea
 
 def median_ratios(samples: DataFrame, sub: str, least: int = 5) -> DataFrame:
     """DIA-08, DIA-09: groups with at least two subgroups of ``least`` samples by the ratio of their largest to their smallest median."""
-    med = samples.where("fp is not null").groupBy("fp", sub).agg(F.count("*").alias("n"), F.median("ms").alias("m")).where(F.col("n") >= least)
+    values = samples.where("fp is not null").groupBy("fp", sub, "ms").agg(F.count("*").alias("k"))  # a frequent group shrinks before its median
+    med = values.groupBy("fp", sub).agg(F.sum("k").alias("n"), F.percentile("ms", F.lit(0.5), F.col("k")).alias("m")).where(F.col("n") >= least)
     groups = med.groupBy("fp").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max("m").alias("hi"), F.min("m").alias("lo")).where("k >= 2")
     ratio = F.when((F.col("hi") == 0) & (F.col("lo") == 0), F.lit(1.0)).otherwise(F.try_divide("hi", "lo"))
     bucket = F.when(ratio <= 2, "<=2").when(ratio <= 5, "2-5").when(ratio <= 10, "5-10").otherwise(">10")
@@ -102,7 +103,7 @@ def median_ratios(samples: DataFrame, sub: str, least: int = 5) -> DataFrame:
 
 def encoding_audit(texts: DataFrame, every: int = 128) -> DataFrame:
     """DIA-11: texts that are no valid UTF-8 or hold NUL, by cluster, and an even sample of about ``every`` of them. ``texts``: scope_id, input_id, content (binary), n."""
-    bad = texts.where(~F.is_valid_utf8(F.col("content").cast("string")) | (F.locate("00", F.hex("content")) % 2 == 1))
+    bad = texts.where(~F.is_valid_utf8(F.col("content").cast("string")) | F.contains("content", F.lit(b"\0")))
     spread = F.ntile(every).over(Window.partitionBy("scope_id").orderBy("input_id"))
     first = F.row_number().over(Window.partitionBy("scope_id", "tile").orderBy("input_id")) == 1
     return bad.withColumn("tile", spread).withColumn("sampled", first).groupBy("scope_id").agg(F.count("*").alias("inputs"), F.sum("n").alias("occurrences"), F.count_if("sampled").alias("sampled"))

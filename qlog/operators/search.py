@@ -67,10 +67,9 @@ def text_search(texts: DataFrame, cells: DataFrame, terms: list[str], limit: int
     found = texts.where(tx.match_all_terms(F.col("search_text"), F.lit(terms)))
     got = found.select("sql_id", "fingerprint").join(cells, "sql_id", "left")
     who = F.struct("scope_id", "database", "execution_user")
-    per = got.groupBy("fingerprint", "scope_id", "database", "execution_user").agg(F.sum("records").alias("r"), F.max("last_at").alias("l"), F.collect_set("sql_id").alias("ids"))
+    per = got.groupBy("fingerprint", "scope_id", "database", "execution_user").agg(F.sum("records").alias("r"), F.max("last_at").alias("l"))
+    ids = found.groupBy("fingerprint").agg(F.min("sql_id").alias("example_sql_id"), F.count_distinct("sql_id").alias("matched_texts"))
     out = per.groupBy("fingerprint").agg(
-        F.array_min(F.array_sort(F.flatten(F.collect_list("ids")))).alias("example_sql_id"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("ids")))).cast("long").alias("matched_texts"),
         F.coalesce(F.sum("r"), F.lit(0)).alias("records"),
         F.max("l").alias("last_at"),
         F.array_sort(F.collect_set("scope_id")).alias("scopes"),
@@ -78,9 +77,16 @@ def text_search(texts: DataFrame, cells: DataFrame, terms: list[str], limit: int
         F.count_if(F.col("r").isNotNull()).alias("identities"),
         F.min_by(who, F.struct(-F.coalesce("r", F.lit(0)), who)).alias("top"),
     )
-    out = out.withColumn("total", F.count("*").over(Window.partitionBy()))
-    out = out.withColumn("by_count", F.row_number().over(Window.orderBy(F.desc("records"), "fingerprint"))).withColumn("by_recency", F.row_number().over(Window.orderBy(F.desc_nulls_last("last_at"), "fingerprint")))
-    return out.where((F.col("by_count") <= limit) | (F.col("by_recency") <= limit))
+    out = null_safe(out, ids, ["fingerprint"])
+    keys = {"by_count": F.struct(-F.col("records"), "fingerprint"), "by_recency": F.struct(F.col("last_at").isNull(), -F.unix_micros(F.col("last_at").cast("timestamp")), "fingerprint")}
+    keyed = out.select("*", *[k.alias(f"_{n}") for n, k in keys.items()])
+    # the page: at most twice ``limit`` rows; only these meet all others, to count those before them
+    page = keyed.orderBy("_by_count").limit(limit).unionByName(keyed.orderBy("_by_recency").limit(limit)).dropDuplicates(["_by_count"])
+    for name in keys:
+        own = page.select(F.col(f"_{name}").alias("_own"))
+        place = keyed.select(f"_{name}").join(F.broadcast(own), F.col(f"_{name}") <= F.col("_own")).groupBy("_own").agg(F.count("*").cast("int").alias(name))
+        page = page.join(F.broadcast(place), F.col(f"_{name}").eqNullSafe(F.col("_own"))).drop("_own")
+    return page.crossJoin(F.broadcast(out.agg(F.count("*").alias("total")))).drop(*[f"_{n}" for n in keys])
 
 
 def time_bounds(records: DataFrame, by: list[str]) -> DataFrame:
@@ -95,8 +101,11 @@ def timeline(records: DataFrame, unit: str = "hour") -> DataFrame:
     bucket = F.date_trunc(unit, cal.local(F.col("end_at")))
     base = records.withColumn("bucket", bucket.cast("timestamp_ntz"))
     status = base.groupBy("timing_type", "bucket", "outcome").count().groupBy("timing_type", "bucket").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("outcome", "count")))).alias("statuses"))
-    ms = F.col("us") / 1000.0
-    own = base.groupBy("timing_type", "bucket").agg(F.count("*").alias("records"), F.count("us").alias("known"), F.percentile(ms, F.lit(0.5)).alias("p50"), F.percentile(ms, F.lit(0.95)).alias("p95"), F.max(ms).alias("longest"))
+    ms, n = F.col("us") / 1000.0, F.col("n")
+    values = base.groupBy("timing_type", "bucket", "us").agg(F.count("*").alias("n"))  # a busy hour shrinks before its percentiles
+    own = values.groupBy("timing_type", "bucket").agg(
+        F.sum(n).alias("records"), F.coalesce(F.sum(F.when(F.col("us").isNotNull(), n)), F.lit(0)).alias("known"), F.percentile(ms, F.lit(0.5), n).alias("p50"), F.percentile(ms, F.lit(0.95), n).alias("p95"), F.max(ms).alias("longest")
+    )
     return null_safe(own, status, ["timing_type", "bucket"])
 
 
@@ -188,8 +197,9 @@ def texts_of_structure(records: DataFrame, texts: DataFrame, stats: DataFrame, f
     """QRY-26: per structure its texts: executions, median, slowest, share above P95, hits of the search first; top ``limit`` by count."""
     flags = stats.where("layer = 'overall'").select(*by, F.when(F.col("p95.met"), F.col("p95_ms")).alias("ref"))
     joined = null_safe(records, flags, by).withColumn("ms", F.col("us") / 1000.0)
-    own = joined.groupBy("fingerprint", "sql_id").agg(
-        F.count("*").alias("executions"), F.percentile("ms", F.lit(0.5)).alias("median_ms"), F.max("ms").alias("slowest_ms"), F.count_if(F.col("ms") > F.col("ref")).alias("above"), F.count_if(F.col("ms").isNotNull() & F.col("ref").isNotNull()).alias("comparable")
+    values = joined.groupBy("fingerprint", "sql_id", "ms").agg(F.count("*").alias("n"), F.count_if(F.col("ms") > F.col("ref")).alias("above"), F.count_if(F.col("ms").isNotNull() & F.col("ref").isNotNull()).alias("comparable"))
+    own = values.groupBy("fingerprint", "sql_id").agg(
+        F.sum("n").alias("executions"), F.percentile("ms", F.lit(0.5), F.col("n")).alias("median_ms"), F.max("ms").alias("slowest_ms"), F.sum("above").alias("above"), F.sum("comparable").alias("comparable")
     )
     own = own.join(found.select("sql_id").distinct().withColumn("hit", F.lit(True)), "sql_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     own = own.withColumn("above_share", F.round(F.try_divide("above", "comparable"), 4)).withColumn("total_texts", F.count("*").over(Window.partitionBy("fingerprint")))
@@ -208,8 +218,8 @@ def ranking(records: DataFrame, order: str, limit: int) -> DataFrame:
     only = f.join(timed.select(*by).distinct(), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left_anti").select(*[F.col(f"_{c}").alias(c) for c in by], "untimed")
     rows = rows.unionByName(only, allowMissingColumns=True)
     rows = rows.select(*by, "timing_type", (F.coalesce("n", F.lit(0)) + F.col("untimed")).alias("records"), "total_us", (F.col("total_us") / F.col("n")).alias("mean_us"), "slowest_us", (F.coalesce("bad", F.lit(0)) + F.col("untimed")).alias("not_success"))
-    rows = rows.withColumn("total_rows", F.count("*").over(Window.partitionBy()))
-    return rows.orderBy(F.desc_nulls_last(order), *by, F.asc_nulls_last("timing_type")).limit(limit)
+    page = rows.orderBy(F.desc_nulls_last(order), *by, F.asc_nulls_last("timing_type")).limit(limit)
+    return page.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total_rows")))).orderBy(F.desc_nulls_last(order), *by, F.asc_nulls_last("timing_type"))
 
 
 def baseline_ranking(stats: DataFrame, order: str, least_samples: int, limit: int, last_seen: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:

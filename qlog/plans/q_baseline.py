@@ -66,7 +66,7 @@ SELECT {KEYS_SQL}, {BUCKET_SQL}, metric, CASE WHEN included_count = 0 THEN 'no_s
 )
 def baseline_null_reasons(spark, d):
     """AGG-10."""
-    return base.statistics(spark, d).select(*KEYS, *bucket(), F.explode("metric_null_reasons").alias("metric", "reason"))
+    return base.build(spark, d).select(*KEYS, *bucket(), F.explode("metric_null_reasons").alias("metric", "reason"))
 
 
 @query(
@@ -76,7 +76,7 @@ SELECT {KEYS_SQL}, {BUCKET_SQL}, code, count(*) AS n FROM c GROUP BY ALL""",
 )
 def baseline_exclusions(spark, d):
     """AGG-12, QRY-36 source."""
-    return base.statistics(spark, d).select(*KEYS, *bucket(), F.explode("exclusions_by_reason").alias("code", "n"))
+    return base.build(spark, d).select(*KEYS, *bucket(), F.explode("exclusions_by_reason").alias("code", "n"))
 
 
 @query(
@@ -89,7 +89,7 @@ layer = 'week' AND (bucket_date < DATE '{base.WINDOW[0]}' OR bucket_date + 7 > D
 )
 def baseline_activity(spark, d):
     """AGG-13..15."""
-    return base.statistics(spark, d).select(
+    return base.build(spark, d).select(
         *KEYS, *bucket(), F.array_join(F.col("active_dates").cast("array<string>"), ",").alias("active_dates"), F.array_join(F.col("active_weeks").cast("array<string>"), ",").alias("active_weeks"),
         cal.micros(F.col("first_sample_at")).alias("first_us"), cal.micros(F.col("last_sample_at")).alias("last_us"), base.day_text("range_start"), base.day_text("range_end"), "partial_week",
     )
@@ -110,7 +110,7 @@ FROM g CROSS JOIN ek LEFT JOIN o USING ({KEYS_SQL}, layer, bucket) GROUP BY {KEY
 )
 def baseline_coverage(spark, d):
     """AGG-16, JOI-08."""
-    return baseline.coverage(base.statistics(spark, d), KEYS, *base.window_dates()).select(*KEYS, "layer", "computed_keys", F.array_join("empty_keys", ",").alias("empty_keys"))
+    return baseline.coverage(base.build(spark, d), KEYS, *base.window_dates()).select(*KEYS, "layer", "computed_keys", F.array_join("empty_keys", ",").alias("empty_keys"))
 
 
 @query(
@@ -120,13 +120,13 @@ FROM (VALUES ('request'), ('parse'), ('bind'), ('execute_first'), ('execute_fetc
 )
 def baseline_timing_coverage(spark, d):
     """AGG-17."""
-    return baseline.timing_coverage(base.statistics(spark, d))
+    return baseline.timing_coverage(base.build(spark, d))
 
 
 @query("baseline_layer_counts", f"WITH {STATS} SELECT layer, count(*) AS rows, count(DISTINCT scope_id || '/' || database || '/' || timing_type) AS groups FROM st GROUP BY layer")
 def baseline_layer_counts(spark, d):
     """AGG-18."""
-    return baseline.layer_counts(base.statistics(spark, d), KEYS)
+    return baseline.layer_counts(base.build(spark, d), KEYS)
 
 
 _TH = ", ".join(f"('{a}', {b}, {c}, {e}, {'NULL' if f is None else repr(f)}, {g})" for a, b, c, e, f, g in baseline.THRESHOLDS)
@@ -150,7 +150,7 @@ sf AS (SELECT *, covers IS NULL OR have >= coverage_min AS covered FROM su)
 )
 def baseline_sufficiency(spark, d):
     """AGG-19, 20."""
-    out = baseline.sufficiency(base.statistics(spark, d))
+    out = baseline.sufficiency(base.build(spark, d))
     cols = [c for n in ("basic", "p95", "p99") for c in (F.col(f"{n}.met").alias(f"{n}_met"), F.array_join(f"{n}.reasons", ",").alias(f"{n}_reasons"))]
     return out.select(*KEYS, *bucket(), *cols, F.col("basic.actual_coverage").alias("actual_coverage"))
 
@@ -294,7 +294,7 @@ SELECT s.metric AS metric, CAST(0 AS BIGINT) AS only_actual, CAST(0 AS BIGINT) A
 )
 def baseline_run_comparison(spark, d):
     """AGG-26, JOI-11, SRC-16: a run against one whose hour layer drifted by 0.001."""
-    stats = base.statistics(spark, d).select(*KEYS, *baseline.BUCKET, "log_median", "log_mad")
+    stats = base.build(spark, d).select(*KEYS, *baseline.BUCKET, "log_median", "log_mad")
     drift = F.when(F.col("layer") == "hour", F.lit(0.001)).otherwise(F.lit(0.0))
     other = stats.withColumn("log_median", F.col("log_median") + drift).withColumn("log_mad", F.col("log_mad") + drift)
     return baseline.compare_runs(stats, other, [*KEYS, *baseline.BUCKET], ["log_median", "log_mad"]).drop("largest")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -29,12 +27,8 @@ def query(name: str, sql: str | None = None):
 
 
 def shared(spark) -> str:
-    """A new folder below the cluster's shared one (a local one only where the session names none)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = os.path.join(tempfile.gettempdir(), "checkpoints")
-        os.makedirs(named, exist_ok=True)
-    return f"{named.rstrip('/')}/qlog-{uuid.uuid4().hex}"
+    """A new folder below the application's own in the cluster's shared one."""
+    return f"{base.store(spark)}/{uuid.uuid4().hex}"
 
 
 def log_records(spark, d):

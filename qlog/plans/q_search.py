@@ -34,7 +34,7 @@ def _facts(spark, d):
 
 
 def _marked(spark, d):
-    return baseline.sufficiency(base.statistics(spark, d))
+    return baseline.sufficiency(base.build(spark, d))
 
 
 X = f"{EXEC}, q AS (SELECT * FROM x WHERE fingerprint IS NOT NULL)"
@@ -66,7 +66,7 @@ h AS (SELECT fingerprint, scope_id, database, execution_user, count(*) AS record
 def _hits(spark, d):
     """Baselines here are by cluster and database; those with samples count for fingerprint F1 and all users."""
     users = _facts(spark, d).select("execution_user").distinct()
-    stats = base.statistics(spark, d).select("scope_id", "database", "layer", "included_count").withColumn("fingerprint", F.lit("F1")).crossJoin(F.broadcast(users))  # ten users
+    stats = base.build(spark, d).select("scope_id", "database", "layer", "included_count").withColumn("fingerprint", F.lit("F1")).crossJoin(F.broadcast(users))  # ten users
     return search.hits(_facts(spark, d), stats)
 
 
@@ -262,14 +262,14 @@ WHERE layer = 'overall' AND included_count >= 10 ORDER BY st.p95_ms DESC NULLS L
 def search_baseline_ranking(spark, d):
     """QRY-32, 33."""
     last = base.executions(spark, d).groupBy(*KEYS).agg(cal.micros(F.max("end_at")).alias("last_us"))
-    out = search.baseline_ranking(base.statistics(spark, d), "p95_ms", 10, 25, last)
+    out = search.baseline_ranking(base.build(spark, d), "p95_ms", 10, 25, last)
     return out.select(*KEYS, F.round("p95_ms", 6).alias("p95_ms"), "included_count", F.round("mean_ms", 6).alias("mean_ms"), "last_us")
 
 
 @query("search_pattern", f"WITH {STATS} SELECT {KEYS_SQL}, CAST(bucket_number AS BIGINT) AS hour, included_count, round(p50_ms, 6) AS p50_ms, round(p95_ms, 6) AS p95_ms FROM st WHERE layer = 'hour' AND included_count > 0")
 def search_pattern(spark, d):
     """QRY-35."""
-    return search.pattern(base.statistics(spark, d), "hour").select(*KEYS, F.col("bucket_number").cast("long").alias("hour"), "included_count", F.round("p50_ms", 6).alias("p50_ms"), F.round("p95_ms", 6).alias("p95_ms"))
+    return search.pattern(base.build(spark, d), "hour").select(*KEYS, F.col("bucket_number").cast("long").alias("hour"), "included_count", F.round("p50_ms", 6).alias("p50_ms"), F.round("p95_ms", 6).alias("p95_ms"))
 
 
 @query(
@@ -279,7 +279,7 @@ SELECT o.scope_id, o.database, o.timing_type, coalesce(reason, '-') AS reason, c
 )
 def search_exclusion_breakdown(spark, d):
     """QRY-36."""
-    return search.exclusion_breakdown(base.statistics(spark, d), KEYS)
+    return search.exclusion_breakdown(base.build(spark, d), KEYS)
 
 
 @query(
@@ -291,7 +291,7 @@ SELECT scope_id, database, p.m AS metric, """
 )
 def search_metric_pivot(spark, d):
     """QRY-37."""
-    out = search.metric_pivot(base.statistics(spark, d), ["scope_id", "database"])
+    out = search.metric_pivot(base.build(spark, d), ["scope_id", "database"])
     return out.select("scope_id", "database", "metric", *[F.round(t, 6).alias(t) for t in baseline.TIMINGS])
 
 
@@ -302,7 +302,7 @@ SELECT scope_id, database, array_to_string(list_sort(list_filter(['request', 'pa
 )
 def search_missing_timings(spark, d):
     """QRY-38."""
-    return search.missing_timings(base.statistics(spark, d), ["scope_id", "database"])
+    return search.missing_timings(base.build(spark, d), ["scope_id", "database"])
 
 
 @query(
@@ -313,14 +313,14 @@ FROM g CROSS JOIN (VALUES ('request'), ('parse'), ('bind'), ('execute_first'), (
 )
 def search_all_timings(spark, d):
     """QRY-15, 16."""
-    stats = base.statistics(spark, d)
+    stats = base.build(spark, d)
     return search.all_timings(stats, stats, ["scope_id", "database"]).select("scope_id", "database", "timing_type", "included_count", "sample_state", F.round("p50_ms", 6).alias("p50_ms"))
 
 
 @query("search_baseline_document")
 def search_baseline_document(spark, d):
     """QRY-17: JSON documents; no SQL twin because writers of JSON differ in spelling numbers."""
-    stats = base.statistics(spark, d)
+    stats = base.build(spark, d)
     return search.baseline_document(search.all_timings(stats, stats, ["scope_id", "database"]), ["scope_id", "database"])
 
 

@@ -18,6 +18,7 @@ COLUMNS = [
     "message", "detail", "c20", "internal_sql", "c22", "c23", "sql", "c25", "c26", "file", "line", "c29",
 ]
 KEPT = ["log_at", "execution_user", "database", "pid", "session_start", "session_id", "command", "node", "level", "sqlstate", "file", "line"]
+MOST_FIELD = 128 << 20
 KEPT_IF_RELEVANT = ["message", "detail", "internal_sql", "sql"]
 
 
@@ -29,23 +30,27 @@ def read_log_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     schema = ", ".join(f"{c} string" for c in COLUMNS) + ", _corrupt string"
     raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("escape", '"').option("header", False).csv(paths)
     raw = raw.withColumn("path", F.col("_metadata.file_path"))
-    bad = F.max(F.col("_corrupt").isNotNull().cast("int")).over(Window.partitionBy("path"))
-    return raw.withColumn("valid", bad == 0).drop("_corrupt")
+    # one row a file, so no file's records meet in one task
+    broken = F.col("_corrupt").isNotNull() & F.coalesce(F.length("log_at") >= 0, F.lit(True))  # Spark reads no corrupt column by itself
+    bad = raw.groupBy("path").agg(F.max(broken).alias("_bad")).where("_bad")
+    return raw.join(bad, "path", "left").withColumn("valid", F.col("_bad").isNull()).select(*COLUMNS, "path", "valid")
 
 
 def record_positions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """SRC-02: path, record_no from 1, first and last physical line of each record, and the record's fields.
 
-    Undecodable bytes are kept as surrogates' replacements and marked by ``readable``.
+    Undecodable bytes are kept as surrogates' replacements and marked by ``readable``. A field may have up to
+    ``MOST_FIELD`` characters, a file up to 2 GB (it is one row of Spark's reader); it is decoded as it is read.
     """
     names = ["path", "record_no", "line_start", "line_end", "readable", "fields"]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(MOST_FIELD)
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                text = content.decode("utf-8", "surrogateescape")
-                reader = csv.reader(io.StringIO(text, newline=""), strict=False)
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
+                text = io.TextIOWrapper(pa.BufferReader(content.as_buffer()), "utf-8", "surrogateescape", newline="")
+                reader = csv.reader(text, strict=False)
                 before, rows = 0, []
                 for n, fields in enumerate(reader, 1):
                     clean = [f.encode("utf-8", "replace").decode() for f in fields]

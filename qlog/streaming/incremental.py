@@ -90,8 +90,10 @@ def keep_totals(stream: DataFrame, keys: list[str], store: Versions, checkpoint:
     def step(batch: DataFrame, number: int) -> None:
         version, totals = store.latest()
         if number > version:
+            batch.persist()  # read several times by the merge
             nothing = batch.limit(0)
             store.publish(number, merge_totals(totals, nothing, nothing, batch, keys, at))
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
