@@ -78,7 +78,8 @@ def text_search(texts: DataFrame, cells: DataFrame, terms: list[str], limit: int
         F.min_by(who, F.struct(-F.coalesce("r", F.lit(0)), who)).alias("top"),
     )
     out = null_safe(out, ids, ["fingerprint"])
-    keys = {"by_count": F.struct(-F.col("records"), "fingerprint"), "by_recency": F.struct(F.col("last_at").isNull(), -F.unix_micros(F.col("last_at").cast("timestamp")), "fingerprint")}
+    late = {"timestamp_ntz": cal.micros, "timestamp": F.unix_micros}.get(dict(out.dtypes)["last_at"], lambda c: c)(F.col("last_at"))
+    keys = {"by_count": F.struct(-F.col("records"), "fingerprint"), "by_recency": F.struct(F.col("last_at").isNull(), -late, "fingerprint")}
     keyed = out.select("*", *[k.alias(f"_{n}") for n, k in keys.items()])
     # the page: at most twice ``limit`` rows; only these meet all others, to count those before them
     page = keyed.orderBy("_by_count").limit(limit).unionByName(keyed.orderBy("_by_recency").limit(limit)).dropDuplicates(["_by_count"])

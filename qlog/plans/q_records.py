@@ -398,6 +398,101 @@ def lexical_candidates(spark, d):
     return lexical.text_candidates(log_records(spark, d), ["sql", "message", "internal_sql"]).select("file_id", "record_no", "field")
 
 
+#: The texts of ``sql_texts`` and their tokens, cut by another engine's patterns.
+TEXTS = r"""tx AS (SELECT event_id, event_type, user_id, CASE event_type WHEN 'click' THEN 'SELECT a, b FROM t WHERE id = ' || event_id || ' AND name = ''u' || user_id || ''''
+  WHEN 'view' THEN 'select A, lower(B)' || chr(10) || 'from T where id in (' || event_id || ', ' || user_id || ', 3); -- note ' || event_id
+  WHEN 'purchase' THEN 'BEGIN; UPDATE t SET v = ' || user_id || ' WHERE id = ' || event_id || '; COMMIT' WHEN 'signup' THEN 'INSERT INTO t VALUES (' || event_id || ', ''x''''y;'', $1, now(), s.f(1, 2))'
+  ELSE 'SELECT ''open ' || event_id END AS text FROM events),
+tk AS (SELECT *, list_filter(regexp_extract_all(text, '--[^\n]*|''(?:[^'']|'''')*''|\$[0-9]+|[0-9]+(?:\.[0-9]+)?|[A-Za-z_][A-Za-z0-9_$]*|::|<>|!=|<=|>=|\|\||[^\sA-Za-z0-9_]'), lambda t: t NOT LIKE '--%') AS k FROM tx)"""
+
+
+@query(
+    "lexical_fingerprint_values",
+    rf"""WITH {TEXTS}, fo AS (SELECT *, array_to_string(list_transform(k, lambda t: CASE WHEN (t LIKE '''%' AND length(t) > 1) OR regexp_matches(t, '^\$?[0-9]') THEN '?' ELSE lower(t) END), ' ') AS f FROM tk)
+SELECT CAST(event_id AS VARCHAR) AS sql_id, CASE WHEN list_contains(k, '''') THEN 'normalization_failed' ELSE 'reliable' END AS state,
+CASE WHEN NOT list_contains(k, '''') THEN 'lexical-1:' || sha256(regexp_replace(regexp_replace(f, ' ;$', ''), 'in \( \?(?: , \?){{1,9}} \)', 'in ( ?[2-10] )', 'g')) END AS value FROM fo""",
+)
+def lexical_fingerprint_values(spark, d):
+    """TXT-10, 11: the fingerprint of every text."""
+    return lexical.token_fingerprints(sql_texts(spark, d)).select("sql_id", "state", "value")
+
+
+@query(
+    "lexical_statement_values",
+    f"""WITH {TEXTS} SELECT CAST(event_id AS VARCHAR) AS sql_id, CASE WHEN event_type = 'error' THEN '' WHEN event_type = 'purchase' THEN array_to_string(list_transform(string_split(text, '; '), lambda t: split_part(t, ' ', 1)), ',') ELSE upper(split_part(text, ' ', 1)) END AS categories,
+CASE WHEN event_type = 'error' THEN '' WHEN event_type = 'purchase' THEN '0,' || (strpos(text, 'UPDATE') - 1) || ',' || (strpos(text, 'COMMIT') - 1) ELSE '0' END AS starts FROM tx""",
+)
+def lexical_statement_values(spark, d):
+    """TXT-08: categories and starts of every text's statements."""
+    out = lexical.lexical_statements(sql_texts(spark, d))
+    return out.select("sql_id", F.array_join("categories", ",").alias("categories"), F.array_join(F.col("starts").cast("array<string>"), ",").alias("starts"))
+
+
+APPROX = r"((?:=|<>|!=|<=|>=|<|>|\blike\b|\bbetween\b|\band\b)\s*)(''(?:[^'']|'''')*''|-?\d+(?:\.\d+)?)"
+
+
+@query(
+    "lexical_approximate_values",
+    rf"""WITH {TEXTS}, op AS (SELECT event_id, text || ' ''open' AS text FROM tx WHERE event_type IN ('click', 'purchase'))
+SELECT CAST(event_id AS VARCHAR) AS sql_id, 'available' AS state, 'approx:' || sha256(regexp_replace(text, '{APPROX}', '\1?', 'gi')) AS value, CAST(len(regexp_extract_all(text, '{APPROX}', 0, 'i')) AS BIGINT) AS replacements FROM op""",
+)
+def lexical_approximate_values(spark, d):
+    """TXT-12: texts that an open string makes unreliable, with literals that are compared or set."""
+    texts = sql_texts(spark, d).where("event_type in ('click', 'purchase')").withColumn("text", F.concat("text", F.lit(" 'open")))
+    return lexical.approximate_fingerprints(texts, lexical.token_fingerprints(texts)).select("sql_id", "state", "value", "replacements")
+
+
+@query(
+    "lexical_call_values",
+    rf"""WITH {TEXTS}, c AS (SELECT event_id, unnest(regexp_extract_all(text, '[A-Za-z_.]+\([^()]*\)')) AS c FROM tx WHERE event_type <> 'error'), p AS (SELECT event_id, regexp_extract(c, '([A-Za-z_]+)\(', 1) AS name, regexp_extract(c, '\((.*)\)', 1) AS args FROM c)
+SELECT CAST(event_id AS VARCHAR) AS sql_id, lower(name) AS name, CAST(CASE WHEN args = '' THEN 0 ELSE 1 + length(args) - length(replace(args, ',', '')) END AS BIGINT) AS arity, CASE lower(name) WHEN 'lower' THEN 'R1' END AS rule_id,
+CASE lower(name) WHEN 'lower' THEN 'matched' WHEN 'now' THEN 'disabled' WHEN 'f' THEN 'unknown_arity' ELSE 'unknown_name' END AS reason FROM p""",
+)
+def lexical_call_values(spark, d):
+    """TXT-15: every call of every text."""
+    rules = spark.createDataFrame([("R1", "pg", "lower", 1, 1, True), ("R2", "pg", "now", 0, 0, False), ("R3", "s", "f", 3, None, True)], "rule_id string, schema string, name string, least int, most int, enabled boolean")
+    return lexical.call_usage(sql_texts(spark, d), rules).select("sql_id", "name", F.col("arity").cast("long").alias("arity"), "rule_id", "reason")
+
+
+@query(
+    "lexical_signature_values",
+    f"""WITH {TEXTS}, w AS (SELECT event_id, CASE WHEN list_contains(k, '''') THEN k[1 : list_position(k, '''') - 1] ELSE k END AS k FROM tk)
+SELECT CAST(event_id AS VARCHAR) AS sql_id, '' AS features, upper(array_to_string(k[1:3], ' ')) AS head, upper(array_to_string(k[greatest(1, len(k) - 2) : len(k)], ' ')) AS tail FROM w""",
+)
+def lexical_signature_values(spark, d):
+    """TXT-16: features, head and tail of every text."""
+    return lexical.failure_signatures(sql_texts(spark, d)).select("sql_id", F.array_join("features", ",").alias("features"), "head", "tail")
+
+
+#: Fields of a log record, as the records of ``log_records`` have them.
+FIELDS = f"""{LG}, fl AS (SELECT record_no, CASE WHEN event_id % 53 <> 0 THEN strftime(ts + INTERVAL 8 HOURS, '%Y-%m-%d %H:%M:%S.%f') || ' CST' ELSE 'not a time' END AS log_at, 'U' || (user_id % 10) AS execution_user, CASE WHEN k % 25 <> 0 THEN 'D' || (k % 5) ELSE '' END AS database,
+  'p' || user_id AS pid, 'con' || user_id AS session_id, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'LOG' END AS level, CASE WHEN event_type = 'error' AND user_id % 3 < 2 THEN '57014' WHEN event_type = 'error' THEN '22012' ELSE '00000' END AS sqlstate,
+  CASE WHEN event_type <> 'error' AND k % 29 = 0 THEN 'duration: 1.00005 ms' WHEN event_type <> 'error' THEN 'duration: ' || printf('%.2f', value) || ' ms' WHEN user_id % 3 = 0 THEN 'canceling statement due to user request'
+       WHEN user_id % 3 = 1 THEN 'canceling statement due to statement timeout' ELSE 'division by zero' END AS message,
+  CASE WHEN event_id % 41 <> 0 THEN 'SELECT ' || k || ',' || chr(10) || '''a;b''' ELSE '' END AS sql, CASE event_type WHEN 'click' THEN '1946' WHEN 'signup' THEN '2219' WHEN 'view' THEN '2843' WHEN 'purchase' THEN '2608' ELSE '77' END AS line FROM io)"""
+KEPT_NAMES = ["log_at", "execution_user", "database", "pid", "session_id", "level", "sqlstate", "line"]
+
+
+@query(
+    "records_evidence_values",
+    f"""WITH {FIELDS}, e AS (SELECT record_no, unnest([{", ".join(f"{{'name': '{c}', 'value': {c}}}" for c in KEPT_NAMES)},
+ {{'name': 'message', 'value': CASE WHEN message LIKE 'duration%' THEN message END}}, {{'name': 'sql', 'value': CASE WHEN message LIKE 'duration%' THEN sql END}}]) AS p FROM fl)
+SELECT record_no, p.name AS name, p.value AS value FROM e WHERE length(p.value) > 0""",
+)
+def records_evidence_values(spark, d):
+    """SRC-08: every entry of the evidence map but the constant ones."""
+    out = logs.project_evidence(log_records(spark, d), F.col("message").startswith("duration"), F.lit(True))
+    return out.select("record_no", F.explode("observed").alias("name", "value")).where(F.col("name").isin([*KEPT_NAMES, "message", "sql"]))
+
+
+@query("source_position_values", f"WITH {FIELDS} SELECT sha256(concat_ws('|', log_at, execution_user, database, pid, session_id, level, sqlstate, message, sql, line)) AS fields, CASE WHEN sql <> '' THEN 2 ELSE 1 END AS lines FROM fl")
+def source_position_values(spark, d):
+    """SRC-02: the fields and lines of every record; its number depends on how the records fell into files."""
+    rows = logs.record_positions(spark, _files(spark, d))
+    at = [F.get("fields", F.lit(logs.COLUMNS.index(c))) for c in ("log_at", "execution_user", "database", "pid", "session_id", "level", "sqlstate", "message", "sql", "line")]
+    return rows.select(F.sha2(F.concat_ws("|", *at), 256).alias("fields"), (F.col("line_end") - F.col("line_start") + 1).cast("int").alias("lines"))
+
+
 # --- text functions --------------------------------------------------------------------------------
 
 

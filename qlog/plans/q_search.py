@@ -324,6 +324,23 @@ def search_baseline_document(spark, d):
     return search.baseline_document(search.all_timings(stats, stats, ["scope_id", "database"]), ["scope_id", "database"])
 
 
+@query(
+    "search_baseline_text",
+    f"""WITH {STATS}, g AS (SELECT DISTINCT scope_id, database FROM st),
+a AS (SELECT g.scope_id, g.database, t.timing_type, coalesce(included_count, 0) AS n, p50_ms, p95_ms FROM g CROSS JOIN (VALUES ('request'), ('parse'), ('bind'), ('execute_first'), ('execute_fetch')) t(timing_type)
+  LEFT JOIN (SELECT * FROM st WHERE layer = 'overall') s ON s.scope_id = g.scope_id AND s.database = g.database AND s.timing_type = t.timing_type)
+SELECT scope_id, database, string_agg(timing_type || ' ' || CASE WHEN n > 0 THEN 'has_samples ' ELSE 'no_samples ' END || n || ' ' || coalesce(CAST(CAST(round(p50_ms * 100000) AS BIGINT) AS VARCHAR), '-') || ' ' || coalesce(CAST(CAST(round(p95_ms * 100000) AS BIGINT) AS VARCHAR), '-'), ';' ORDER BY timing_type) AS document
+FROM a GROUP BY scope_id, database""",
+)
+def search_baseline_text(spark, d):
+    """QRY-17 as plain text: the five timings of a group, percentiles in hundredths of microseconds."""
+    stats = base.build(spark, d)
+    rows = search.all_timings(stats, stats, ["scope_id", "database"])
+    whole = lambda c: F.coalesce(F.round(F.col(c) * 100_000).cast("long").cast("string"), F.lit("-"))
+    one = F.concat_ws(" ", "timing_type", "sample_state", F.col("included_count").cast("string"), whole("p50_ms"), whole("p95_ms"))
+    return rows.groupBy("scope_id", "database").agg(F.array_join(F.array_sort(F.collect_list(one)), ";").alias("document"))
+
+
 @query(
     "search_filter_options",
     f"""WITH {EXEC}, o AS (SELECT DISTINCT 'cluster' AS kind, scope_id AS name FROM x UNION SELECT 'database', database FROM x UNION SELECT 'user', execution_user FROM x)

@@ -89,3 +89,17 @@ def test_compare_runs(spark):
     b = spark.createDataFrame([("x", 1.5), ("y", 1.0), ("w", 2.0)], "k string, m double")
     r = baseline.compare_runs(a, b, ["k"], ["m"]).first()
     assert (r["only_actual"], r["only_expected"], r["null_mismatches"], r["exceeding"], r["largest"]) == (1, 1, 1, 1, 0.5)
+
+
+def test_counts_by_hour_change_nothing(spark):
+    rng = random.Random(2)
+    values = [rng.randrange(40) for _ in range(900)]
+    df = samples(spark, values).union(samples(spark, values[:50], included=False)).union(samples(spark, values[:9], group=None))
+    direct = baseline.explode_layers(df)
+    by = ["g", *baseline.BUCKET]
+    plain = baseline.null_safe(baseline.counts(direct, ["g"], F.expr("DATE'2026-09-20'"), F.expr("DATE'2026-09-29'")), baseline.metrics(direct, ["g"]), by)
+    keep = [c for c in plain.columns if c != "first"]
+    same = build(spark, df).select(*keep)
+    text = lambda d: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in d.collect())
+    assert text(plain.select(*keep)) == text(same)
+    assert baseline.by_hour(df, ["g"]).count() < df.count()

@@ -69,3 +69,49 @@ def test_every_query_has_a_doc_and_most_a_twin():
     q, s = registry.queries(), registry.oracle_sql()
     assert all(f.__doc__ for f in q.values())
     assert set(s) <= set(q) and len(s) >= len(q) - 4
+
+
+def test_nul_bytes_wherever_they_stand(spark):
+    from qlog.operators import diagnostics
+
+    rows = [("C", "1", b"p\na\0", 1), ("C", "2", b"\0", 1), ("C", "3", b"p\n p\x10\x01", 1), ("C", "4", b"ab\0cd", 1), ("C", "5", b"\xff", 1), ("C", "6", b"", 1), ("C", "7", None, 1)]
+    got = diagnostics.encoding_audit(spark.createDataFrame(rows, "scope_id string, input_id string, content binary, n long")).first()
+    assert (got["inputs"], got["occurrences"]) == (4, 4)
+
+
+def test_text_search_pages(spark):
+    import datetime
+    import random
+
+    rng = random.Random(3)
+    texts = [(f"s{i}", f"F{i // 3}" if i % 20 else None, "select a" if i % 4 else "other") for i in range(200)]
+    at = datetime.datetime(2026, 1, 1)
+    cells = [(f"s{i}", f"C{rng.randrange(2)}", "D", "U", rng.randrange(5), at + datetime.timedelta(hours=rng.randrange(30))) for i in range(0, 200, 2) for _ in range(2)]
+    found = search.text_search(
+        spark.createDataFrame(texts, "sql_id string, fingerprint string, search_text string"),
+        spark.createDataFrame(cells, "sql_id string, scope_id string, database string, execution_user string, records long, last_at timestamp_ntz"), ["select"], 6,
+    )
+    got = {r["fingerprint"]: (r["records"], r["last_at"], r["matched_texts"], r["total"], r["by_count"], r["by_recency"]) for r in found.collect()}
+    groups = {}
+    for s, f, t in texts:
+        if t.startswith("select"):
+            groups.setdefault(f, []).append(s)
+    rows = {f: (sum(c[4] for c in cells if c[0] in ids), max([c[5] for c in cells if c[0] in ids], default=None), len(ids)) for f, ids in groups.items()}
+    first = lambda f: (f is not None, f or "")
+    count = sorted(rows, key=lambda f: (-rows[f][0], first(f)))
+    late = sorted(rows, key=lambda f: (rows[f][1] is None, -(rows[f][1] - at).total_seconds() if rows[f][1] else 0, first(f)))
+    want = {f: (*rows[f], len(rows), count.index(f) + 1, late.index(f) + 1) for f in rows if count.index(f) < 6 or late.index(f) < 6}
+    assert got == want and len(want) > 6
+
+
+def test_builds_are_seen_whole_or_not_at_all(spark, tmp_path):
+    from qlog.operators.facts import Builds
+
+    b = Builds(spark, str(tmp_path))
+    stats = lambda *rows: spark.createDataFrame(rows, "layer string, n long")
+    assert b.current("C1") is None
+    assert b.publish("C1", "b1", stats(("day", 1), ("week", 2))) and not b.publish("C1", "b1", stats(("day", 9)))
+    stats(("day", 7)).write.partitionBy("layer").parquet(f"{tmp_path}/builds/b2")  # left by a build that failed
+    assert sorted((r["layer"], r["n"]) for r in b.current("C1").collect()) == [("day", 1), ("week", 2)]
+    assert b.publish("C1", "b2", stats(("day", 3))) and b.publish("C2", "b3", stats(("day", 4)))
+    assert [(r["layer"], r["n"]) for r in b.current("C1").collect()] == [("day", 3)] and b.current("C3") is None

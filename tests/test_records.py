@@ -84,3 +84,14 @@ def test_shared_head_tail(spark):
     df = spark.createDataFrame([("g", "abcXdef"), ("g", "abcYYdef"), ("h", "same"), ("h", "same"), ("i", "aaa"), ("i", "aa")], "g string, text string")
     got = {r["g"]: (r["head"], r["tail"]) for r in tx.shared_head_tail(df, ["g"]).collect()}
     assert got == {"g": (3, 3), "h": (4, 0), "i": (2, 0)}
+
+
+def test_long_fields_and_odd_bytes(spark, tmp_path):
+    row = ["2026-07-23 00:10:00 CST", *["x"] * 29]
+    long, odd = list(row), list(row)
+    long[24] = "SELECT '" + "y" * 200_000 + "'\n;"
+    text = "\n".join(",".join('"' + c.replace('"', '""') + '"' for c in r) for r in (row, long, odd)) + "\n"
+    (tmp_path / "a.csv").write_bytes(text.encode().replace(b'"x"\n', b'"\xff"\n', 1))
+    got = sorted(logs.record_positions(spark, str(tmp_path)).collect(), key=lambda r: r["record_no"])
+    assert [(r["line_start"], r["line_end"], r["readable"], len(r["fields"])) for r in got] == [(1, 1, False, 30), (2, 3, True, 30), (4, 4, True, 30)]
+    assert got[1]["fields"][24] == long[24]
