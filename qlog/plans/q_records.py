@@ -319,6 +319,14 @@ def sql_texts(spark, d):
     return e.select(i.alias("sql_id"), "event_type", text.alias("text"))
 
 
+#: The texts of ``sql_texts`` and their tokens, cut by another engine's patterns.
+TEXTS = r"""tx AS (SELECT event_id, event_type, user_id, CASE event_type WHEN 'click' THEN 'SELECT a, b FROM t WHERE id = ' || event_id || ' AND name = ''u' || user_id || ''''
+  WHEN 'view' THEN 'select A, lower(B)' || chr(10) || 'from T where id in (' || event_id || ', ' || user_id || ', 3); -- note ' || event_id
+  WHEN 'purchase' THEN 'BEGIN; UPDATE t SET v = ' || user_id || ' WHERE id = ' || event_id || '; COMMIT' WHEN 'signup' THEN 'INSERT INTO t VALUES (' || event_id || ', ''x''''y;'', $1, now(), s.f(1, 2))'
+  ELSE 'SELECT ''open ' || event_id END AS text FROM events),
+tk AS (SELECT *, list_filter(regexp_extract_all(text, '--[^\n]*|''(?:[^'']|'''')*''|\$[0-9]+|[0-9]+(?:\.[0-9]+)?|[A-Za-z_][A-Za-z0-9_$]*|::|<>|!=|<=|>=|\|\||[^\sA-Za-z0-9_]'), lambda t: t NOT LIKE '--%') AS k FROM tx)"""
+
+
 @query(
     "lexical_statements",
     """SELECT event_type, CASE event_type WHEN 'purchase' THEN 'BEGIN,UPDATE,COMMIT' WHEN 'signup' THEN 'INSERT' WHEN 'error' THEN '' ELSE 'SELECT' END AS categories, CASE WHEN event_type = 'error' THEN 'unterminated_string' END AS issue,
@@ -374,11 +382,12 @@ def lexical_signatures(spark, d):
 
 @query(
     "lexical_split",
-    "SELECT CAST(event_id AS VARCHAR) AS sql_id, CAST(unnest([1, 2, 3]) AS BIGINT) AS n, unnest(['BEGIN', 'UPDATE t SET v = ' || user_id || ' WHERE id = ' || event_id, 'COMMIT']) AS piece FROM events WHERE event_type = 'purchase'",
+    f"""WITH {TEXTS} SELECT CAST(event_id AS VARCHAR) AS sql_id, CAST(unnest([1, 2, 3]) AS BIGINT) AS n, unnest(['BEGIN', 'UPDATE t SET v = ' || user_id || ' WHERE id = ' || event_id, 'COMMIT']) AS piece FROM events WHERE event_type = 'purchase'
+UNION ALL SELECT CAST(event_id AS VARCHAR), 1, text FROM tx WHERE event_type NOT IN ('purchase', 'error')""",
 )
 def lexical_split(spark, d):
     """TXT-18."""
-    return lexical.split_statements(sql_texts(spark, d).where("event_type = 'purchase'")).withColumn("n", F.col("n").cast("long"))
+    return lexical.split_statements(sql_texts(spark, d)).withColumn("n", F.col("n").cast("long"))
 
 
 @query(
@@ -398,14 +407,6 @@ def lexical_candidates(spark, d):
     return lexical.text_candidates(log_records(spark, d), ["sql", "message", "internal_sql"]).select("file_id", "record_no", "field")
 
 
-#: The texts of ``sql_texts`` and their tokens, cut by another engine's patterns.
-TEXTS = r"""tx AS (SELECT event_id, event_type, user_id, CASE event_type WHEN 'click' THEN 'SELECT a, b FROM t WHERE id = ' || event_id || ' AND name = ''u' || user_id || ''''
-  WHEN 'view' THEN 'select A, lower(B)' || chr(10) || 'from T where id in (' || event_id || ', ' || user_id || ', 3); -- note ' || event_id
-  WHEN 'purchase' THEN 'BEGIN; UPDATE t SET v = ' || user_id || ' WHERE id = ' || event_id || '; COMMIT' WHEN 'signup' THEN 'INSERT INTO t VALUES (' || event_id || ', ''x''''y;'', $1, now(), s.f(1, 2))'
-  ELSE 'SELECT ''open ' || event_id END AS text FROM events),
-tk AS (SELECT *, list_filter(regexp_extract_all(text, '--[^\n]*|''(?:[^'']|'''')*''|\$[0-9]+|[0-9]+(?:\.[0-9]+)?|[A-Za-z_][A-Za-z0-9_$]*|::|<>|!=|<=|>=|\|\||[^\sA-Za-z0-9_]'), lambda t: t NOT LIKE '--%') AS k FROM tx)"""
-
-
 @query(
     "lexical_fingerprint_values",
     rf"""WITH {TEXTS}, fo AS (SELECT *, array_to_string(list_transform(k, lambda t: CASE WHEN (t LIKE '''%' AND length(t) > 1) OR regexp_matches(t, '^\$?[0-9]') THEN '?' ELSE lower(t) END), ' ') AS f FROM tk)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from qlog.operators.baseline import null_safe
+from qlog.operators.baseline import null_safe, ranked_first
 
 
 def capture_changes(batch: DataFrame, processed: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,22 +84,51 @@ class Versions:
         self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{self.path}/log")
 
 
-def keep_totals(stream: DataFrame, keys: list[str], store: Versions, checkpoint: str, at: str = "end_at") -> StreamingQuery:
-    """STF-02..04 as a stream of new executions: each micro-batch merges into the next version of the totals."""
+class ChangeLog:
+    """STF-02: signed changes, one folder a micro-batch; a repeated batch overwrites its own."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def add(self, number: int, changes: DataFrame) -> None:
+        """``changes``: rows with ``retracted``."""
+        changes.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+
+    def facts(self) -> DataFrame:
+        """Rows that are inserted more often than retracted, each once."""
+        rows = self.spark.read.parquet(self.path).drop("batch")
+        cols = [c for c in rows.columns if c != "retracted"]
+        return rows.groupBy(*cols).agg(F.sum(F.when(F.col("retracted"), -1).otherwise(1)).alias("_n")).where("_n > 0").drop("_n")
+
+
+def keep_totals(stream: DataFrame, keys: list[str], store: Versions, checkpoint: str, at: str = "end_at", log: ChangeLog | None = None) -> StreamingQuery:
+    """STF-02..04 as a stream of executions: each micro-batch merges into the next version of the totals.
+
+    With ``log`` the rows carry ``retracted``: true takes an execution away that came before. The log is
+    read only where a total may have lost its first or last time.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
         version, totals = store.latest()
         if number > version:
             batch.persist()  # read several times by the merge
-            nothing = batch.limit(0)
-            store.publish(number, merge_totals(totals, nothing, nothing, batch, keys, at))
+            if log is None:
+                removed, added, facts = batch.limit(0), batch, batch.limit(0)
+            else:
+                log.add(number, batch)
+                removed, added = batch.where("retracted").drop("retracted"), batch.where("not retracted").drop("retracted")
+                facts = removed if removed.isEmpty() else log.facts()
+            store.publish(number, merge_totals(totals, facts, removed, added, keys, at))
             batch.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def live_timeline(stream: DataFrame, late: str = "1 day", at: str = "end_at") -> DataFrame:
-    """STF-05: hourly counts, longest and P95 by timing and outcome, of events up to ``late`` behind the newest."""
+    """STF-05: hourly counts, longest and P95 by timing and outcome, of events up to ``late`` behind the newest.
+
+    In update mode the watermark ends the state of hours that are past.
+    """
     return (
         stream.withWatermark(at, late)
         .groupBy(F.window(at, "1 hour"), "timing_type", "outcome")
@@ -114,9 +143,15 @@ def arriving_files(spark: SparkSession, path: str, schema: str, a_batch: int = 4
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Write all that has arrived to Parquet and stop."""
+    """Write all that has arrived to Parquet and stop; in update mode one folder a micro-batch (see ``newest``)."""
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
-        stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        out.format("parquet").option("path", path).start().awaitTermination()
     else:
-        write: Callable = lambda df, _: df.write.mode("overwrite").parquet(path)
-        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        write: Callable = lambda df, number: df.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        out.foreachBatch(write).start().awaitTermination()
+
+
+def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The last row that an updating stream wrote for each key."""
+    return ranked_first(spark.read.parquet(path), keys, [F.desc("batch")]).drop("batch")
