@@ -125,7 +125,8 @@ def maintained_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain, ended = F.lit("word_bpe_49k"), F.lit("word_bpe_49k+end")
     first = written(count_tokens(table(spark, sf_dir, "documents")).withColumn("version", plain).withColumn("th", F.coalesce("th", F.lit(""))), "counts")
     kept = written(first.groupBy("th").agg(F.min("doc_id").alias("kept")), "kept")
-    second = first.join(kept, "th").where("doc_id is null or doc_id = kept").drop("kept")
+    # written, as a frequent text would else go from the join to one task of the sums
+    second = written(first.join(kept, "th").where("doc_id is null or doc_id = kept").drop("kept"), "second")
     german = F.col("lang").eqNullSafe("de")
     third = second.withColumn("version", F.when(german, ended).otherwise(plain)).withColumn("tokens", F.col("tokens") + german.cast("long"))
     rollup = Rollup(spark, f"{_root(spark)}/rollup-{uuid.uuid4().hex}")
