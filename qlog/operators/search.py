@@ -83,11 +83,11 @@ def text_search(texts: DataFrame, cells: DataFrame, terms: list[str], limit: int
     keyed = out.select("*", *[k.alias(f"_{n}") for n, k in keys.items()])
     # the page: at most twice ``limit`` rows; only these meet all others, to count those before them
     page = keyed.orderBy("_by_count").limit(limit).unionByName(keyed.orderBy("_by_recency").limit(limit)).dropDuplicates(["_by_count"])
-    for name in keys:
-        own = page.select(F.col(f"_{name}").alias("_own"))
-        place = keyed.select(f"_{name}").join(F.broadcast(own), F.col(f"_{name}") <= F.col("_own")).groupBy("_own").agg(F.count("*").cast("int").alias(name))
-        page = page.join(F.broadcast(place), F.col(f"_{name}").eqNullSafe(F.col("_own"))).drop("_own")
-    return page.crossJoin(F.broadcast(out.agg(F.count("*").alias("total")))).drop(*[f"_{n}" for n in keys])
+    own = page.select(*[F.col(f"_{n}").alias(f"_own_{n}") for n in keys])
+    places = [F.count_if(F.col(f"_{n}") <= F.col(f"_own_{n}")).cast("int").alias(n) for n in keys]
+    counts = keyed.select(*[f"_{n}" for n in keys]).crossJoin(F.broadcast(own)).groupBy(*own.columns).agg(*places, F.count("*").alias("total"))
+    met = page.join(F.broadcast(counts), [F.col(f"_{n}").eqNullSafe(F.col(f"_own_{n}")) for n in keys])
+    return met.drop(*own.columns, *[f"_{n}" for n in keys])
 
 
 def time_bounds(records: DataFrame, by: list[str]) -> DataFrame:
