@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qlog.functions import calendar as cal
+from qlog.functions import exchange
 from qlog.functions import text as tx
 from qlog.operators.baseline import METRICS, TIMINGS, null_safe
 
@@ -50,6 +51,15 @@ def hits(records: DataFrame, stats: DataFrame) -> DataFrame:
     return null_safe(own, based, by).withColumn("has_baseline", F.coalesce("has_baseline", F.lit(False)))
 
 
+def token_records(records: DataFrame, tokens: DataFrame, names: list[str]) -> DataFrame:
+    """QRY-18, 19: records of the identities that tokens name; a null part matches null only, an empty or broken token nothing.
+
+    ``tokens``: token; one row a token and record.
+    """
+    wanted = tokens.distinct().select("token", exchange.identity_of(F.col("token"), names).alias("_i")).where("_i is not null")
+    return null_safe(wanted.select("token", "_i.*"), records, names, "inner")
+
+
 def exact_search(found: DataFrame, fingerprints: DataFrame, wanted: DataFrame) -> DataFrame:
     """QRY-13: per wanted fingerprint: unreliable_fingerprint, not_seen, has_baseline or records_without_baseline."""
     seen = found.groupBy("fingerprint").agg(F.bool_or("has_baseline").alias("b"), F.sum("records").alias("records"))

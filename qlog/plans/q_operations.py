@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qlog.functions import calendar as cal
-from qlog.functions import lexical
+from qlog.functions import exchange, lexical, records
 from qlog.operators import baseline, diagnostics, eligibility
 from qlog.plans import base
-from qlog.plans.base import EXEC, STATS
-from qlog.plans.q_records import shared, sql_texts
+from qlog.plans.base import EXEC, KEYS, STATS
+from qlog.plans.q_records import LG, interpreted, log_records, shared, sql_texts
 from qlog.streaming import incremental
 
 Q, SQL = {}, {}
@@ -403,3 +403,74 @@ def stream_files(spark, d):
 def baseline_row_hashes(spark, d):
     """SRC-16: hash of every statistic row; hashes cover Spark's own JSON, so there is no SQL twin."""
     return baseline.row_hashes(base.statistics(spark, d), [])
+
+
+#: Requests of decisions: one JSON array of orders a customer; every seventh is no array, every eleventh has a record without a key.
+_ASKED = """o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders)"""
+
+
+@query(
+    "eligibility_requested",
+    f"""WITH {_ASKED} SELECT o_custkey AS request_id, CAST(place AS INTEGER) AS place, 'A' || (o_orderkey % 3) AS analysis_id, CAST(o_orderkey AS VARCHAR) AS occurrence_id, NULL AS error FROM o WHERE o_custkey % 7 <> 0 AND o_custkey % 11 <> 0
+UNION ALL SELECT DISTINCT o_custkey, NULL, NULL, NULL, 'invalid_records' FROM o WHERE o_custkey % 7 = 0 OR o_custkey % 11 = 0""",
+)
+def eligibility_requested(spark, d):
+    """ELI-13: records asked for as JSON."""
+    o = base.table(spark, d, "orders")
+    key = F.when(F.col("o_custkey") % 11 != 0, F.col("o_orderkey").cast("string"))
+    one = F.struct(F.concat(F.lit("A"), (F.col("o_orderkey") % 3).cast("string")).alias("analysis_id"), key.alias("occurrence_id"))
+    asked = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", one.alias("r")))).alias("l"))
+    listed = F.to_json(F.col("l.r"))
+    asked = asked.select(F.col("o_custkey").alias("request_id"), F.when(F.col("o_custkey") % 7 == 0, F.concat(F.lit('{"records":'), listed, F.lit("}"))).otherwise(listed).alias("asked"))
+    return exchange.json_records(asked, "asked", ["analysis_id", "occurrence_id"])
+
+
+@query(
+    "operations_status_values",
+    f"""WITH {RUNS}, n AS (SELECT scope_id, max(day) AS newest_day FROM dx GROUP BY scope_id), p AS (SELECT scope_id, count(*) AS problems FROM op GROUP BY scope_id)
+SELECT scope_id, 'object' AS kind, newest_day, coalesce(problems, 0) AS problems, code, CASE WHEN code IS NOT NULL THEN coalesce(day, '') END AS day FROM n LEFT JOIN p USING (scope_id) LEFT JOIN op USING (scope_id)""",
+)
+def operations_status_values(spark, d):
+    """OPS-08: every value of the JSON documents, read back from their text."""
+    docs = operations_status(spark, d)
+    fields = F.from_json("document", "newest_day string, problems long, problem_list array<struct<code: string, day: string>>")
+    read = docs.select("scope_id", exchange.json_kind(F.col("document")).alias("kind"), fields.alias("v"))
+    return read.select("scope_id", "kind", "v.newest_day", "v.problems", F.explode_outer("v.problem_list").alias("p")).select("scope_id", "kind", "newest_day", "problems", "p.code", "p.day")
+
+
+@query(
+    "records_reason_checks",
+    f"""WITH {LG} SELECT field, count(*) AS records, count(*) FILTER (missing) AS missing, CAST(0 AS BIGINT) AS faults FROM (
+SELECT unnest(['end_at', 'duration_ms', 'estimated_start_at']) AS field, unnest([end_us IS NULL, us IS NULL, end_us IS NULL OR us IS NULL]) AS missing FROM io) GROUP BY field""",
+)
+def records_reason_checks(spark, d):
+    """PRJ-08 as a condition: every unknown value has its reason, no known value has one."""
+    rows = interpreted(log_records(spark, d)).withColumn("reasons", records.value_reasons(F.col("end_at"), F.col("us"), F.col("start_at")))
+    fields = [("end_at", "end_at"), ("duration_ms", "us"), ("estimated_start_at", "start_at")]
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(c).isNull().alias("missing"), exchange.reason_faults(F.col(c), F.col("reasons"), n).alias("fault")) for n, c in fields])).alias("c"))
+    return each.groupBy("c.field").agg(F.count("*").alias("records"), F.count_if("c.missing").alias("missing"), F.count_if("c.fault").alias("faults"))
+
+
+@query(
+    "baseline_reason_checks",
+    f"""WITH {STATS}, m AS (SELECT unnest([{", ".join(f"'{m}'" for m in baseline.METRICS)}]) AS metric, unnest([{", ".join(f"{m} IS NULL" for m in baseline.METRICS)}]) AS missing FROM st)
+SELECT metric, count(*) AS rows_read, count(*) FILTER (missing) AS missing, CAST(0 AS BIGINT) AS faults FROM m GROUP BY metric""",
+)
+def baseline_reason_checks(spark, d):
+    """AGG-10 as a condition: a metric is null exactly where its reason is told."""
+    told = [F.struct(F.lit(m).alias("metric"), F.col(m).isNull().alias("missing"), exchange.reason_faults(F.col(m), F.col("metric_null_reasons"), m).alias("fault")) for m in baseline.METRICS]
+    each = base.build(spark, d).select(F.explode(F.array(*told)).alias("c"))
+    return each.groupBy("c.metric").agg(F.count("*").alias("rows_read"), F.count_if("c.missing").alias("missing"), F.count_if("c.fault").alias("faults"))
+
+
+@query(
+    "baseline_row_hash_values",
+    f"""WITH {STATS}, t AS (SELECT {", ".join(f"coalesce(CAST({k} AS VARCHAR), '-') AS {k}" for k in [*KEYS, "layer", "bucket_date", "bucket_number"])}, CAST(included_count AS VARCHAR) AS included_count, coalesce(CAST(CAST(round(min_ms * 1000) AS BIGINT) AS VARCHAR), '-') AS min_us, coalesce(CAST(CAST(round(max_ms * 1000) AS BIGINT) AS VARCHAR), '-') AS max_us FROM st)
+SELECT sha256(CAST(to_json(t) AS VARCHAR)) AS row_hash FROM t""",
+)
+def baseline_row_hash_values(spark, d):
+    """SRC-16: row hashes over a text form that other engines write alike: keys, bucket, samples, extremes in microseconds."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    us = lambda c: text(F.round(F.col(c) * 1000).cast("long"))
+    cols = [text(F.col(k)).alias(k) for k in [*KEYS, "layer", "bucket_date", "bucket_number"]]
+    return baseline.row_hashes(base.build(spark, d).select(*cols, text(F.col("included_count")).alias("included_count"), us("min_ms").alias("min_us"), us("max_ms").alias("max_us")), [])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qlog.functions import calendar as cal
+from qlog.functions import exchange
 from qlog.functions import text as tx
 from qlog.operators import baseline, search
 from qlog.plans import base
@@ -371,3 +372,31 @@ def search_observations(spark, d):
     rows = base.executions(spark, d).where("fingerprint is null and us is not null").select("scope_id", F.concat(F.lit("approx:"), "sql_id").alias("approx_value"), "start_at", "us", F.lit(True).alias("included"), F.array().cast("array<string>").alias("codes"))
     stats = baseline.statistics(rows, ["scope_id", "approx_value"], *base.window_dates())
     return search.identity_filter(stats.where("layer = 'overall'"), approx_value="approx:S11").select("scope_id", "approx_value", "included_count", F.round("p50_ms", 6).alias("p50_ms"))
+
+
+#: A token of an identity in DuckDB: base64url of its JSON array, without padding.
+TOKEN = """rtrim(translate(to_base64(encode('[' || concat_ws(', ', coalesce(CAST(to_json(scope_id) AS VARCHAR), 'null'), coalesce(CAST(to_json(database) AS VARCHAR), 'null'), coalesce(CAST(to_json(execution_user) AS VARCHAR), 'null')) || ']')), '+/', '-_'), '=')"""
+
+
+@query(
+    "search_identity_tokens",
+    f"""WITH {X}, i AS (SELECT scope_id, database, execution_user, count(*) AS records FROM q GROUP BY ALL)
+SELECT {TOKEN} AS token, scope_id, database, execution_user, records FROM i""",
+)
+def search_identity_tokens(spark, d):
+    """QRY-18, 19: every identity's token, and the records that the token alone finds again."""
+    facts, names = _facts(spark, d), ["scope_id", "database", "execution_user"]
+    tokens = facts.select(*names).distinct().select(exchange.identity_token(*[F.col(n) for n in names]).alias("token"))
+    return search.token_records(facts, tokens, names).groupBy("token", *names).agg(F.count("*").alias("records"))
+
+
+@query(
+    "search_text_tokens",
+    """SELECT doc_id, md5(rtrim(translate(replace(to_base64(encode(text)), chr(10), ''), '+/', '-_'), '=')) AS token_md5, CAST(length(text) AS BIGINT) AS n_chars, true AS same
+FROM documents WHERE text IS NOT NULL""",
+)
+def search_text_tokens(spark, d):
+    """QRY-28: whole texts as tokens and back."""
+    docs = base.table(spark, d, "documents").where("text is not null").withColumn("token", exchange.encode_token(F.col("text")))
+    back = exchange.decode_token(F.col("token"))
+    return docs.select("doc_id", F.md5("token").alias("token_md5"), F.length(back).cast("long").alias("n_chars"), F.coalesce(back == F.col("text"), F.lit(False)).alias("same"))
