@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from qlog.llm.common import table
-from qlog.llm import decontaminate, licenses, ngram_join, packing, pii, secrets, token_counts, topk
+from qlog.llm import decontaminate, hard_negatives, licenses, ngram_join, packing, pii, secrets, token_counts, topk
 from qlog.llm.quality import quality_digest
 from qlog.llm.toxicity import toxicity_digest
 
@@ -52,6 +52,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_pii": op2_pii,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_exact_topk": op9_exact_topk,
     "op10_token_counts": op10_token_counts,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -70,4 +75,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_decontamination": decontaminate.DIGEST_SQL,
     "op7_ngram_join": ngram_join.DIGEST_SQL,
     "op9_exact_topk": topk.DIGEST_SQL,
+    "op13_hard_negatives": hard_negatives.DIGEST_SQL,
 }
