@@ -95,6 +95,18 @@ class Pieces:
         return self.row[at]
 
 
+class Distinct:
+    """Pieces of a run of texts by hash: the distinct hashes, a place of each, and the hash of each piece."""
+
+    def __init__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, fold_case: bool):
+        self.start, self.end, self.own = start, end, Hasher(raw, fold_case)
+        self.hashes, self.at, self.back = np.unique(self.own.of(start, end), return_index=True, return_inverse=True)
+        self.data = self.own.bytes.tobytes()
+
+    def words(self, k: np.ndarray) -> list[bytes]:
+        return [self.data[a:b] for a, b in zip(self.start[k].tolist(), self.end[k].tolist())]
+
+
 class Encoder:
     """``encode`` gives the ids of words; ``fold_case`` tells whether it ignores the case of A-Z."""
 
@@ -108,23 +120,23 @@ class Encoder:
             if not len(start):
                 yield i, np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
                 continue
-            own = Hasher(raw, self.fold_case)
-            hashes, at, back = np.unique(own.of(start, end), return_index=True, return_inverse=True)
-            data = own.bytes.tobytes()
-            cut = lambda k: [data[a:b] for a, b in zip(start[k].tolist(), end[k].tolist())]
-            rows = self.pieces.rows(hashes, lambda new: cut(at[new]))[back]
-            p = self.pieces
-            begin, size, ids = p.ends[rows], p.ends[rows + 1] - p.ends[rows], p.ids
-            other = np.flatnonzero(~own.equal(start, end, p.bytes, p.starts[rows], p.starts[rows + 1]))
-            if len(other):  # another piece has the same hash: these are encoded by themselves
-                got = self.encode([w.decode() for w in cut(other)])
-                size[other] = [len(x) for x in got]
-                begin[other] = len(ids) + np.cumsum(size[other]) - size[other]
-                ids = np.concatenate([ids, np.fromiter((x for one in got for x in one), np.uint32)])
-            ends = np.concatenate([[0], np.cumsum(size)])
-            ids = ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+            ids, ends = self.ids(Distinct(raw, start, end, self.fold_case))
             yield i, ids, ends[first]
 
+    def ids(self, cut: Distinct) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces of a run of texts, and where each piece's ids end, from 0 on."""
+        rows = self.pieces.rows(cut.hashes, lambda new: cut.words(cut.at[new]))[cut.back]
+        p = self.pieces
+        begin, size, ids = p.ends[rows], p.ends[rows + 1] - p.ends[rows], p.ids
+        other = np.flatnonzero(~cut.own.equal(cut.start, cut.end, p.bytes, p.starts[rows], p.starts[rows + 1]))
+        if len(other):  # another piece has the same hash: these are encoded by themselves
+            got = self.encode([w.decode() for w in cut.words(other)])
+            size[other] = [len(x) for x in got]
+            begin[other] = len(ids) + np.cumsum(size[other]) - size[other]
+            ids = np.concatenate([ids, np.fromiter((x for one in got for x in one), np.uint32)])
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])], ends
+
 
 @lru_cache(maxsize=2)
 def load_tokenizer(name: str) -> Encoder:
