@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from qlog.llm.common import table
-from qlog.llm import alignment, decontaminate, hard_negatives, licenses, ngram_join, packing, pii, secrets, token_counts, topk
+from qlog.llm import alignment, decontaminate, hard_negatives, licenses, ngram_join, packing, pii, secrets, suffix_dedup, token_counts, topk
 from qlog.llm.quality import quality_digest
 from qlog.llm.toxicity import toxicity_digest
 
@@ -52,6 +52,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.cross_tokenizer_alignment(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_exact_topk": op9_exact_topk,
     "op10_token_counts": op10_token_counts,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_token_alignment": op12_token_alignment,
     "op13_hard_negatives": op13_hard_negatives,
 }
