@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qlog.functions import calendar as cal
+from qlog.operators.order import between, quantiles
+from qlog.operators.tables import written
 
 BUCKET = ["layer", "bucket_date", "bucket_number"]
 QUANTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -45,34 +47,29 @@ def _ms(us: Column) -> Column:
 
 
 def metrics(layered: DataFrame, keys: list[str]) -> DataFrame:
-    """AGG-02..09: the seventeen metrics of the included samples of each (keys, bucket)."""
+    """AGG-02..09: the seventeen metrics of the included samples of each (keys, bucket).
+
+    Percentiles and the two median deviations are exact order statistics over range-partitioned values (``order``), so
+    that a bucket may hold any number of distinct durations.
+    """
     by = [*keys, *BUCKET]
-    counted = layered.where("included and us is not null").groupBy(*by, "us").agg(F.sum(_number(layered)).alias("n"))
-    logs = F.log1p(_ms(F.col("us")))
-    first = counted.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        F.min("us").alias("lo"),
-        F.max("us").alias("hi"),
-        F.sum(F.col("us") * F.col("n")).alias("total"),
-        F.percentile("us", F.lit(list(QUANTILES.values())), F.col("n")).alias("q"),
-        F.percentile(logs, F.lit(0.5), F.col("n")).alias("log_median"),
-    )
-    mid = F.get("q", F.lit(1))
-    renamed = first.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("lo").alias("_lo"), mid.alias("_mid"), F.col("log_median").alias("_log"))
-    second = (
-        counted.join(renamed, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by])
-        .withColumn("d", (F.col("us") - F.col("_lo")).cast("double"))
-        .groupBy(*by)
-        .agg(
-            F.percentile(F.abs(F.col("us") - F.col("_mid")), F.lit(0.5), F.col("n")).alias("mad"),
-            F.percentile(F.abs(logs - F.col("_log")), F.lit(0.5), F.col("n")).alias("log_mad"),
-            F.sum(F.col("d") * F.col("n")).alias("s1"),
-            F.sum(F.col("d") * F.col("d") * F.col("n")).alias("s2"),
-        )
-    )
-    second = second.select(*[F.col(k).alias(f"_{k}") for k in by], "mad", "log_mad", "s1", "s2")
-    both = first.join(second, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by])
-    at = {name: _ms(F.get("q", F.lit(i))) for i, name in enumerate(QUANTILES)}
+    counted = written(layered.where("included and us is not null").groupBy(*by, "us").agg(F.sum(_number(layered)).alias("n")), "counted")
+    sums = counted.groupBy(*by).agg(F.sum("n").alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi"), F.sum(F.col("us") * F.col("n")).alias("total"))
+    ranks = quantiles(counted, by, list(QUANTILES.values()), "us").drop("total")
+    mid = F.get("ranks", F.lit(1))
+    logs = lambda us: F.log1p(_ms(us))
+    first = written(null_safe(sums, ranks, by, "inner").withColumn("log_median", between(mid, logs)), "ranks")
+
+    # A median is a value or lies halfway between two, so twice the deviation from it is whole.
+    middle = first.select(*by, F.col("lo").alias("_lo"), (mid["low"] + F.when(mid["part"] == 0, mid["low"]).otherwise(mid["high"])).alias("_twice"), F.col("log_median").alias("_log"))
+    far = null_safe(counted, middle, by, "inner").withColumn("d", (F.col("us") - F.col("_lo")).cast("double"))
+    away = F.array(F.struct(F.lit("mad").alias("of"), F.abs(2 * F.col("us") - F.col("_twice")).cast("double").alias("v")), F.struct(F.lit("log").alias("of"), F.abs(logs(F.col("us")) - F.col("_log")).alias("v")))
+    half = quantiles(far.select(*by, "n", F.explode(away).alias("x")).select(*by, "n", "x.of", "x.v"), [*by, "of"], [0.5])
+    own = lambda of: F.max(F.when(F.col("of") == of, between(F.get("ranks", F.lit(0)))))
+    half = half.groupBy(*by).agg((own("mad") / 2).alias("mad"), own("log").alias("log_mad"))
+    moments = far.groupBy(*by).agg(F.sum(F.col("d") * F.col("n")).alias("s1"), F.sum(F.col("d") * F.col("d") * F.col("n")).alias("s2"))
+    both = null_safe(null_safe(first, half, by), moments, by)
+    at = {name: _ms(between(F.get("ranks", F.lit(i)))) for i, name in enumerate(QUANTILES)}
     mean = _ms(F.col("total") / F.col("n"))
     spread = _ms(F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("n") - (F.col("s1") / F.col("n")) * (F.col("s1") / F.col("n")))))
     return both.select(
@@ -84,7 +81,7 @@ def metrics(layered: DataFrame, keys: list[str]) -> DataFrame:
         spread.alias("stddev_ms"),
         F.try_divide(spread, mean).alias("cv"),
         _ms(F.col("mad")).alias("mad_ms"),
-        _ms(F.get("q", F.lit(2)) - F.get("q", F.lit(0))).alias("iqr_ms"),
+        _ms(between(F.get("ranks", F.lit(2))) - between(F.get("ranks", F.lit(0)))).alias("iqr_ms"),
         "log_median",
         "log_mad",
         F.try_divide(at["p95"], at["p50"]).alias("p95_p50"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from qlog.functions import calendar as cal
 from qlog.operators import baseline, eligibility
 from qlog.operators.facts import Builds
+from qlog.operators.tables import hadoop, store
 
 WINDOW = ("2024-01-06", "2024-01-26")  # local dates, half-open
 RULE = "lexical-1"
@@ -23,28 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_stores: dict[str, str] = {}
-
-
-def store(spark: SparkSession) -> str:
-    """This application's folder below the cluster's shared one (a local one only where the session names none); it goes when the driver ends."""
-    app = spark.sparkContext.applicationId
-    if app not in _stores:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            named = os.path.join(tempfile.gettempdir(), "checkpoints")
-            os.makedirs(named, exist_ok=True)
-        _stores[app] = f"{named.rstrip('/')}/qlog-{app}-{uuid.uuid4().hex[:12]}"
-        path, fs = _hadoop(spark, _stores[app])
-        fs.deleteOnExit(path)
-    return _stores[app]
-
-
-def _hadoop(spark: SparkSession, name: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One execution an event: identity, text, timing, outcome, end, duration and estimated start."""
     e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("end_at"), "user_id", "event_type", "value", F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
@@ -178,7 +155,7 @@ def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published build over the tables as they are now; the first reader of an application makes and publishes it."""
-    path, fs = _hadoop(spark, f"{sf_dir}/events.parquet")
+    path, fs = hadoop(spark, f"{sf_dir}/events.parquet")
     scope = f"{sf_dir} {fs.getFileStatus(path).getModificationTime()} {fs.getContentSummary(path).getLength()}"
     builds = Builds(spark, f"{store(spark)}/builds")
     found = builds.current(scope)

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import csv
-import io
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qlog.functions.records import parse_log_time
+from qlog.sources import scan
 
 #: Names of the 30 columns; those no operator uses are numbered.
 COLUMNS = [
@@ -18,60 +14,35 @@ COLUMNS = [
     "message", "detail", "c20", "internal_sql", "c22", "c23", "sql", "c25", "c26", "file", "line", "c29",
 ]
 KEPT = ["log_at", "execution_user", "database", "pid", "session_start", "session_id", "command", "node", "level", "sqlstate", "file", "line"]
-MOST_FIELD = 128 << 20
 KEPT_IF_RELEVANT = ["message", "detail", "internal_sql", "sql"]
 
 
 def read_log_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """SRC-01: 30 text columns, ``path`` and ``valid``: a file with any row of another width is invalid as a whole.
+    """SRC-01: 30 text columns, ``path``, ``valid`` and ``reason``: a file is invalid as a whole for its first error.
 
-    Quoted fields may hold line breaks, so a file is one task; parallelism is the number of files.
+    ``csv_columns``: a record has not 30 fields; ``csv_boundary``: quoting is broken or never ends. Read in byte ranges
+    (``scan``), so one file is many tasks; fields keep their bytes, NUL and undecodable ones included.
     """
-    schema = ", ".join(f"{c} string" for c in COLUMNS) + ", _corrupt string"
-    raw = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("escape", '"').option("header", False).csv(paths)
-    raw = raw.withColumn("path", F.col("_metadata.file_path"))
-    # one row a file, so no file's records meet in one task
-    broken = F.col("_corrupt").isNotNull() & F.coalesce(F.length("log_at") >= 0, F.lit(True))  # Spark reads no corrupt column by itself
-    bad = raw.groupBy("path").agg(F.max(broken).alias("_bad")).where("_bad")
-    return raw.join(bad, "path", "left").withColumn("valid", F.col("_bad").isNull()).select(*COLUMNS, "path", "valid")
+    rows = scan.scan(spark, paths, len(COLUMNS))
+    bad = rows.where("error is not null").groupBy("path").agg(F.min_by("error", "record_no").alias("reason"))
+    whole = rows.where("size(fields) > 0").join(bad, "path", "left").withColumn("valid", F.col("reason").isNull())
+    return whole.select(*[F.get("fields", F.lit(n)).alias(c) for n, c in enumerate(COLUMNS)], "path", "valid", "reason")
 
 
 def record_positions(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """SRC-02: path, record_no from 1, first and last physical line of each record, and the record's fields.
+    """SRC-02: path, record_no from 1, first and last physical line of each record, whether it is all UTF-8, and its fields.
 
-    Undecodable bytes are kept as surrogates' replacements and marked by ``readable``. A field may have up to
-    ``MOST_FIELD`` characters, a file up to 2 GB (it is one row of Spark's reader); it is decoded as it is read.
+    Undecodable bytes stay in the fields; ``readable`` marks them. What follows broken quoting is no record.
     """
-    names = ["path", "record_no", "line_start", "line_end", "readable", "fields"]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.string())]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        csv.field_size_limit(MOST_FIELD)
-        for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-                text = io.TextIOWrapper(pa.BufferReader(content.as_buffer()), "utf-8", "surrogateescape", newline="")
-                reader = csv.reader(text, strict=False)
-                before, rows = 0, []
-                for n, fields in enumerate(reader, 1):
-                    clean = [f.encode("utf-8", "replace").decode() for f in fields]
-                    rows.append((path, n, before + 1, reader.line_num, clean == fields, clean))
-                    before = reader.line_num
-                    if len(rows) == 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(run, "path string, record_no long, line_start long, line_end long, readable boolean, fields array<string>")
+    rows = scan.scan(spark, paths)
+    return rows.where("error is null").select("path", "record_no", "line_start", "line_end", "readable", "fields")
 
 
 def file_stats(spark: SparkSession, paths: str | list[str], records: DataFrame) -> DataFrame:
     """SRC-03: content hash, size, first and last log time and number of records of each file."""
-    files = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_count"))
     at = parse_log_time(F.col("log_at"))
     own = records.groupBy("path").agg(F.min(at).alias("first_log_at"), F.max(at).alias("last_log_at"), F.count("*").alias("records"))
-    return files.join(own, "path", "left").withColumn("records", F.coalesce("records", F.lit(0)))
+    return scan.digests(spark, paths).join(own, "path", "left").withColumn("records", F.coalesce("records", F.lit(0)))
 
 
 def skip_known_content(files: DataFrame, imported: DataFrame) -> DataFrame:

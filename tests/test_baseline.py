@@ -1,7 +1,9 @@
 """Metrics against an independent computation, conservation and threshold edges."""
 
 import datetime
+import glob
 import math
+import os
 import random
 import statistics as st
 from decimal import Decimal
@@ -9,7 +11,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from qlog.operators import baseline
+from qlog.operators import baseline, order, tables
 
 
 
@@ -103,3 +105,36 @@ def test_counts_by_hour_change_nothing(spark):
     text = lambda d: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in d.collect())
     assert text(plain.select(*keep)) == text(same)
     assert baseline.by_hour(df, ["g"]).count() < df.count()
+
+
+def plain_quantile(values, fraction):
+    x = sorted(values)
+    at = (len(x) - 1) * fraction
+    low = math.floor(at)
+    return x[low] if at == low else x[low] * (1 - (at - low)) + x[math.ceil(at)] * (at - low)
+
+
+def test_order_statistics_of_groups(spark):
+    rng, rows = random.Random(8), []
+    for g, size in (("a", 3000), (None, 500), ("one", 1), ("two", 2)):
+        rows += [(g, rng.choice([rng.randrange(10), rng.randrange(10**6)]), rng.randrange(0, 4), "x") for _ in range(size)]
+    rows += [("two", 3, 5, "x"), ("one", 7, 1, "x"), ("none", None, 3, "x"), ("none", 5, 0, "x")]
+    df = spark.createDataFrame(rows, "g string, v long, n long, total string").groupBy("g", "v").agg(F.sum("n").alias("n")).repartition(7)
+    fractions = [0.0, 0.25, 0.5, 0.99, 1.0]
+    got = order.quantiles(df, ["g"], fractions)
+    got = {r["g"]: list(r["q"]) + [r["total"]] for r in got.select("g", "total", F.array(*[order.between(F.get("ranks", F.lit(i))) for i in range(5)]).alias("q")).collect()}
+    for g in ("a", None, "one", "two"):
+        values = [v for h, v, n, _ in rows if h == g and v is not None for _ in range(n)]
+        assert got.pop(g) == pytest.approx([plain_quantile(values, f) for f in fractions] + [len(values)])
+    assert not got
+
+
+def test_one_group_of_ten_million_values_is_spread(spark):
+    n = 10_000_000
+    df = spark.range(n).select(F.lit("g").alias("g"), ((F.col("id") * 7919) % n).alias("v"), F.lit(1).alias("n"))
+    found = order.quantiles(df, ["g"], [0.5, 0.99])
+    row = found.select(*[order.between(F.get("ranks", F.lit(i))) for i in range(2)]).first()
+    assert row[0] == (n - 1) / 2 and row[1] == pytest.approx((n - 1) * 0.99)
+    parts = spark.read.parquet(sorted(glob.glob(f"{tables.store(spark)}/*/ordered".removeprefix("file://")), key=os.path.getmtime)[-1])
+    sizes = [r[0] for r in parts.groupBy("_part").count().select("count").collect()]
+    assert len(sizes) == 4 and max(sizes) < 0.5 * n  # as many as there are shuffle partitions
