@@ -32,15 +32,20 @@ TITLES = {
     ("latin", ""): ["Dr", "Prof", "Professor", "Doctor", "Doktor"],
     ("cyrillic", "m"): ["господин", "Господин", "г-н"],
     ("cyrillic", "f"): ["госпожа", "Госпожа", "г-жа"],
+    ("greek", "m"): ["κύριος", "Κύριος", "κος", "Κος"],
+    ("greek", "f"): ["κυρία", "Κυρία", "κα", "Κα"],
 }
 GIVEN = {
     ("latin", "m"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leo", "Marco", "Noel", "Oscar", "Paul"],
     ("latin", "f"): ["Anna", "Bella", "Clara", "Diana", "Emma", "Flora", "Greta", "Helen", "Irene", "Julia", "Karla", "Laura", "Maria", "Nora", "Olga", "Paula"],
     ("cyrillic", "m"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Лев", "Максим", "Никита", "Олег", "Павел", "Роман", "Семён", "Тимур"],
     ("cyrillic", "f"): ["Анна", "Белла", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Ксения", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Роза", "София", "Тамара"],
+    ("greek", "m"): ["Αλέξης", "Βασίλης", "Γιώργος", "Δημήτρης", "Ηλίας", "Θανάσης", "Ιάσονας", "Κώστας", "Λευτέρης", "Μάριος", "Νίκος", "Ορέστης", "Πέτρος", "Σταύρος", "Φώτης", "Χρήστος"],
+    ("greek", "f"): ["Άννα", "Βάσω", "Γεωργία", "Δάφνη", "Ελένη", "Ζωή", "Ηρώ", "Θάλεια", "Ιωάννα", "Κατερίνα", "Λένα", "Μαρία", "Νίκη", "Όλγα", "Ρένα", "Σοφία"],
 }
 SYLLABLES = {
     "latin": ["ba", "do", "fen", "gar", "hol", "jin", "kel", "lum", "mar", "nor", "pel", "quin", "ros", "sel", "tor", "wen"],
+    "greek": ["βα", "δο", "φεν", "γαρ", "χολ", "ζιν", "κελ", "λουμ", "μαρ", "νορ", "πελ", "κιν", "ροσ", "σελ", "τορ", "βεν"],
     "cyrillic": ["ба", "до", "фен", "гар", "хол", "жин", "кел", "лум", "мар", "нор", "пел", "кин", "рос", "сел", "тор", "вен"],
 }
 
@@ -51,8 +56,11 @@ _ADDRESS = r"[\p{L}\p{N}._%+-]"
 _TITLE_WORDS = "|".join(t for ts in TITLES.values() for t in ts)
 #: The titles that a name begins with, and the blank after them.
 TITLED = rf"^(?:(?:{_TITLE_WORDS})\.? ){{1,3}}"
-_WORD = rf"(?!(?:{_TITLE_WORDS})(?!\p{{L}}))(?:[ae]l-|d['’])?(?:\p{{Lu}}\p{{L}}*(?:['’-]\p{{Lu}}\p{{L}}+)+|\p{{Lu}}\p{{L}}+)"
-_WORDS = rf"(?:(?:\p{{Lu}}\.|{'|'.join(PARTICLES)}) )*{_WORD}"
+#: Names are found in the scripts that surrogates can be written in.
+_SCRIPTS = r"[\p{IsLatin}\p{IsCyrillic}\p{IsGreek}]"
+_UPPER, _LETTER = rf"[\p{{Lu}}&&{_SCRIPTS}]", rf"[\p{{L}}&&{_SCRIPTS}]"
+_WORD = rf"(?!(?:{_TITLE_WORDS})(?!\p{{L}}))(?:[ae]l-|d['’])?(?:{_UPPER}{_LETTER}*(?:['’-]{_UPPER}{_LETTER}+)+|{_UPPER}{_LETTER}+)(?!\p{{L}})"
+_WORDS = rf"(?:(?:{_UPPER}\.|{'|'.join(PARTICLES)}) )*{_WORD}"
 _GROUP = "[0-9A-Fa-f]{1,4}"
 PATTERN = "|".join(
     [
@@ -107,23 +115,31 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _dealt(e: Column, slot: str, values: Column) -> Column:
-    """``e`` with its matches of ``slot`` (one character each) replaced by the elements of ``values``."""
-    gaps = F.split(e, slot, -1)
-    return F.array_join(F.zip_with(gaps, F.array_append(F.slice(values, 1, F.size(gaps) - 1), F.lit("")), lambda g, v: F.concat(g, F.coalesce(v, F.lit("")))), "")
+def _dealt(e: Column, slot: str, values) -> Column:
+    """``e`` with its matches of ``slot`` (one character each) replaced by the elements of ``values(how many)``."""
+
+    def filled(gaps: Column) -> Column:
+        return F.array_join(F.zip_with(gaps, F.array_append(F.slice(values(F.size(gaps) - 1), 1, F.size(gaps) - 1), F.lit("")), lambda g, v: F.concat(g, v)), "")
+
+    return _let(F.split(e, slot, -1), filled)
 
 
 def _hash(key: str, kind: Column, form: Column, turn: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), kind, form, turn.cast("string")), 256)
 
 
-def _digits(h: Column) -> Column:
-    """64 digits from a hash, as an array."""
-    return F.split(F.translate(h, "abcdef", "012345"), "")
+#: What hex digits become: digits, small and capital letters.
+_DIGITS, _SMALL, _CAPITAL = ("abcdef", "012345"), ("0123456789abcdef", "abdefgiklmnoprst"), ("0123456789abcdef", "ABDEFGIKLMNOPRST")
+
+
+def _stream(h: Column, salt: str, alphabet: tuple[str, str]):
+    """``values`` for ``_dealt``: as many characters as are asked for, 64 from each block's hash."""
 
+    def values(count: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((count - 1) / 64).cast("int"))), lambda b: F.sha2(F.concat(h, F.lit(salt), b.cast("string")), 256))
+        return F.split(F.translate(F.array_join(blocks, ""), *alphabet), "")
 
-def _letters(h: Column) -> Column:
-    return F.split(F.translate(h, "0123456789abcdef", "abdefgiklmnoprst"), "")
+    return values
 
 
 def _number(h: Column, at: int) -> Column:
@@ -152,10 +168,22 @@ def _cyrillic(word: Column) -> Column:
     return word.rlike(r"\p{IsCyrillic}")
 
 
+def _by_script(word: Column, made) -> Column:
+    """``made(script)`` for the script of a word."""
+    return F.when(_cyrillic(word), made("cyrillic")).when(word.rlike(r"\p{IsGreek}"), made("greek")).otherwise(made("latin"))
+
+
+def _joined(word: Column, made) -> Column:
+    """``made(part, number)`` of each part of a word, with the hyphens and apostrophes between them kept."""
+    marks = "['’-]"
+    parts = F.transform(F.split(word, marks, -1), made)
+    return F.array_join(F.zip_with(parts, F.array_append(F.regexp_extract_all(word, F.lit(marks), F.lit(0)), F.lit("")), lambda g, v: F.concat(g, v)), "")
+
+
 def _gender(title: Column, words: Column) -> Column:
     """By the first title; where that tells none, by the first given name."""
     bare = F.regexp_extract(title, r"^[^ .]+", 0)
-    female = bare.isin(TITLES["latin", "f"] + TITLES["cyrillic", "f"]) | (bare.isin(TITLES["latin", ""]) & F.element_at(words, 1).isin(GIVEN["latin", "f"] + GIVEN["cyrillic", "f"]))
+    female = bare.isin(TITLES["latin", "f"] + TITLES["cyrillic", "f"] + TITLES["greek", "f"]) | (bare.isin(TITLES["latin", ""]) & F.element_at(words, 1).isin(GIVEN["latin", "f"] + GIVEN["cyrillic", "f"] + GIVEN["greek", "f"]))
     return F.when(female, "f").otherwise("m")
 
 
@@ -170,22 +198,30 @@ def _syllables(script: str, h: Column, count: Column) -> Column:
 
 
 def _surname(stem: Column, key: str, turn: Column) -> Column:
-    """Three syllables, and one more with each draw (Cyrillic ones end in the masculine ending)."""
+    """Three syllables, and one more with each draw (Cyrillic ones end in the masculine ending); two for each further part.
+
+    Parts of one or two letters, as of O'Brien, stay.
+    """
     count = F.least(turn + 3, F.lit(16))
-    return _let(
-        _hash(key, F.lit("surname"), stem, turn),
-        lambda h: F.when(_cyrillic(stem), F.concat(F.initcap(_syllables("cyrillic", h, count)), F.lit("ов"))).otherwise(F.initcap(_syllables("latin", h, count))),
-    )
 
+    def made(script: str, h: Column) -> Column:
+        return _joined(stem, lambda part, n: F.when(F.length(part) < 3, part).otherwise(F.initcap(_syllables(script, F.sha2(F.concat(h, n.cast("string")), 256), F.when(n == 0, count).otherwise(2 + turn % 14)))))
 
-def _given(word: Column, gender: Column, cyrillic: Column, key: str, turn: Column) -> Column:
-    """A given name by gender and script; from the third draw on with syllables added."""
+    whole = _let(_hash(key, F.lit("surname"), stem, turn), lambda h: _by_script(stem, lambda script: made(script, h)))
+    return F.when(_cyrillic(stem), F.concat(whole, F.lit("ов"))).otherwise(whole)
 
-    def made(script: str, h: Column) -> Column:
+
+def _given(word: Column, gender: Column, surname: Column, key: str, turn: Column) -> Column:
+    """A given name by gender and the surname's script; from the third draw on with syllables added."""
+
+    def one(script: str, h: Column) -> Column:
         first = F.when(gender == "f", _pick(GIVEN[script, "f"], _number(h, 1))).otherwise(_pick(GIVEN[script, "m"], _number(h, 1)))
         return F.when(turn > 1, F.concat(first, _syllables(script, F.sha2(h, 256), F.least(F.greatest(turn - 1, F.lit(1)), F.lit(16))))).otherwise(first)
 
-    return _let(_hash(key, F.concat(F.lit("given "), gender), word, turn), lambda h: F.when(cyrillic, made("cyrillic", h)).otherwise(made("latin", h)))
+    def made(script: str, h: Column) -> Column:
+        return _joined(word, lambda _, n: one(script, F.sha2(F.concat(h, n.cast("string")), 256)))
+
+    return _let(_hash(key, F.concat(F.lit("given "), gender), word, turn), lambda h: _by_script(surname, lambda script: made(script, h)))
 
 
 def _given_form(stem: Column, gender: Column, word: Column) -> Column:
@@ -200,9 +236,9 @@ def _name(e: Column, key: str, turn) -> Column:
     title, words = _parts(e)
 
     def whole(surname: Column, gender: Column) -> Column:
-        stem, cyrillic = _stem(surname), _cyrillic(surname)
-        last = F.concat(_surname(stem, key, turn(F.lit("surname"), stem)), F.when(cyrillic & (gender == "f"), "а").otherwise(""))
-        given = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: F.when(w.isin(PARTICLES), w).otherwise(_given(w, gender, cyrillic, key, turn(F.lit("given"), _given_form(stem, gender, w)))))
+        stem = _stem(surname)
+        last = F.concat(_surname(stem, key, turn(F.lit("surname"), stem)), F.when(_cyrillic(surname) & (gender == "f"), "а").otherwise(""))
+        given = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w: F.when(w.isin(PARTICLES), w).otherwise(_given(w, gender, surname, key, turn(F.lit("given"), _given_form(stem, gender, w)))))
         return F.concat(title, F.array_join(F.array_append(given, last), " "))
 
     return _let(F.struct(F.element_at(words, -1).alias("s"), _gender(title, words).alias("g")), lambda x: whole(x["s"], x["g"]))
@@ -229,34 +265,55 @@ def _drawn(kind: Column, form: Column, e: Column, key: str, turn: Column) -> Col
     """Surrogate of a unit in normal form; of a given name together with its surname's stem."""
     parts = F.split(form, r"\|")
     stem, gender, word = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2))
-    given = F.concat_ws("|", stem, _given(word, gender, _cyrillic(stem), key, turn))
+    given = F.concat_ws("|", stem, _given(word, gender, stem, key, turn))
     other = _let(surrogate(e, kind, form, key, turn), lambda x: normal(x, kind))
     return F.when(kind == "surname", _surname(form, key, turn)).when(kind == "given", given).otherwise(other)
 
 
+#: Country calling codes of one and two digits; all others have three.
+_COUNTRY = "^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
 def surrogate(e: Column, kind: Column, form: Column, key: str, turn: Column) -> Column:
     """Replacement of entity ``e`` that is no name; ``turn`` counts the draws that a collision made necessary."""
-    digits = lambda h: F.concat(_digits(h), _digits(F.sha2(F.concat(h, F.lit("+")), 256)))
-    return _let(_hash(key, kind, form, turn), lambda h: _let(digits(h), lambda more: _surrogate(e, kind, form, turn, h, more)))
+    return _let(_hash(key, kind, form, turn), lambda h: _surrogate(e, kind, form, turn, h))
+
+
+def _mod97(text: Column) -> Column:
+    """Remainder by 97 of the number that letters (A is 10) and digits of a text spell."""
+    step = lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
+def _iban(e: Column, form: Column, h: Column) -> Column:
+    """Country kept, letters for letters, digits for digits; check digits that hold where the given ones do."""
+    country = F.substring(form, 1, 2)
+    rest = F.substring(e, F.lit(5), F.length(e))
+    body = _dealt(_dealt(rest, "[0-9]", _stream(h, "", _DIGITS)), "[A-Z]", _stream(h, "a", _CAPITAL))
+
+    def checked(new: Column) -> Column:
+        right = F.lpad((98 - _mod97(F.concat(F.regexp_replace(new, " ", ""), country, F.lit("00")))).cast("string"), 2, "0")
+        holds = _mod97(F.concat(F.substring(form, F.lit(5), F.length(form)), F.substring(form, 1, 4))) == 1
+        return F.concat(country, F.when(holds, right).otherwise(F.array_join(F.slice(_stream(h, "c", _DIGITS)(F.lit(2)), 1, 2), "")), new)
+
+    return _let(body, checked)
 
 
-def _surrogate(e: Column, kind: Column, form: Column, turn: Column, h: Column, more: Column) -> Column:
+def _surrogate(e: Column, kind: Column, form: Column, turn: Column, h: Column) -> Column:
+    digits, letters = _stream(h, "", _DIGITS), _stream(h, "a", _SMALL)
     top_level = F.regexp_extract(e, r"\.[^.@]+$", 0)
     head = F.substring(e, F.lit(1), F.length(e) - F.length(top_level))
-    letters = F.concat(_letters(h), _letters(F.sha2(F.concat(h, F.lit("a")), 256)), _letters(F.sha2(F.concat(h, F.lit("b")), 256)), _letters(F.sha2(F.concat(h, F.lit("c")), 256)))
-    longer = F.substring(F.translate(F.sha2(F.concat(h, F.lit("e")), 256), "0123456789abcdef", "abdefgiklmnoprst"), F.lit(1), turn)
-    email = F.concat(longer, _dealt(_dealt(head, r"[\p{L}]", letters), "[0-9]", more), top_level)
-    country = F.regexp_extract(e, r"^(?:\+[0-9]{1,3}|\(?0)", 0)
-    country = F.when(F.startswith(e, F.lit("+1")), F.lit("+1")).otherwise(country)
-    phone = F.concat(country, _dealt(F.substring(e, F.length(country) + 1, F.lit(1000)), "[0-9]", more))
+    longer = F.substring(F.translate(F.sha2(F.concat(h, F.lit("e")), 256), *_SMALL), F.lit(1), turn)
+    email = F.concat(longer, _dealt(_dealt(head, r"[\p{L}]", letters), "[0-9]", digits), top_level)
+    # The country's digits, or a leading 0, are the same in all spellings of a number.
+    kept = F.when(F.startswith(e, F.lit("+")), F.length(F.regexp_extract(form, _COUNTRY, 0))).when(F.startswith(form, F.lit("0")), 1).otherwise(0)
+    phone = _dealt(e, "[0-9]", lambda n: F.concat(F.slice(F.split(form, ""), F.lit(1), kept), digits(n)))
     ip = F.concat_ws(".", *[F.conv(F.substring(h, 1 + 2 * k, 2), 16, 10) for k in range(4)])
     ip = F.when(F.contains(e, F.lit(":")), F.concat_ws(":", *[F.substring(h, 1 + 4 * k, 4) for k in range(8)])).otherwise(ip)
-    plain = F.split(form, "")
-    body = F.slice(more, 1, F.length(form) - 1)
-    check = ((F.lit(10) - _luhn(F.array_append(body, F.lit("0"))) % 10) % 10).cast("string")
-    number = F.when(_luhn(plain) % 10 == 0, _dealt(e, "[0-9]", F.array_append(body, check))).otherwise(_dealt(e, "[0-9]", more))
-    iban = F.concat(F.substring(e, 1, 2), _dealt(F.substring(e, 3, 1000), "[0-9]", more))
-    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "iban", iban).otherwise(number)
+    body = F.slice(digits(F.length(form)), 1, F.length(form) - 1)
+    check = lambda body: ((F.lit(10) - _luhn(F.array_append(body, F.lit("0"))) % 10) % 10).cast("string")
+    number = F.when(_luhn(F.split(form, "")) % 10 == 0, _dealt(e, "[0-9]", lambda n: _let(body, lambda b: F.array_append(b, check(b))))).otherwise(_dealt(e, "[0-9]", digits))
+    return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "ip", ip).when(kind == "iban", _iban(e, form, h)).otherwise(number)
 
 
 def entities(text: Column) -> Column:

@@ -700,3 +700,22 @@ def test_pii_against_brute_force(spark):
     assert len(set(pairs.values())) == len(pairs) > 200 and not set(pairs) & set(pairs.values())
     again = {r["doc_id"]: r["text"] for r in pii.pseudonymise(frame(spark, texts), "other key").collect()}
     assert sum(again[i] != out[i]["text"] for i in again) > 100
+
+
+def test_pii_keeps_length_country_script_and_checks(spark):
+    long = "x" * 300 + "7" * 200 + "@" + "d" * 280 + ".example.com"
+    texts = [long, "+49 30 123 4567 and +4930 123 4567", "Mr Παπαδόπουλος met Κυρία Ελένη Νικολάου", "DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432 and DE00 3704 0044 0532 0130 00", "Mr O'Brien-Lee and Mrs Anna-Lena O'Brien-Lee", "Mr Հակոբյան"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.pseudonymise(rows, "k").collect()}
+    local, domain = out[0].split("@")
+    assert re.fullmatch(r"[a-z]{300}[0-9]{200}", local) and re.fullmatch(r"[a-z]{280}\.[a-z]{7}\.com", domain) and out[0] != long
+    one, two = out[1].split(" and ")
+    assert one.replace(" ", "") == two.replace(" ", "") and re.fullmatch(r"\+49 \d\d \d{3} \d{4}", one) and re.fullmatch(r"\+49\d\d \d{3} \d{4}", two) and one != "+49 30 123 4567"
+    assert re.fullmatch(r"Mr [Ͱ-Ͽ]+ met Κυρία [Ͱ-Ͽ]+ [Ͱ-Ͽ]+", out[2]) and "Παπαδόπουλος" not in out[2] and "Νικολάου" not in out[2]
+    value = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97
+    ibans = out[3].split(" and ")
+    assert [value(x.replace(" ", "")) == 1 for x in ibans[:2]] == [True, True] and re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", ibans[1]) and "WEST" not in ibans[1]
+    assert re.fullmatch(r"DE\d\d(?: \d{4}){4} \d\d", ibans[0]) and len(ibans[2]) == len(ibans[0]) and ibans[0] != "DE89 3704 0044 0532 0130 00"
+    found = re.fullmatch(r"Mr (O'[A-Z][a-z]+-[A-Z][a-z]+) and Mrs ([A-Z][a-z]+-[A-Z][a-z]+) (O'[A-Z][a-z]+-[A-Z][a-z]+)", out[4])
+    assert found and found[1] == found[3] != "O'Brien-Lee"
+    assert out[5] == texts[5]  # no surrogates in that script: not detected
