@@ -128,19 +128,10 @@ def token_fingerprints(texts: DataFrame) -> DataFrame:
     return _mapped(texts, [("state", pa.string()), ("reason", pa.string()), ("value", pa.string())], one, "state string, reason string, value string")
 
 
-def approximate(text: str) -> tuple[str, str | None, int]:
-    """TXT-12: observation-only identity: literals go only where they are compared, listed or set; the rest stays as written."""
-    pattern = re.compile(r"((?:=|<>|!=|<=|>=|<|>|\blike\b|\bbetween\b|\band\b)\s*)('(?:[^']|'')*'|-?\d+(?:\.\d+)?)", re.I)
-    new, n = pattern.subn(r"\1?", text)
-    new, m = re.subn(r"(\bin\s*\()\s*(?:(?:'(?:[^']|'')*'|-?\d+(?:\.\d+)?)\s*,?\s*)+\)", r"\1?)", new, flags=re.I)
-    new = re.sub(r"\s+", " ", new).strip()
-    if not new:
-        return "unavailable", None, 0
-    return "available", "approx:" + hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), n + m
-
-
 def approximate_fingerprints(texts: DataFrame, reliable: DataFrame) -> DataFrame:
     """TXT-12 over texts without a reliable fingerprint: state, value, replacements."""
+    from qlog.functions.approximate import approximate
+
     refused = texts.join(reliable.where("state = 'reliable'").select("sql_id"), "sql_id", "left_anti")
     return _mapped(refused, [("state", pa.string()), ("value", pa.string()), ("replacements", pa.int64())], approximate, "state string, value string, replacements long")
 

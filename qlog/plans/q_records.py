@@ -429,20 +429,45 @@ def lexical_statement_values(spark, d):
     return out.select("sql_id", F.array_join("categories", ",").alias("categories"), F.array_join(F.col("starts").cast("array<string>"), ",").alias("starts"))
 
 
-APPROX = r"((?:=|<>|!=|<=|>=|<|>|\blike\b|\bbetween\b|\band\b)\s*)(''(?:[^'']|'''')*''|-?\d+(?:\.\d+)?)"
+#: Readable tokens of each kind of text, written out, with a bar between them; what follows is the open comment.
+APPROX = """CASE event_type
+  WHEN 'click' THEN 'select|a|,|b|from|t|where|id|=|<value>|and|name|=|''u' || user_id || ''''
+  WHEN 'view' THEN 'select|a|,|lower|(|b|)|from|t|where|id|in|(|<value>|,|<value>|,|<value>|)|;'
+  WHEN 'purchase' THEN 'begin|;|update|t|set|v|=|<value>|where|id|=|<value>|;|commit'
+  WHEN 'signup' THEN 'insert|into|t|values|(|' || event_id || '|,|''x''''y;''|,|$1|,|now|(|)|,|s|.|f|(|1|,|2|)|)' ELSE 'select' END"""
 
 
 @query(
     "lexical_approximate_values",
-    rf"""WITH {TEXTS}, op AS (SELECT event_id, text || ' ''open' AS text FROM tx WHERE event_type IN ('click', 'purchase'))
-SELECT CAST(event_id AS VARCHAR) AS sql_id, 'available' AS state, 'approx:' || sha256(regexp_replace(text, '{APPROX}', '\1?', 'gi')) AS value, CAST(len(regexp_extract_all(text, '{APPROX}', 0, 'i')) AS BIGINT) AS replacements FROM op""",
+    f"""SELECT CAST(event_id AS VARCHAR) AS sql_id, 'available' AS state,
+  'approx:' || sha256(replace({APPROX}, '|', chr(31)) || chr(30) || CASE WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup') THEN '''open ' || event_id || chr(10) ELSE '' END || '/* open') AS value,
+  CAST(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 3 WHEN 'purchase' THEN 2 ELSE 0 END AS BIGINT) AS replacements FROM events""",
 )
 def lexical_approximate_values(spark, d):
-    """TXT-12: texts that an open string makes unreliable, with literals that are compared or set."""
-    texts = sql_texts(spark, d).where("event_type in ('click', 'purchase')").withColumn("text", F.concat("text", F.lit(" 'open")))
+    """TXT-12: all texts, made unreliable by an open comment; a value right before it stays, as it may go on."""
+    texts = sql_texts(spark, d).withColumn("text", F.concat("text", F.lit("\n/* open")))
     return lexical.approximate_fingerprints(texts, lexical.token_fingerprints(texts)).select("sql_id", "state", "value", "replacements")
 
 
+#: Words that give a text each of the features, by the event's number; the last has only part of one.
+FEATURED = ["PARTITION BY", "EXTERNAL TABLE", "DISTRIBUTED BY", "OVER", "RECURSIVE", "COPY", "DO", "PARTITION x BY"]
+
+
+@query(
+    "lexical_signature_features",
+    """SELECT CAST(event_id AS VARCHAR) AS sql_id, CASE event_id % 8 WHEN 0 THEN 'partition_ddl' WHEN 1 THEN 'external_table' WHEN 2 THEN 'distributed' WHEN 3 THEN 'window'
+WHEN 4 THEN 'recursive' WHEN 5 THEN 'copy' WHEN 6 THEN 'do_block' ELSE '' END || CASE WHEN event_id % 3 = 0 AND event_id % 8 IN (5, 7) THEN '' WHEN event_id % 3 = 0 AND event_id % 8 = 6 THEN '' WHEN event_id % 3 = 0 THEN ',' ELSE '' END
+|| CASE WHEN event_id % 3 = 0 AND event_id % 8 NOT IN (5, 6) THEN 'copy' ELSE '' END AS features FROM events""",
+)
+def lexical_signature_features(spark, d):
+    """TXT-16: every label, alone and with a second one; words inside strings and comments give none."""
+    i = F.col("sql_id").cast("long")
+    words = F.element_at(F.array(*[F.lit(w.lower()) for w in FEATURED]), (i % 8 + 1).cast("int"))
+    second = F.when((i % 3 == 0) & (i % 8 != 6), " copy").otherwise("")
+    texts = sql_texts(spark, d).select("sql_id", F.concat(F.lit("x 'DO' /* COPY */ "), words, second, F.lit(" y")).alias("text"))
+    return lexical.failure_signatures(texts).select("sql_id", F.array_join("features", ",").alias("features"))
+
+
 @query(
     "lexical_call_values",
     rf"""WITH {TEXTS}, c AS (SELECT event_id, unnest(regexp_extract_all(text, '[A-Za-z_.]+\([^()]*\)')) AS c FROM tx WHERE event_type <> 'error'), p AS (SELECT event_id, regexp_extract(c, '([A-Za-z_]+)\(', 1) AS name, regexp_extract(c, '\((.*)\)', 1) AS args FROM c)
