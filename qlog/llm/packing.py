@@ -135,16 +135,17 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
 
     ``keep_ids`` adds each piece's token ids. Null and empty texts are one piece of ``end_id`` alone.
     Repeated rows are packed as often as they occur. An empty table gives no rows. Ranks within a
-    length are counted in salted groups of about ``ranks_a_task`` rows, whose counts are added up in two
-    levels, so a length that a third of all documents have is still spread.
+    length are counted in salted groups of about ``ranks_a_task`` rows, dealt by the number of the written row and not
+    by its id, whose counts are added up in two levels. So a length that a third of all documents have is still spread,
+    also where they have one id or none.
     """
-    pieces = written(cut_documents(docs, tokenizer, end_id, size, keep_ids), "pieces")
+    pieces = written(cut_documents(docs, tokenizer, end_id, size, keep_ids).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
     slots = pack_histogram(counts, size)
     shared = pieces.sparkSession.sparkContext.broadcast(slots)  # slots of distinct patterns
     salts = F.greatest(F.lit(1), (F.col("count") / ranks_a_task).cast("long"))
     table = pieces.sparkSession.createDataFrame(sorted(counts.items()), "length long, count long").select("length", salts.alias("salts"))
-    salted = pieces.join(F.broadcast(table), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), "salts")).drop("salts")
+    salted = pieces.join(F.broadcast(table), "length").withColumn("salt", F.pmod(F.xxhash64("_row"), "salts")).drop("salts")
     # sums of the groups before each group in two levels, so that no task sees all groups of a very frequent length
     before = lambda *by: Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     groups = salted.groupBy("length", "salt").count().withColumn("up", F.floor(F.col("salt") / GROUPS_A_SUM)).withColumn("at", F.col("salt"))
@@ -152,7 +153,7 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
     tops = tops.select("length", "up", F.coalesce(F.sum("count").over(before("length")), F.lit(0)).alias("base"))
     first = groups.withColumn("own", F.coalesce(F.sum("count").over(before("length", "up")), F.lit(0))).join(tops, ["length", "up"])
     first = first.select("length", "salt", (F.col("base") + F.col("own")).alias("first"))
-    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
+    inside = Window.partitionBy("length", "salt").orderBy("_row")
     ranked = salted.join(first, ["length", "salt"]).withColumn("rank", F.col("first") + F.row_number().over(inside) - 1).drop("salt", "first")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,4 +165,4 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
 
     fields = [f for f in ranked.schema.fields if f.name != "rank"]
     out = ranked.mapInArrow(place, T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
-    return out.select(*pieces.columns, "sequence_id", "offset")
+    return out.select(*[c for c in pieces.columns if c != "_row"], "sequence_id", "offset")
