@@ -378,7 +378,8 @@ def _other_links(met: DataFrame, sets: DataFrame, comps: DataFrame, bands: Bands
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, tile: int = TILE, text_hash: bool = False, send_rows: int = SEND_ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``; with ``text_hash`` also th, the ``text_key`` of its text.
+    """doc_id, n_shingles, component_id of every row of ``docs``; with ``text_hash`` also th, the ``text_key`` of its text, and
+    component, a number of its own for each component (null without shingles), as one id may stand on texts of several.
 
     Two texts link when ``den`` * shared >= ``num`` * united shingles. component_id is the smallest
     doc_id reachable by links. Null texts and texts without words have no shingles and are linked with
@@ -403,10 +404,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     # vertices to components, components to their smallest document
     linked = written(own.select("id", "first").join(comps, F.col("id") == F.col("node")).select("id", "first", "comp"), "linked")
     names = linked.groupBy("comp").agg(F.min("first").alias("name"))
-    named = written(own.select("id", "h1", "h2", "first").join(linked.join(names, "comp").select("id", "name"), "id", "left").select("h1", "h2", F.coalesce("name", "first").alias("component_id")), "named")
+    named = own.select("id", "h1", "h2", "first").join(linked.join(names, "comp").select("id", "comp", "name"), "id", "left")
+    named = written(named.select("h1", "h2", F.coalesce("name", "first").alias("component_id"), F.coalesce("comp", "id").alias("component")), "named")
     forget(own, met, chosen, sets, linked)
-    extra = ["th"] if text_hash else []
-    out = feats.select("doc_id", "n_shingles", "h1", "h2", *extra).join(named, ["h1", "h2"], "left")
+    extra = ["th", "component"] if text_hash else []
+    out = feats.select("doc_id", "n_shingles", "h1", "h2", *extra[:1]).join(named, ["h1", "h2"], "left")
     return out.select("doc_id", *extra, "n_shingles", F.when(F.col("h1").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -67,3 +67,13 @@ def test_run_and_empty(spark, tables, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{path}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_under_one_id(spark):
+    rng = random.Random(6)
+    long = words(rng, 60)
+    rows = [(3, long), (3, long + " more"), (7, long), (8, "apart from all"), (8, "apart from all others"), (3, "a text of its own")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    kept = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+    linked = [t for i, t in kept if t.startswith(long)]
+    assert len(linked) == 1 and kept == sorted([(3, linked[0]), (3, "a text of its own"), (8, "apart from all"), (8, "apart from all others")])
