@@ -22,14 +22,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id; all that are linked with nothing.
+    """Of each group of linked documents, the one with the smallest id, and of several texts under that id the one with the
+    smallest hash; all that are linked with nothing.
 
     Linked are documents with a Jaccard of at least 0.9 of their three-word shingles.
     Rows that repeat an id and its text are one document; rows of one id with different texts are several.
     Rows without an id stay.
     """
-    linked = jaccard_components(docs, text_hash=True).where("doc_id is not null").groupBy("doc_id", F.coalesce("th", F.lit("")).alias("_h"))
-    marks = linked.agg((F.col("doc_id") != F.min("component_id")).alias("_copy"), (F.count("*") > 1).alias("_repeated")).where("_copy or _repeated")
+    linked = jaccard_components(docs, text_hash=True).where("doc_id is not null").withColumn("_h", F.coalesce("th", F.lit("")))
+    same = F.col("doc_id") == F.col("component_id")
+    # components whose smallest id stands on several of their texts
+    rivals = linked.where(same & F.col("component").isNotNull()).groupBy("component").agg(F.min("_h").alias("_first"), F.max("_h").alias("_last"))
+    rivals = written(rivals.where("_first <> _last").select("component", "_first"), "rivals")
+    other = linked.join(rivals, "component", "left").withColumn("_copy", ~same | (F.coalesce("_first", "_h") != F.col("_h"))) if not rivals.isEmpty() else linked.withColumn("_copy", ~same)
+    marks = other.groupBy("doc_id", "_h").agg(F.max("_copy").alias("_copy"), (F.count("*") > 1).alias("_repeated")).where("_copy or _repeated")
     marks = written(marks, "marks")
     found = docs.withColumn("_h", F.coalesce(text_key(), F.lit(""))).join(marks, ["doc_id", "_h"], "left").where("not coalesce(_copy, false)")
     if marks.where("_repeated").isEmpty():
