@@ -9,6 +9,8 @@ from qlog.functions import calendar as cal
 from qlog.functions import exchange
 from qlog.functions import text as tx
 from qlog.operators.baseline import METRICS, TIMINGS, null_safe
+from qlog.operators.tables import written
+from qlog.operators.textindex import TextIndex
 
 TIMING_ORDER = [*TIMINGS, "unknown"]
 
@@ -69,13 +71,14 @@ def exact_search(found: DataFrame, fingerprints: DataFrame, wanted: DataFrame) -
     return out.select("fingerprint", state.alias("state"), F.coalesce("records", F.lit(0)).alias("records"))
 
 
-def text_search(texts: DataFrame, cells: DataFrame, terms: list[str], limit: int = 50) -> DataFrame:
+def text_search(texts: DataFrame | TextIndex, cells: DataFrame, terms: list[str], limit: int = 50) -> DataFrame:
     """QRY-06, 07, 29: structures whose texts hold all terms, with both ranks; rows among the first ``limit`` of either.
 
-    ``texts``: sql_id, fingerprint, search_text; ``cells``: records and last_at by sql_id and identity.
+    ``texts``: sql_id, fingerprint, search_text, or their trigram index; ``cells``: records and last_at by sql_id and identity.
     """
-    found = texts.where(tx.match_all_terms(F.col("search_text"), F.lit(terms)))
-    got = found.select("sql_id", "fingerprint").join(cells, "sql_id", "left")
+    found = texts.search(terms) if isinstance(texts, TextIndex) else texts.where(tx.match_all_terms(F.col("search_text"), F.lit(terms)))
+    found = written(found.select("sql_id", "fingerprint"), "found")
+    got = found.join(cells, "sql_id", "left")
     who = F.struct("scope_id", "database", "execution_user")
     per = got.groupBy("fingerprint", "scope_id", "database", "execution_user").agg(F.sum("records").alias("r"), F.max("last_at").alias("l"))
     ids = found.groupBy("fingerprint").agg(F.min("sql_id").alias("example_sql_id"), F.count_distinct("sql_id").alias("matched_texts"))
@@ -90,7 +93,7 @@ def text_search(texts: DataFrame, cells: DataFrame, terms: list[str], limit: int
     out = null_safe(out, ids, ["fingerprint"])
     late = {"timestamp_ntz": cal.micros, "timestamp": F.unix_micros}.get(dict(out.dtypes)["last_at"], lambda c: c)(F.col("last_at"))
     keys = {"by_count": F.struct(-F.col("records"), "fingerprint"), "by_recency": F.struct(F.col("last_at").isNull(), -late, "fingerprint")}
-    keyed = out.select("*", *[k.alias(f"_{n}") for n, k in keys.items()])
+    keyed = written(out.select("*", *[k.alias(f"_{n}") for n, k in keys.items()]), "structures")  # read for both pages and the counts
     # the page: at most twice ``limit`` rows; only these meet all others, to count those before them
     page = keyed.orderBy("_by_count").limit(limit).unionByName(keyed.orderBy("_by_recency").limit(limit)).dropDuplicates(["_by_count"])
     own = page.select(*[F.col(f"_{n}").alias(f"_own_{n}") for n in keys])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,7 @@ from qlog.functions import calendar as cal
 from qlog.operators import baseline, eligibility
 from qlog.operators.facts import Builds
 from qlog.operators.tables import hadoop, store
+from qlog.operators.textindex import TextIndex
 
 WINDOW = ("2024-01-06", "2024-01-26")  # local dates, half-open
 RULE = "lexical-1"
@@ -153,10 +155,25 @@ def statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline.statistics(spark.read.parquet(path), KEYS, *window_dates())
 
 
+def _state(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """What tells a table as it is now from one that has changed."""
+    path, fs = hadoop(spark, f"{sf_dir}/{name}.parquet")
+    return f"{sf_dir} {fs.getFileStatus(path).getModificationTime()} {fs.getContentSummary(path).getLength()}"
+
+
+def text_index(spark: SparkSession, sf_dir: str, make) -> TextIndex:
+    """The trigram index over the documents as they are now; the first reader of an application has it made."""
+    path = f"{store(spark)}/texts-{hashlib.sha256(_state(spark, sf_dir, 'documents').encode()).hexdigest()[:16]}"
+    index, (done, fs) = TextIndex(spark, path), hadoop(spark, f"{path}/done")
+    if not fs.exists(done):
+        index.add(0, make())
+        fs.create(done).close()
+    return index
+
+
 def build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published build over the tables as they are now; the first reader of an application makes and publishes it."""
-    path, fs = hadoop(spark, f"{sf_dir}/events.parquet")
-    scope = f"{sf_dir} {fs.getFileStatus(path).getModificationTime()} {fs.getContentSummary(path).getLength()}"
+    scope = _state(spark, sf_dir, "events")
     builds = Builds(spark, f"{store(spark)}/builds")
     found = builds.current(scope)
     if found is None:
