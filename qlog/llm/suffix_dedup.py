@@ -33,7 +33,7 @@ SEGMENT = 1 << 20
 #: Spans of a bucket, and windows that are sorted at once unless one gram has more.
 BUCKET, WINDOWS = 16_384, 1 << 20
 #: Spans and ranges that ride to the texts in a broadcast; more go by a shuffle of the texts.
-PICKED = 500_000
+PICKED = 20_000
 
 _BYTES = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _HIGH = U64(0xFFFFFFFF00000000)
