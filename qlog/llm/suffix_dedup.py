@@ -10,8 +10,9 @@ windows have their anchor at the same place, and every repeated window is found
 2. Different spans of one gram (mostly at the edges of copied passages) fetch their bytes. Sampled splitters range-partition
    these suffixes by their leading bytes; a bucket sorts its suffixes, then the windows around them, by multikey quicksort
    (one eight-byte key at a time, only among what is still equal) and marks equal neighbours.
-3. A gram at the edge of a bucket may go on in the next one. Buckets report each distinct window of such grams once, and one
-   more grouping compares across boundaries; so a gram that a third of all texts share is spread over many buckets.
+3. A gram at the edge of a bucket may go on in the next one, so a gram that a third of all texts share is spread over many
+   buckets. Buckets report each distinct window of such grams once, by cells of windows that have all but ``CELL`` bytes in
+   common; only cells that occur at several places are compared across boundaries window by window.
 
 Places are compared by the bytes themselves inside a bucket, by 128 bits (gram and span, or window) between tasks.
 """
@@ -162,13 +163,17 @@ def multikey_sort(words: np.ndarray, at: np.ndarray, label: np.ndarray, n_words:
     return order, edge
 
 
-BUCKETED = "hash binary, lo int, hi int, place long, window binary"
+#: Windows of a cell have their anchor equally far from their start, but for so many bytes.
+CELL = 24
+WINDOW = pa.struct([("at", pa.int32()), ("digest", pa.binary())])
+BUCKETED = "hash binary, lo int, hi int, place long, cell binary, windows array<struct<at:int,digest:binary>>"
+_BUCKETED = ["hash", "lo", "hi", "place", "cell", "windows"]
 
 
 def _window_rows(table: pa.Table, length: int) -> Iterator[pa.Table]:
-    """BUCKETED rows of a bucket: marks (no window), and windows that must be compared across boundaries.
+    """BUCKETED rows of a bucket: marks (no cell), and cells of windows that must be compared across boundaries.
 
-    Of the latter, rows without a hash are witnesses: the window repeats.
+    Of the latter, rows without a hash are witnesses: their windows repeat.
     """
     lo, at = (table[c].to_numpy().astype(np.int64) for c in ("lo", "at"))
     repeated, hashes, places = table["repeated"].to_numpy(), table["hash"].to_pylist(), table["place"].to_numpy()
@@ -207,23 +212,30 @@ def _window_rows(table: pa.Table, length: int) -> Iterator[pa.Table]:
         begin = np.flatnonzero(marked & ~(np.append(False, marked[:-1]) & np.append(False, row[1:] == row[:-1])))
         end = np.flatnonzero(marked & ~(np.append(marked[1:], False) & np.append(row[1:] == row[:-1], False)))
         of = row[begin]
-        yield pa.table([pa.array([hashes[r] for r in of.tolist()], pa.binary()), pa.array(lo[of] + step[begin], pa.int32()), pa.array(lo[of] + step[end], pa.int32()), pa.array(places[of], pa.int64()), pa.nulls(len(of), pa.binary())], BUCKETED_NAMES)
+        nothing = pa.nulls(len(of), pa.binary()), pa.nulls(len(of), pa.list_(WINDOW))
+        yield pa.table([pa.array([hashes[r] for r in of.tolist()], pa.binary()), pa.array(lo[of] + step[begin], pa.int32()), pa.array(lo[of] + step[end], pa.int32()), pa.array(places[of], pa.int64()), *nothing], _BUCKETED)
         edges = [g for g in {0, len(bounds) - 2} if taken <= g < upto]
         if edges:
             open_ = new & np.isin(np.repeat(gram[part], n)[by], edges)  # one of each distinct window
-            pick = by[open_]
-            witness = (count > 1)[open_] | known[run[open_]]
+            pick, witness = by[open_], (count > 1)[open_] | known[run[open_]]
+            of, at_window = row[pick], step[pick]
+            cell = (at[of] - lo[of] - at_window) // CELL
+            sort = np.lexsort((at_window, witness, cell, of))
+            of, at_window, cell, witness = of[sort], at_window[sort], cell[sort], witness[sort]
+            first = np.ones(len(of), bool)
+            first[1:] = (of[1:] != of[:-1]) | (cell[1:] != cell[:-1]) | (witness[1:] != witness[:-1])
+            first = np.flatnonzero(first)
             body = data.tobytes()
-            digests = [hashlib.blake2b(body[p : p + length], digest_size=16).digest() for p in (starts[row[pick]] + step[pick]).tolist()]
-            place = lo[row[pick]] + step[pick]
-            named = [None if w else hashes[r] for w, r in zip(witness.tolist(), row[pick].tolist())]
-            yield pa.table([pa.array(named, pa.binary()), pa.array(place, pa.int32()), pa.array(place, pa.int32()), pa.array(places[row[pick]] + step[pick], pa.int64()), pa.array(digests, pa.binary())], BUCKETED_NAMES)
+            digest = lambda p, size: hashlib.blake2b(body[p : p + size], digest_size=16).digest()
+            common = [digest(p, length - CELL) for p in (starts[of[first]] + at[of[first]] - lo[of[first]] - CELL * cell[first]).tolist()]
+            each = pa.StructArray.from_arrays([pa.array(lo[of] + at_window, pa.int32()), pa.array([digest(p, length) for p in (starts[of] + at_window).tolist()], pa.binary())], fields=list(WINDOW))
+            windows = pa.ListArray.from_arrays(pa.array(np.append(first, len(of)), pa.int32()), each)
+            named = [None if w else hashes[r] for w, r in zip(witness[first].tolist(), of[first].tolist())]
+            no = pa.nulls(len(first), pa.int32())
+            yield pa.table([pa.array(named, pa.binary()), no, no, pa.array(places[of[first]], pa.int64()), pa.array(common, pa.binary()), windows], _BUCKETED)
         taken = upto
 
 
-BUCKETED_NAMES = ["hash", "lo", "hi", "place", "window"]
-
-
 def _bucket(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(batches)
@@ -323,10 +335,12 @@ def repeated_ranges(docs: DataFrame, length: int = 200, bucket: int = BUCKET, pi
     if total:
         buckets = cut.repartitionByRange(max(-(-total // bucket), 8), "lead", "span", "salt").drop("lead", "span", "salt")
         found = written(buckets.mapInArrow(_bucket(length), BUCKETED), "windows")
-        marks.append(found.where("window is null").select("hash", "lo", "hi"))
-        across = found.where("window is not null")
-        seen = across.groupBy("window").agg(F.max(F.col("hash").isNull()).alias("w"), F.min("place").alias("a"), F.max("place").alias("b")).where("w or a <> b")
-        marks.append(across.where("hash is not null").join(seen, "window").select("hash", "lo", "hi"))
+        marks.append(found.where("cell is null").select("hash", "lo", "hi"))
+        cells = found.where("cell is not null")
+        shared = cells.groupBy("cell").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("cell")
+        across = written(cells.join(shared, "cell").select("hash", "place", F.inline("windows")), "across")
+        seen = across.groupBy("digest").agg(F.max(F.col("hash").isNull()).alias("w"), F.min(F.xxhash64("place", "at")).alias("a"), F.max(F.xxhash64("place", "at")).alias("b")).where("w or a <> b")
+        marks.append(across.where("hash is not null").join(seen.select("digest"), "digest").select("hash", F.col("at").alias("lo"), F.col("at").alias("hi")))
     every = marks[0]
     for more in marks[1:]:
         every = every.unionByName(more)
