@@ -160,11 +160,25 @@ def select_batches(batches: DataFrame, files: DataFrame, window_start: Column) -
     return marked.crossJoin(F.broadcast(any_hit)).where("_hit = 1 or _any is null").withColumn("fallback", F.col("_any").isNull()).drop("_hit", "_any")
 
 
-def freeze_input(files: DataFrame) -> DataFrame:
-    """ELI-02: one row an input file with its interpretation, how many interpretations it has, and the manifest's digest."""
+def freeze_input(files: DataFrame, digits: int = 3) -> DataFrame:
+    """ELI-02: one row an input file with its interpretation, how many it has, its bucket, the bucket's digest and the manifest's.
+
+    A tree of digests: files fall into buckets by the first hex ``digits`` of their id's hash, a bucket's digest is over
+    its files' sorted lines, the manifest's over its buckets' sorted lines. No row lists all ids, and comparing two
+    manifests bucket by bucket (``changed_buckets``) tells where they differ.
+    """
     one = files.where("state = 'succeeded'").groupBy("file_id").agg(F.count_distinct("analysis_id").alias("interpretations"), F.min("analysis_id").alias("analysis_id"))
-    digest = one.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "file_id", "analysis_id"))), ","), 256).alias("digest"))
-    return one.crossJoin(F.broadcast(digest)).withColumn("valid", F.col("interpretations") == 1)
+    one = one.withColumn("bucket", F.left(F.sha2(F.col("file_id").cast("string"), 256), F.lit(digits)))
+    over = lambda *line: F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", *line))), ","), 256)
+    parts = one.groupBy("bucket").agg(over("file_id", "analysis_id").alias("bucket_digest"))
+    root = parts.agg(over("bucket", "bucket_digest").alias("digest"))
+    return one.join(parts, "bucket").crossJoin(F.broadcast(root)).withColumn("valid", F.col("interpretations") == 1)
+
+
+def changed_buckets(old: DataFrame, new: DataFrame) -> DataFrame:
+    """ELI-02: buckets of two manifests (``freeze_input``) whose files differ."""
+    a, b = old.select("bucket", F.col("bucket_digest").alias("a")).distinct(), new.select("bucket", F.col("bucket_digest").alias("b")).distinct()
+    return a.join(b, "bucket", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("bucket")
 
 
 def text_rules(texts: DataFrame, cached: DataFrame, templates: DataFrame) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qlog.operators.baseline import null_safe
+from qlog.operators.builds import Builds  # noqa: F401
 
 IDENTITY = ["fingerprint", "scope_id", "database", "execution_user"]
 
@@ -106,41 +106,6 @@ def publication_result(checks: DataFrame, stats: DataFrame) -> DataFrame:
     return failed.crossJoin(F.broadcast(samples)).withColumn("result", F.when(F.col("failed") > 0, "check_failed").when(F.col("samples") == 0, "no_samples").otherwise("published"))
 
 
-class Builds:
-    """FCT-11: builds in a folder of a shared store, one folder a build, partitioned by layer; a log row publishes a build.
-
-    A reader sees the newest published build of a scope or none, never a part of one. A build that failed
-    before its log row is not seen; a build id is published once.
-    """
-
-    LOG = "scope string, build_id string, result string, at timestamp"
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(self.LOG).parquet(f"{self.path}/log")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], self.LOG)
-
-    def publish(self, scope: str, build_id: str, stats: DataFrame) -> bool:
-        """Write ``stats`` and publish it; False if that build was published before."""
-        if not self.log().where((F.col("scope") == scope) & (F.col("build_id") == build_id)).isEmpty():
-            return False
-        stats.write.mode("overwrite").partitionBy("layer").parquet(f"{self.path}/builds/{build_id}")
-        row = self.spark.createDataFrame([(scope, build_id, "published")], "scope string, build_id string, result string").withColumn("at", F.current_timestamp())
-        row.coalesce(1).write.mode("append").parquet(f"{self.path}/log")
-        return True
-
-    def current(self, scope: str) -> DataFrame | None:
-        """Statistics of the newest published build of a scope; filters on ``layer`` read that layer's files alone."""
-        row = self.log().where((F.col("scope") == scope) & (F.col("result") == "published")).agg(F.max_by("build_id", F.struct("at", "build_id"))).first()
-        return None if row[0] is None else self.spark.read.parquet(f"{self.path}/builds/{row[0]}")
-
-
 def current_versions(log: DataFrame) -> DataFrame:
     """FCT-11: the newest published build of each cluster."""
     return log.where("result = 'published'").groupBy("scope_id").agg(F.max_by("build_id", F.struct("at", "build_id")).alias("build_id"), F.max("at").alias("published_at"))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from qlog.functions import calendar as cal
 from qlog.operators import baseline, eligibility
-from qlog.operators.facts import Builds
-from qlog.operators.tables import hadoop, store
+from qlog.operators.builds import Builds
+from qlog.operators.facts import publication_checks
+from qlog.operators.tables import hadoop, store, written
 from qlog.operators.textindex import TextIndex
 
 WINDOW = ("2024-01-06", "2024-01-26")  # local dates, half-open
@@ -177,8 +178,14 @@ def build(spark: SparkSession, sf_dir: str) -> DataFrame:
     builds = Builds(spark, f"{store(spark)}/builds")
     found = builds.current(scope)
     if found is None:
-        builds.publish(scope, uuid.uuid4().hex, statistics(spark, sf_dir))
+        decided = written(samples(spark, sf_dir), "samples")
+        required = decided.groupBy(*KEYS).agg(F.count_if("included").alias("included"), F.count_if(~F.col("included")).alias("excluded"))
+        no_files = spark.createDataFrame([], "path string")
+        checks = lambda stats: publication_checks(stats, required, KEYS, no_files, spark.range(1).select(F.lit(RULE).alias("rule")))
+        builds.attempt(scope, uuid.uuid4().hex, baseline.statistics(decided, KEYS, *window_dates()), checks)
         found = builds.current(scope)
+    if found is None:
+        raise ValueError(f"no build of {scope} could be published: {builds.log(scope)}")
     return found
 
 

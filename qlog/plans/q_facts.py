@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from qlog.functions import calendar as cal
-from qlog.operators import facts
+from qlog.operators import builds, facts
 from qlog.plans import base
 from qlog.plans.base import DECISIONS, EXEC, KEYS, STATS
 
@@ -198,6 +200,14 @@ def retention_drop(spark, d):
     return facts.drop_expired(_log(spark, d), _preview(spark, d)).select("scope_id", "build_id")
 
 
+@query("retention_partitions", f"{_PREVIEW} SELECT pl.scope_id, build_id FROM pl JOIN pv USING (scope_id, year, month) WHERE pv.state <> 'expired'")
+def retention_partitions(spark, d):
+    """FCT-14 on a table partitioned by cluster and month: expired partitions go as folders, the rest is not touched."""
+    path, by = f"{base.store(spark)}/{uuid.uuid4().hex}/months", ["scope_id", "year", "month"]
+    _log(spark, d).repartition(*by).write.partitionBy(*by).parquet(path)
+    return builds.drop_partitions(spark, path, by, _preview(spark, d).where("state = 'expired'")).select("scope_id", "build_id")
+
+
 @query(
     "import_breakdown",
     """WITH dy AS (SELECT 'C' || (l_suppkey % 3) AS scope_id, CAST(l_shipdate AS DATE) AS day, l_orderkey AS run_id, CAST(sum(l_quantity) AS BIGINT) AS seconds FROM lineitem GROUP BY ALL),

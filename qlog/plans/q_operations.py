@@ -299,14 +299,26 @@ def eligibility_batches(spark, d):
 
 @query(
     "eligibility_frozen_input",
-    """WITH f AS (SELECT 'f' || (event_id % 500) AS file_id, 'A' || CASE WHEN event_id % 500 = 7 THEN event_id % 2000 ELSE event_id % 500 END AS analysis_id FROM events), o AS (SELECT file_id, count(DISTINCT analysis_id) AS interpretations, min(analysis_id) AS analysis_id FROM f GROUP BY file_id)
-SELECT file_id, interpretations, analysis_id, interpretations = 1 AS valid, (SELECT sha256(array_to_string(list_sort(list(file_id || ':' || analysis_id)), ',')) FROM o) AS digest FROM o""",
+    """WITH f AS (SELECT 'f' || (event_id % 500) AS file_id, 'A' || CASE WHEN event_id % 500 = 7 THEN event_id % 2000 ELSE event_id % 500 END AS analysis_id FROM events), o AS (SELECT file_id, count(DISTINCT analysis_id) AS interpretations, min(analysis_id) AS analysis_id FROM f GROUP BY file_id),
+b AS (SELECT substr(sha256(file_id), 1, 3) AS bucket, sha256(array_to_string(list_sort(list(file_id || ':' || analysis_id)), ',')) AS bucket_digest FROM o GROUP BY 1)
+SELECT file_id, interpretations, analysis_id, interpretations = 1 AS valid, bucket, bucket_digest, (SELECT sha256(array_to_string(list_sort(list(bucket || ':' || bucket_digest)), ',')) FROM b) AS digest FROM o JOIN b ON bucket = substr(sha256(file_id), 1, 3)""",
 )
 def eligibility_frozen_input(spark, d):
     """ELI-02."""
+    return eligibility.freeze_input(_input_files(spark, d))
+
+
+def _input_files(spark, d):
     i = F.col("event_id")
-    files = base.table(spark, d, "events").select(F.concat(F.lit("f"), (i % 500).cast("string")).alias("file_id"), F.concat(F.lit("A"), F.when(i % 500 == 7, i % 2000).otherwise(i % 500).cast("string")).alias("analysis_id"), F.lit("succeeded").alias("state"))
-    return eligibility.freeze_input(files)
+    return base.table(spark, d, "events").select(F.concat(F.lit("f"), (i % 500).cast("string")).alias("file_id"), F.concat(F.lit("A"), F.when(i % 500 == 7, i % 2000).otherwise(i % 500).cast("string")).alias("analysis_id"), F.lit("succeeded").alias("state"))
+
+
+@query("eligibility_changed_input", "SELECT DISTINCT substr(sha256('f' || (event_id % 500)), 1, 3) AS bucket FROM events WHERE event_id % 500 IN (3, 44, 123)")
+def eligibility_changed_input(spark, d):
+    """ELI-02: where two manifests differ: one file is gone, two have another interpretation."""
+    old = _input_files(spark, d)
+    new = old.where("file_id <> 'f3'").withColumn("analysis_id", F.when(F.col("file_id").isin("f44", "f123"), "B").otherwise(F.col("analysis_id")))
+    return eligibility.changed_buckets(eligibility.freeze_input(old), eligibility.freeze_input(new))
 
 
 @query(
