@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from qlog.operators.baseline import null_safe, ranked_first
+from qlog.operators.baseline import null_safe
+from qlog.operators.order import between, quantiles
 
 
 def capture_changes(batch: DataFrame, processed: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,83 +57,41 @@ def recompute_totals(facts: DataFrame, keys: list[str], at: str = "end_at") -> D
     return facts.groupBy(*keys).agg(F.count("*").alias("record_count"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
 
 
-class Versions:
-    """A table kept as one folder a version; the version is the micro-batch number, so a repeated batch is written once."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+def keep_totals(stream: DataFrame, store, checkpoint: str) -> StreamingQuery:
+    """STF-02..04 as a stream of executions into a ``totals.BucketTotals``; rows with ``retracted`` true take one away that came before."""
 
-    def latest(self) -> tuple[int, DataFrame]:
-        from pyspark.errors import AnalysisException
+    def step(batch: DataFrame, number: int) -> None:
+        store.commit(number, batch if "retracted" in batch.columns else batch.withColumn("retracted", F.lit(False)))
 
-        try:
-            log = self.spark.read.schema("version long").parquet(f"{self.path}/log")
-            n = log.agg(F.max("version")).first()[0]
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            n = None
-        if n is None:
-            return -1, self.spark.createDataFrame([], self.schema)
-        return n, self.spark.read.schema(self.schema).parquet(f"{self.path}/v{n}")
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def publish(self, version: int, df: DataFrame) -> None:
-        """The log row, written last, makes the version count."""
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{self.path}/log")
 
+TIMELINE = ["bucket", "timing_type", "outcome"]
 
-class ChangeLog:
-    """STF-02: signed changes, one folder a micro-batch; a repeated batch overwrites its own."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+def hour_counts(stream: DataFrame, late: str = "1 day", at: str = "end_at") -> DataFrame:
+    """STF-05, the stateful part: events of an hour counted by timing, outcome and duration.
 
-    def add(self, number: int, changes: DataFrame) -> None:
-        """``changes``: rows with ``retracted``."""
-        changes.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+    State is one small row a distinct duration, spread over all state stores by its whole key. In append mode an hour comes
+    out, all at once, when the watermark (``late`` behind the newest event) has passed it, and its state goes.
+    """
+    return stream.withWatermark(at, late).groupBy(F.window(at, "1 hour"), "timing_type", "outcome", "us").agg(F.count("*").alias("n")).select(F.col("window.start").alias("bucket"), "timing_type", "outcome", "us", "n")
 
-    def facts(self) -> DataFrame:
-        """Rows that are inserted more often than retracted, each once."""
-        rows = self.spark.read.parquet(self.path).drop("batch")
-        cols = [c for c in rows.columns if c != "retracted"]
-        return rows.groupBy(*cols).agg(F.sum(F.when(F.col("retracted"), -1).otherwise(1)).alias("_n")).where("_n > 0").drop("_n")
 
+def hour_summary(counts: DataFrame) -> DataFrame:
+    """STF-05, the rest: records, longest and P95 of each closed hour, by exact order statistics over its counts."""
+    sums = counts.groupBy(*TIMELINE).agg(F.sum("n").alias("records"), F.max("us").alias("longest_us"))
+    p95 = quantiles(counts, TIMELINE, [0.95], "us").select(*TIMELINE, (between(F.get("ranks", F.lit(0))) / 1000.0).alias("p95"))
+    return null_safe(sums, p95, TIMELINE)
 
-def keep_totals(stream: DataFrame, keys: list[str], store: Versions, checkpoint: str, at: str = "end_at", log: ChangeLog | None = None) -> StreamingQuery:
-    """STF-02..04 as a stream of executions: each micro-batch merges into the next version of the totals.
 
-    With ``log`` the rows carry ``retracted``: true takes an execution away that came before. The log is
-    read only where a total may have lost its first or last time.
-    """
+def live_timeline(stream: DataFrame, path: str, checkpoint: str, late: str = "1 day") -> StreamingQuery:
+    """STF-05: hourly records, longest and P95 by timing and outcome of the hours that the watermark closes, one folder a micro-batch."""
 
     def step(batch: DataFrame, number: int) -> None:
-        version, totals = store.latest()
-        if number > version:
-            batch.persist()  # read several times by the merge
-            if log is None:
-                removed, added, facts = batch.limit(0), batch, batch.limit(0)
-            else:
-                log.add(number, batch)
-                removed, added = batch.where("retracted").drop("retracted"), batch.where("not retracted").drop("retracted")
-                facts = removed if removed.isEmpty() else log.facts()
-            store.publish(number, merge_totals(totals, facts, removed, added, keys, at))
-            batch.unpersist()
-
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
+        hour_summary(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-def live_timeline(stream: DataFrame, late: str = "1 day", at: str = "end_at") -> DataFrame:
-    """STF-05: hourly counts, longest and P95 by timing and outcome, of events up to ``late`` behind the newest.
-
-    In update mode the watermark ends the state of hours that are past.
-    """
-    return (
-        stream.withWatermark(at, late)
-        .groupBy(F.window(at, "1 hour"), "timing_type", "outcome")
-        .agg(F.count("*").alias("records"), F.max("us").alias("longest_us"), F.percentile(F.col("us") / 1000.0, F.lit(0.95)).alias("p95"))
-        .select(F.col("window.start").alias("bucket"), "timing_type", "outcome", "records", "longest_us", "p95")
-    )
+    return hour_counts(stream, late).writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def arriving_files(spark: SparkSession, path: str, schema: str, a_batch: int = 4) -> DataFrame:
@@ -142,16 +99,6 @@ def arriving_files(spark: SparkSession, path: str, schema: str, a_batch: int = 4
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", a_batch).option("latestFirst", False).parquet(path)
 
 
-def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Write all that has arrived to Parquet and stop; in update mode one folder a micro-batch (see ``newest``)."""
-    out = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "append":
-        out.format("parquet").option("path", path).start().awaitTermination()
-    else:
-        write: Callable = lambda df, number: df.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        out.foreachBatch(write).start().awaitTermination()
-
-
-def newest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The last row that an updating stream wrote for each key."""
-    return ranked_first(spark.read.parquet(path), keys, [F.desc("batch")]).drop("batch")
+def run_to_end(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Append all that has arrived to Parquet and stop."""
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").option("path", path).start().awaitTermination()
