@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from qlog.operators.baseline import null_safe
+from qlog.operators.order import first_rows, numbered
+
 
 def input_census(rows: DataFrame) -> DataFrame:
     """DIA-01: per cluster, field and state: distinct inputs, occurrences, longest text, up to five examples.
@@ -14,9 +17,10 @@ def input_census(rows: DataFrame) -> DataFrame:
     ``rows``: scope_id, field, input_id, n (occurrences), state, text.
     """
     per = rows.groupBy("scope_id", "field", "input_id", "state").agg(F.sum("n").alias("n"), F.max(F.length("text")).alias("longest"))
-    place = F.row_number().over(Window.partitionBy("scope_id", "field", "state").orderBy("input_id"))
-    per = per.withColumn("_e", F.when(place <= 5, F.col("input_id")))
-    return per.groupBy("scope_id", "field", "state").agg(F.count("*").alias("inputs"), F.sum("n").alias("occurrences"), F.max("longest").alias("longest"), F.array_join(F.array_sort(F.collect_list("_e")), ",").alias("examples"))
+    by = ["scope_id", "field", "state"]
+    sums = per.groupBy(*by).agg(F.count("*").alias("inputs"), F.sum("n").alias("occurrences"), F.max("longest").alias("longest"))
+    few = first_rows(per.select(*by, "input_id"), by, ["input_id"], 5, "place")
+    return null_safe(sums, few.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list("input_id")), ",").alias("examples")), by)
 
 
 def daily_census(rows: DataFrame, cut_bytes: int = 1023) -> DataFrame:
@@ -104,9 +108,12 @@ def median_ratios(samples: DataFrame, sub: str, least: int = 5) -> DataFrame:
 def encoding_audit(texts: DataFrame, every: int = 128) -> DataFrame:
     """DIA-11: texts that are no valid UTF-8 or hold NUL, by cluster, and an even sample of about ``every`` of them. ``texts``: scope_id, input_id, content (binary), n."""
     bad = texts.where(~F.is_valid_utf8(F.col("content").cast("string")) | F.contains("content", F.lit(b"\0")))
-    spread = F.ntile(every).over(Window.partitionBy("scope_id").orderBy("input_id"))
-    first = F.row_number().over(Window.partitionBy("scope_id", "tile").orderBy("input_id")) == 1
-    return bad.withColumn("tile", spread).withColumn("sampled", first).groupBy("scope_id").agg(F.count("*").alias("inputs"), F.sum("n").alias("occurrences"), F.count_if("sampled").alias("sampled"))
+    rows = numbered(bad.select("scope_id", "input_id", "n"), ["scope_id"], ["input_id"])
+    # the first of each of ``every`` runs of equal length, the longer ones first
+    size, longer = F.floor(F.col("total") / every), F.col("total") % every
+    edge = longer * (size + 1)
+    first = F.when(F.col("place") < edge, F.col("place") % (size + 1) == 0).otherwise((F.col("place") - edge) % F.greatest(size, F.lit(1)) == 0)
+    return rows.withColumn("sampled", first).groupBy("scope_id").agg(F.count("*").alias("inputs"), F.sum("n").alias("occurrences"), F.count_if("sampled").alias("sampled"))
 
 
 def new_shapes(shapes: DataFrame, known: DataFrame) -> DataFrame:

@@ -51,3 +51,22 @@ def between(rank: Column, scale=lambda v: v) -> Column:
     """The interpolated value of a rank that ``quantiles`` gave, its two values first put through ``scale``."""
     low, high, part = scale(rank["low"]), scale(rank["high"]), rank["part"]
     return F.when(part == 0, low.cast("double")).otherwise((1 - part) * low + part * high)
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``place`` (from 0, by ``order``) and ``total`` of their group, without a task that holds a group.
+
+    Ties are numbered in any order.
+    """
+    parts = written(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "numbered")
+    sums = parts.groupBy(*by, "_part").agg(F.count("*").alias("_sum"))
+    sums = sums.withColumn("total", F.sum("_sum").over(Window.partitionBy(*by))).withColumn("_before", F.sum("_sum").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_sum"))
+    known = sums.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("_part").alias("_p"), "_before", "total")
+    own = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)) - 1
+    joined = parts.withColumn("_own", own).join(known, (parts["_part"] == known["_p"]) & _same(parts, known, by))
+    return joined.withColumn("place", F.col("_before") + F.col("_own")).select(*rows.columns, "place", "total")
+
+
+def first_rows(rows: DataFrame, by: list[str], order: list, n: int, name: str = "n") -> DataFrame:
+    """The first ``n`` rows of each group with their number from 1. Each task sends its own first ``n`` of a group at most."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= n)

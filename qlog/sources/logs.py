@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qlog.functions.records import parse_log_time
+from qlog.operators.order import first_rows
 from qlog.sources import scan
 
 #: Names of the 30 columns; those no operator uses are numbered.
@@ -63,8 +64,9 @@ def edge_overlaps(records: DataFrame, edge: int = 32) -> DataFrame:
     ``records``: source_id, file_id, record_no, session (null: invalid), log_at, body.
     """
     w = Window.partitionBy("file_id").orderBy("record_no")
-    back = Window.partitionBy("file_id").orderBy(F.desc("record_no"))
-    rows = records.withColumn("n", F.row_number().over(w)).withColumn("m", F.row_number().over(back)).where((F.col("n") <= edge) | (F.col("m") <= edge))
+    narrow = records.select("file_id", "record_no")  # bodies join the few edge records
+    ends = first_rows(narrow, ["file_id"], ["record_no"], edge).unionByName(first_rows(narrow, ["file_id"], [F.desc("record_no")], edge)).select("file_id", "record_no").distinct()
+    rows = records.join(ends, ["file_id", "record_no"], "left_semi")
     nxt = lambda c: F.lead(c).over(w)
     rows = rows.select("source_id", "file_id", "record_no", "session", "log_at", "body", nxt("session").alias("s2"), nxt("log_at").alias("l2"), nxt("body").alias("b2"), nxt("record_no").alias("r2"))
     pairs = rows.where("session is not null and s2 is not null and log_at <> l2 and r2 = record_no + 1").select("source_id", "file_id", F.sha2(F.concat_ws("\n", "body", "b2"), 256).alias("pair"))
@@ -138,11 +140,15 @@ def extend_manifest(old: DataFrame, scanned: DataFrame) -> DataFrame:
 
 
 def sample_prefix(records: DataFrame, files: int, rows: int, most_bytes: int) -> DataFrame:
-    """SRC-14: first ``rows`` records, up to ``most_bytes``, of the first ``files`` files of each cluster."""
-    rank = F.dense_rank().over(Window.partitionBy("scope_id").orderBy("file_id"))
-    size = F.sum(F.length("body")).over(Window.partitionBy("file_id").orderBy("record_no").rowsBetween(Window.unboundedPreceding, 0))
-    n = F.row_number().over(Window.partitionBy("file_id").orderBy("record_no"))
-    return records.withColumn("_f", rank).withColumn("_b", size).withColumn("_n", n).where((F.col("_f") <= files) & (F.col("_n") <= rows) & (F.col("_b") <= most_bytes)).drop("_f", "_b", "_n")
+    """SRC-14: first ``rows`` records, up to ``most_bytes``, of the first ``files`` files of each cluster.
+
+    Records are picked by narrow rows, each task sending its first few of a file; bodies join those that are picked.
+    """
+    chosen = first_rows(records.select("scope_id", "file_id").distinct(), ["scope_id"], ["file_id"], files).select("scope_id", "file_id")
+    few = first_rows(records.select("scope_id", "file_id", "record_no", F.length("body").alias("_size")), ["file_id"], ["record_no"], rows)
+    size = F.sum("_size").over(Window.partitionBy("file_id").orderBy("record_no").rowsBetween(Window.unboundedPreceding, 0))
+    few = few.withColumn("_b", size).where(F.col("_b") <= most_bytes).join(chosen, ["scope_id", "file_id"], "left_semi")
+    return records.join(few.select("scope_id", "file_id", "record_no"), ["scope_id", "file_id", "record_no"], "left_semi")
 
 
 def data_time_range(files: DataFrame) -> DataFrame:

@@ -138,3 +138,15 @@ def test_one_group_of_ten_million_values_is_spread(spark):
     parts = spark.read.parquet(sorted(glob.glob(f"{tables.store(spark)}/*/ordered".removeprefix("file://")), key=os.path.getmtime)[-1])
     sizes = [r[0] for r in parts.groupBy("_part").count().select("count").collect()]
     assert len(sizes) == 4 and max(sizes) < 0.5 * n  # as many as there are shuffle partitions
+
+
+def test_numbers_and_first_rows_of_groups(spark):
+    rows = [(g, i * 7 % 101) for g, n in (("a", 101), (None, 3), ("b", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, v int").repartition(6)
+    out = order.numbered(df, ["g"], ["v"]).collect()
+    for g in ("a", None, "b"):
+        values = sorted(v for h, v in rows if h == g)
+        assert sorted((r["place"], r["v"], r["total"]) for r in out if r["g"] == g) == [(i, v, len(values)) for i, v in enumerate(values)]
+    few = order.first_rows(df, ["g"], [F.desc("v")], 2)
+    assert sorted((str(r["g"]), r["n"], r["v"]) for r in few.collect()) == [("None", 1, 14), ("None", 2, 7), ("a", 1, 100), ("a", 2, 99), ("b", 1, 0)]
+    assert "WindowGroupLimit" in few._jdf.queryExecution().executedPlan().toString()
