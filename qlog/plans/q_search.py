@@ -100,6 +100,11 @@ def _texts(spark, d):
     return t.withColumn("fingerprint", F.left("search_text", F.lit(3)))
 
 
+def index(spark, d):
+    """The stored trigram index of the texts."""
+    return base.text_index(spark, d, lambda: _texts(spark, d).select("sql_id", "fingerprint", "search_text"))
+
+
 TERMS = ["the", "on"]
 _MATCH = " AND ".join(f"contains(search_text, '{t}')" for t in TERMS)
 
@@ -116,9 +121,8 @@ SELECT fingerprint, example_sql_id, matched_texts, CAST(records AS BIGINT) AS re
 def search_text(spark, d):
     """QRY-06, 07, 29, TXT-02, 03, 05: characters stand for records, ids for times; texts are found by the stored index."""
     t = _texts(spark, d)
-    index = base.text_index(spark, d, lambda: t.select("sql_id", "fingerprint", "search_text"))
     cells = t.select("sql_id", "scope_id", "database", F.lit(None).cast("string").alias("execution_user"), F.col("n_chars").alias("records"), F.col("doc_id").alias("last_at"))
-    out = search.text_search(index, cells, TERMS, 20)
+    out = search.text_search(index(spark, d), cells, TERMS, 20)
     long = lambda c: F.col(c).cast("long").alias(c)
     return out.select("fingerprint", "example_sql_id", "matched_texts", "records", F.col("last_at").alias("last_id"), F.array_join("scopes", ",").alias("scopes"), "identities", F.concat_ws("/", "top.scope_id", "top.database").alias("top_identity"), long("total"), long("by_count"), long("by_recency"))
 
@@ -129,8 +133,7 @@ RARE = ["ing", "tion", "he"]
 @query("search_text_hits", f"WITH {DOCS} SELECT sql_id, fingerprint FROM tx WHERE " + " AND ".join(f"contains(search_text, '{t}')" for t in RARE))
 def search_text_hits(spark, d):
     """TXT-05 by the index alone: texts that hold two longer terms and one that is too short for a trigram."""
-    index = base.text_index(spark, d, lambda: _texts(spark, d).select("sql_id", "fingerprint", "search_text"))
-    return index.search(RARE).select("sql_id", "fingerprint")
+    return index(spark, d).search(RARE).select("sql_id", "fingerprint")
 
 
 @query("search_catalog", f"WITH {DOCS} SELECT fingerprint, row_number() OVER (PARTITION BY fingerprint ORDER BY sql_id) AS n, sql_id, {_MATCH} AS hit, substr(text, 1, 180) AS example, length(text) AS length FROM tx")
