@@ -293,5 +293,9 @@ def digests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     if marked:
         again = lines.where(F.col("path").isin(marked)).mapInArrow(_digest(b"\xef\xbb\xbf"), "path string, sha256 string")
         found = found.where("sha256 is not null").unionByName(again)
-    names = spark.read.format("binaryFile").load(paths).select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("byte_count"))
-    return names.join(found, "path", "left").select("path", F.coalesce("sha256", F.when(F.col("byte_count") == 0, F.sha2(F.lit(""), 256))).alias("sha256"), "byte_count")
+    files = spark.read.format("binaryFile").load(paths)
+    sizes = files.select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("byte_count"))
+    # readers skip empty files; the listing, which the driver has anyway, knows them
+    every = spark.createDataFrame([(re.sub("^file:///", "file:/", f),) for f in files.inputFiles()], "path string")  # as the metadata column writes it
+    out = every.join(sizes, "path", "left").join(found, "path", "left").withColumn("byte_count", F.coalesce("byte_count", F.lit(0).cast("long")))
+    return out.select("path", F.coalesce("sha256", F.when(F.col("byte_count") == 0, F.sha2(F.lit(""), 256))).alias("sha256"), "byte_count")
