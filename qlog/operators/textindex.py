@@ -13,12 +13,7 @@ GRAM = 3
 
 def grams(text: Column) -> Column:
     """Distinct trigrams of a text; none of one under three characters."""
-
-    def of(chars: Column) -> Column:
-        return F.array_distinct(F.transform(F.slice(chars, 1, F.greatest(F.size(chars) - GRAM + 1, F.lit(0))), lambda c, i: F.concat(c, F.get(chars, i + 1), F.get(chars, i + 2))))
-
-    # the text is split once: inside a lambda an expression is computed for each element, a bound value is not
-    return F.when(text.isNotNull(), F.get(F.transform(F.array(F.split(text, "")), of), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))  # overlapping, by lookahead
 
 
 class TextIndex:
