@@ -12,6 +12,7 @@ from qlog.functions import calendar as cal
 from qlog.operators import baseline, eligibility
 from qlog.operators.builds import Builds
 from qlog.operators.facts import publication_checks
+from qlog.operators.layout import ClusteredFacts
 from qlog.operators.tables import hadoop, store, written
 from qlog.operators.textindex import TextIndex
 
@@ -172,6 +173,15 @@ def text_index(spark: SparkSession, sf_dir: str, make) -> TextIndex:
     return index
 
 
+def clustered(spark: SparkSession, sf_dir: str) -> ClusteredFacts:
+    """Facts with a fingerprint, clustered by it, over the events as they are now; the first reader of an application stores them."""
+    path = f"{store(spark)}/facts-{hashlib.sha256(_state(spark, sf_dir, 'events').encode()).hexdigest()[:16]}"
+    facts = ClusteredFacts(spark, path, ["fingerprint"])
+    if not facts.manifest()["runs"]:
+        facts.add(0, executions(spark, sf_dir).where("fingerprint is not null"))
+    return facts
+
+
 def build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published build over the tables as they are now; the first reader of an application makes and publishes it."""
     scope = _state(spark, sf_dir, "events")

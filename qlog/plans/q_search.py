@@ -177,6 +177,32 @@ def search_history_page(spark, d):
     return out.select("occurrence_id", F.col("n").cast("long").alias("n"), "more")
 
 
+@query(
+    "search_structure_page",
+    f"""WITH {X}, p AS (SELECT * FROM q WHERE fingerprint = 'F7' AND database IS NOT NULL AND (end_at, analysis_id, occurrence_id) < (TIMESTAMP '2024-01-20 00:00:00', 'A1', 0)),
+o AS (SELECT *, row_number() OVER (ORDER BY end_at DESC, analysis_id DESC, occurrence_id DESC) AS n FROM p)
+SELECT occurrence_id, scope_id, sql_id, n, (SELECT count(*) FROM p) > 50 AS more FROM o WHERE n <= 50""",
+)
+def search_structure_page(spark, d):
+    """QRY-11 of one structure: from the newest of its clustered files on, until the page is full."""
+    import datetime
+
+    out = base.clustered(spark, d).page({"fingerprint": "F7"}, (datetime.datetime(2024, 1, 20), "A1", 0), 50, F.col("database").isNotNull())
+    return out.select("occurrence_id", "scope_id", "sql_id", F.col("n").cast("long").alias("n"), "more")
+
+
+@query(
+    "search_structure_facts",
+    f"""WITH {X} SELECT occurrence_id, scope_id, sql_id, timing_type, CASE WHEN timing_type IS NOT NULL THEN us END AS us, outcome FROM q
+WHERE fingerprint = 'F3' AND end_at >= TIMESTAMP '2024-01-05' AND end_at < TIMESTAMP '2024-01-20' AND (timing_type = 'request' OR (timing_type IS NULL AND outcome <> 'success'))""",
+)
+def search_structure_facts(spark, d):
+    """QRY-01..03, 19 of one structure: its bucket of the clustered files, row groups by hash and time."""
+    t = lambda x: F.expr(f"TIMESTAMP_NTZ'{x}'")
+    own = base.clustered(spark, d).of_key({"fingerprint": "F3"}, t("2024-01-05 00:00:00"), t("2024-01-20 00:00:00"))
+    return search.query_facts(search.record_facts(own, "request")).select("occurrence_id", "scope_id", "sql_id", "timing_type", "us", "outcome")
+
+
 @query("search_record_facts", f"WITH {X} SELECT occurrence_id, outcome FROM q WHERE timing_type = 'parse' OR (timing_type IS NULL AND outcome <> 'success')")
 def search_record_facts(spark, d):
     """QRY-19."""
