@@ -509,6 +509,38 @@ def test_verbatim_matches_and_places(spark):
     assert any(want.values())
 
 
+@pytest.mark.parametrize("block_chars", [8 << 20, 3000])
+def test_one_passage_in_many_items(spark, block_chars):
+    """Classes say what the list says; a passage of 300 items is one class for each way its windows end."""
+    rng = random.Random(29)
+    shared = words(rng, 30)
+    bench = [(i, f"{shared} {words(rng, 3)}") for i in range(300)] + [(300 + i, words(rng, rng.choice([13, 20, 40, 6]))) for i in range(8)] + [(400, "one two " * 12), (None, words(rng, 20)), (401, bench_part(shared, 4, 22))]
+    texts = list(ODD) + [f"a {shared} b", f"{shared} {bench[5][1].split(' ', 30)[-1]} c", bench_part(shared, 3, 25), f"{bench[302][1]} {shared}", "one two " * 30, bench[-2][1], words(rng, 60)]
+    for _ in range(30):
+        a, b = rng.choice(bench[290:])[1].split(), rng.choice(bench[290:])[1].split()
+        texts.append(" ".join([*a[rng.randrange(5) :], *b[: rng.randrange(30) + 1], words(rng, 5), *a[rng.randrange(9) :]]))
+    docs, items = frame(spark, texts).select("doc_id", "text"), spark.createDataFrame(bench, "item_id long, text string")
+    brief, classes = decontaminate.find_classes(docs, items, block_chars=block_chars)
+    members = {}
+    for r in classes.collect():
+        members.setdefault(r["class"], set()).add(r["item_id"])
+    want = {r["doc_id"]: r for r in decontaminate.find_matches(docs, items, block_chars=block_chars).collect()}
+    for r in brief.collect():
+        w = want[r["doc_id"]]
+        assert [r[c] for c in ("n_words", "n_hit", "longest", "matches", "longest_match")] == [w[c] for c in ("n_words", "n_hit", "longest", "matches", "longest_match")]
+        assert set().union(*[members.get(c, set()) for c in r["classes"] or []]) == set(w["items"] or [])
+        assert len(r["classes"] or []) <= 30 * (1 if block_chars > 3000 else 10)
+    digest = {r["doc_id"]: (r["n_items"], r["items_sha256"]) for r in decontaminate.decontamination_digest(docs, items).collect()}
+    assert digest == {d: (len(w["items"] or []), hashlib.sha256(",".join(w["items"] or []).encode()).hexdigest()) for d, w in want.items()}
+    clashing = docs.withColumn("n_hit", F.lit("own")).withColumn("classes", F.col("doc_id"))
+    kept = decontaminate.remove_contaminated(clashing, items)
+    assert kept.columns == clashing.columns and {(r["n_hit"], r["doc_id"] == r["classes"]) for r in kept.collect()} == {("own", True)}
+
+
+def bench_part(text, a, b):
+    return " ".join(text.split()[a:b])
+
+
 def test_hashes_that_texts_cannot_break(spark):
     one = "a"
     for _ in range(11):
