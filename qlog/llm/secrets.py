@@ -1,6 +1,6 @@
 """Secret scans: a random forest removes false positives among key-like strings.
 
-Candidates are runs of key characters, and every value assigned to a credential's name. Features are the candidate's length and
+Candidates are runs of key characters, every value assigned to a credential's name, and passwords in URLs. Features are the candidate's length and
 character mix, transitions between character classes, how unlikely its characters follow each other in
 the prose around all candidates of the corpus, how much of it dictionary words cover, the document's path and the neighbouring words. A random forest of Spark's own, trained on labelled
 findings, scores every candidate. DataFrame functions only.
@@ -13,17 +13,19 @@ import math
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from qlog.llm.common import text_key, written
 
 # Names that credentials are assigned to, paths of test material, frequent word parts.
-CREDENTIAL = r"(?i:token|secret|password|passwd|pwd|api_?key|apikey|access_?key|auth(?!or(?!i[sz]))|credential|private_?key)"
+CREDENTIAL = r"(?i:token|secret|password|passwd|pwd|api_?key|apikey|access_?key|auth(?!or(?!i[sz]))|credential|private_?key|(?<![a-z0-9])pw(?![a-z]))"
 _KEY = "[A-Za-z0-9+/_-]"
 _SET = r"[\"']?\]?\s{0,4}+(?::=|=>|={1,2}+|:)\s{0,4}+"
 #: A credential's name up to the value that is assigned to it.
 ASSIGNED = rf"{CREDENTIAL}[A-Za-z0-9_.-]{{0,40}}{_SET}(?:(?i:bearer|basic)\s{{1,4}})?[\"']?+"
+#: A URL's user up to the password that follows.
+USER = r"://[\w.+-]{1,64}:"
 #: A value: up to its closing quote, else up to a blank, a separator or the next parameter of a URL.
 _VALUE = r"(?:(?<=\")[^\"\r\n]+(?=\")|(?<=')[^'\r\n]+(?=')|(?:[^\s\"'`,;&<>=]|=(?!\s)|=++(?=\s|$)|&(?![\w.-]+=))+(?<![)\]}.]))"
 #: At least 16 key characters, not inside a longer run; a run that an assignment follows is its name and no candidate.
@@ -31,10 +33,10 @@ _RUN = (
     rf"(?<!{_KEY})(?={_KEY}{{16}})(?!{_KEY}{{0,80}}?{CREDENTIAL}{_KEY}{{0,40}}{_SET}[\"']?[^\s\"'=])"
     rf"{_KEY}{{16,}}+(?!={{1,2}}(?:{_KEY}|[\"'][^\s\"',;:)\]}}>]))={{0,2}}"
 )
-CANDIDATE = rf"{ASSIGNED}{_VALUE}|{_RUN}"
+CANDIDATE = rf"{ASSIGNED}{_VALUE}|{USER}[^\s/@:\"'<>]{{1,200}}+(?=@)|{_RUN}"
 TEST_PATH = r"(?i)test|example|sample|fixture|mock|doc|lock|vendor"
 DICTIONARY = "tion|ing|the|and|for|ent|ter|con|pro|est|ver|der|lich|heit|keit|ung|sch|que|ment|eau|aux|mente|cion|dad|ado|list|name|user|data|file|page|index|value|type|code|test|item|time|date|line|text|key|id"
-PLACEHOLDER = r"(?i)^(?:x+|0+|1+|example.*|your.*|test.*|changeme.*|(.)\1{7,}.*|none|null|nil|true|false|undefined|\*+|[$%{].*)$"
+PLACEHOLDER = r"(?i)^(?:pass(?:word)?|x+|0+|1+|example.*|your.*|test.*|changeme.*|(.)\1{7,}.*|none|null|nil|true|false|undefined|\*+|[$%{].*)$"
 
 FEATURES = ["length", "digits", "upper", "lower", "symbols", "transitions", "distinct", "dictionary", "hexadecimal", "surprise", "test_path", "credential", "assigned", "quoted", "left_words", "right_word"]
 
@@ -52,7 +54,7 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     where = F.col(path) if path in docs.columns else F.lit(None).cast("string")
     found = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
     rows = docs.select("doc_id", text_key().alias("th"), "text", where.cast("string").alias("path"), found.alias("m")).where(F.size("m") > 0)
-    rows = rows.select("doc_id", "th", "path", "m", F.split("text", CANDIDATE, -1).alias("g"), F.transform("m", lambda x: F.regexp_extract(x, rf"^{ASSIGNED}(?=[^\s=])", 0)).alias("names"))
+    rows = rows.select("doc_id", "th", "path", "m", F.split("text", CANDIDATE, -1).alias("g"), F.transform("m", lambda x: F.regexp_extract(x, rf"^(?:{ASSIGNED}(?=[^\s=])|{USER})", 0)).alias("names"))
     # a name belongs to the text before its value
     rows = rows.select(
         "doc_id",
@@ -61,20 +63,16 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
         F.zip_with("m", "names", lambda x, y: F.substring(x, F.length(y) + 1, F.length(x))).alias("v"),
         F.zip_with("g", F.array_append("names", F.lit("")), lambda x, y: F.concat(x, y)).alias("g"),
     )
-    sizes = F.zip_with(F.transform("g", lambda x: F.length(x)), F.concat(F.transform("v", lambda x: F.length(x)), F.array(F.lit(0))), lambda a, b: F.named_struct(F.lit("a"), a, F.lit("b"), b))
-    starts = F.aggregate(
-        sizes,
-        F.named_struct(F.lit("at"), F.lit(0), F.lit("all"), F.array().cast("array<int>")),
-        lambda s, x: F.named_struct(F.lit("at"), s["at"] + x["a"] + x["b"], F.lit("all"), F.array_append(s["all"], s["at"] + x["a"])),
-        lambda s: s["all"],
-    )
-
     def one(v: Column, i: Column) -> Column:
-        left, right = F.right(F.get("g", i), F.lit(40)), F.left(F.get("g", i + 1), F.lit(40))
-        return F.struct(i.alias("place"), F.get("s", i).alias("start"), v.alias("value"), left.alias("left"), right.alias("right"))
+        gap = F.get("g", i)
+        left, right = F.right(gap, F.lit(40)), F.left(F.get("g", i + 1), F.lit(40))
+        return F.struct(i.alias("place"), v.alias("value"), left.alias("left"), right.alias("right"), (F.length(gap) + F.length(v)).alias("size"))
 
-    each = rows.withColumn("s", starts).select("doc_id", "th", "path", F.inline(F.transform("v", one)))
-    return each.select("doc_id", "th", "path", "place", "start", "value", "left", "right")
+    # starts are running sums over the candidates of a row; equal rows are told apart by their number
+    each = rows.withColumn("row", F.monotonically_increasing_id()).select("doc_id", "th", "path", "row", F.inline(F.transform("v", one)))
+    to_here = Window.partitionBy("row").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = (F.sum("size").over(to_here) - F.length("value")).cast("int")
+    return each.withColumn("start", start).select("doc_id", "th", "path", "place", "start", "value", "left", "right")
 
 
 #: Characters that transitions tell apart: digits, letters of either case, and all others as one.
@@ -120,7 +118,7 @@ def with_features(found: DataFrame, prose: DataFrame | None = None) -> DataFrame
             "hexadecimal": flag(F.lower(c).rlike("^[0-9a-f]+$")),
             "surprise": F.when(F.length(c) > 1, surprise).otherwise(0.0),
             "test_path": flag(F.col("path").rlike(TEST_PATH)),
-            "credential": flag(F.col("left").rlike(CREDENTIAL)),
+            "credential": flag(F.col("left").rlike(f"{CREDENTIAL}|{USER}$")),
             "assigned": flag(F.col("left").rlike(r"[=:]>?\s*[\"']?$")),
             "quoted": flag(F.col("left").rlike("[\"']$") & F.col("right").rlike("^[\"']")),
             "left_words": F.regexp_count("left", F.lit(r"\p{L}+")).cast("double"),
@@ -134,7 +132,7 @@ def weak_labels(found: DataFrame) -> DataFrame:
 
     A short word without quotes and digits that follows a blank is prose or code, and phrases are prose.
     """
-    named, value = F.col("left").rlike(ASSIGNED + "$"), F.col("value")
+    named, value = F.col("left").rlike(f"(?:{ASSIGNED}|{USER})$"), F.col("value")
     key = value.rlike(r"[0-9]|^.{16}") | F.col("left").rlike(r"[=:\"']$")
     return found.withColumn("label", (named & key & ~value.rlike(PLACEHOLDER) & ~value.rlike(r"\s")).cast("double"))
 

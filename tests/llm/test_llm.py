@@ -665,6 +665,21 @@ def test_topk_of_large_components(spark):
         topk.top_k(df([*rows, (40, [2.0**70, -(2.0**69), 0.0, 1.0])])).collect()
 
 
+def test_secrets_in_urls_and_short_names(spark):
+    texts = ["use postgres://u:s3cretpw@host/db now", "pw: hunter2", "see http://host:8080/a@b and http://host:80 ok", "postgres://user:password@localhost", "DATABASE_URL=amqp://a.b:Zx9@h/v", "pwnage: none here"]
+    found = secrets.candidates(frame(spark, texts))
+    assert sorted((r["doc_id"], r["start"], r["value"]) for r in found.collect()) == [(0, 17, "s3cretpw"), (1, 4, "hunter2"), (3, 16, "password"), (4, 24, "Zx9")]
+    assert {(r["doc_id"], r["label"]) for r in secrets.weak_labels(found).collect()} == {(0, 1.0), (1, 1.0), (3, 0.0), (4, 1.0)}
+
+
+def test_starts_of_many_candidates(spark):
+    text = " ".join(f"{i:020d}{'é' * (i % 3)}" for i in range(20_000))
+    docs = frame(spark, [text, "a secret=abc1", None, ""])
+    found = secrets.candidates(docs.union(docs.where("doc_id = 0"))).where("doc_id = 0").collect()
+    want = [(k, m.start(), m.group()) for k, m in enumerate(re.finditer("[0-9]{20}", text))]
+    assert sorted((r["place"], r["start"], r["value"]) for r in found) == sorted(want * 2)
+
+
 def test_secrets_of_repeated_rows(spark):
     rng = random.Random(11)
     text = 'token = "' + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + '" here'
