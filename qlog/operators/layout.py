@@ -19,9 +19,11 @@ class ClusteredFacts:
 
     A run is range-partitioned and sorted by bucket and hash of ``keys`` and then newest first, so a frequent key spreads
     over many files, each of them one range of time, while rare keys share a file. The zone map tells for each file its
-    end times, its least and its greatest hash, and the end times of these two, which alone may go on in other files. Manifests are made only if absent: of two writers one wins, the other tries
-    again on top of it. A repeated batch replaces its own; runs that were replaced are deleted at the change after that, while a
-    run whose writer failed before its manifest stays as an unread folder. Null keys are keys like others; rows without an end come last in a page and in no range.
+    end times, its least and its greatest hash, and the end times of these two, which alone may go on in other files.
+    Manifests are made only if absent: of two writers one wins, the other tries again on top of it. A repeated batch
+    replaces its own; runs that were replaced are deleted at the change after that, while a run whose writer failed before
+    its manifest stays as an unread folder. Null keys are keys like others; rows without an end come last in a page and
+    in no range.
     """
 
     ORDER = ["end_at", "analysis_id", "occurrence_id"]
