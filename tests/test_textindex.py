@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,3 +49,25 @@ def test_only_the_buckets_of_the_trigrams_are_read(spark, tmp_path):
     plan = index.candidates(chosen)._jdf.queryExecution().executedPlan().toString()
     assert len(chosen) <= 2 and "PartitionFilters: [isnotnull(bucket" in plan.replace("bucket#", "bucket#").replace("\n", " ") or "bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
     assert index.plan(["ab"]) is None and index.plan(["ab", "zzz"]) == ["zzz"]
+
+
+def test_postings_are_lists_of_runs_of_texts(spark, tmp_path, monkeypatch):
+    """A frequent trigram is a row a run of texts, not one a text; lists hold every text once, also over several runs and planes of Unicode."""
+    from qlog.operators import textindex
+
+    monkeypatch.setattr(textindex, "MOST_CHARS", 500)
+    rng = random.Random(4)
+    rows = made(rng, 200) + [("u1", "\U0001f600\U0001f600\U0001f600\U0001f600ab", "f"), ("u2", None, "f"), ("u3", "\x00\x00\x00\x00", "f")]
+    got, seen = [], 0
+    for n in (1, 30, 203):
+        ids, texts = pa.array([r[0] for r in rows[:n]]), pa.array([(r[1] or "").encode() for r in rows[:n]])
+        lists = [r for b in textindex._post(iter([pa.RecordBatch.from_arrays([ids, texts], ["sql_id", "text"])])) for r in b.to_pylist()]
+        got = sorted((r["gram"], i) for r in lists for i in r["ids"])
+        assert all(r["n"] == len(r["ids"]) for r in lists)
+        assert got == sorted((g, r[0]) for r in rows[:n] for g in {(r[1] or "")[k : k + 3] for k in range(len(r[1] or "") - 2)})
+        seen = len(lists)
+    assert seen < 0.8 * len(got)
+    index = TextIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.add(0, frame(spark, rows))
+    assert sorted((r["gram"], r["sql_id"]) for r in index.postings().collect()) == got
+    assert index._runs().count() < len(got)
