@@ -182,7 +182,8 @@ def recent_runs(cluster_runs: DataFrame, days: DataFrame, limit: int) -> DataFra
     n = F.row_number().over(Window.partitionBy("scope_id").orderBy(F.desc("at"), F.desc("run_id")))
     top = cluster_runs.withColumn("n", n).where(F.col("n") <= limit)
     ok = lambda s: F.array_sort(F.collect_list(F.when(F.col("day_state") == s, F.col("day"))))
-    own = days.groupBy("run_id", "scope_id").agg(ok("imported").alias("imported_days"), ok("failed").alias("failed_days"), F.sum("records").alias("records"))
+    few = days.join(F.broadcast(top.select("run_id", "scope_id")), ["run_id", "scope_id"], "left_semi")  # ``limit`` runs a cluster
+    own = few.groupBy("run_id", "scope_id").agg(ok("imported").alias("imported_days"), ok("failed").alias("failed_days"), F.sum("records").alias("records"))
     return top.join(own, ["run_id", "scope_id"], "left")
 
 

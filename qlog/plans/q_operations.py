@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from qlog.functions import calendar as cal
 from qlog.functions import exchange, lexical, records
-from qlog.operators import baseline, diagnostics, eligibility
+from qlog.operators import baseline, diagnostics, eligibility, tables
 from qlog.plans import base
 from qlog.plans.base import EXEC, KEYS, STATS
 from qlog.plans.q_records import LG, interpreted, log_records, shared, sql_texts
@@ -197,6 +197,9 @@ def diagnostics_representatives(spark, d):
 
 # --- runs ------------------------------------------------------------------------------------------
 
+#: Line items that one task joins and adds up.
+ROWS = 500_000
+
 #: Orders as runs of clusters: customers modulo 20 are clusters, ship dates of their items the days.
 RUNS = """ru AS (SELECT 'C' || (o_custkey % 20) AS scope_id, o_orderkey AS run_id, o_orderdate AS t, CASE o_orderstatus WHEN 'F' THEN 'running' WHEN 'P' THEN 'skipped' ELSE 'succeeded' END AS state FROM orders),
 dx AS (SELECT scope_id, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, run_id, max(t) AS t, CASE WHEN max(l_tax) > 0.06 THEN 'failed' ELSE 'imported' END AS day_state, CAST(sum(l_quantity) AS BIGINT) AS records, max(l_discount) AS disc FROM ru JOIN lineitem ON l_orderkey = run_id GROUP BY scope_id, day, run_id),
@@ -214,20 +217,22 @@ def _runs(spark, d):
 
 
 def _days(spark, d):
-    li = base.table(spark, d, "lineitem")
-    rows = _runs(spark, d).join(li, F.col("l_orderkey") == F.col("run_id")).groupBy("scope_id", F.col("l_shipdate").cast("date").cast("string").alias("day"), "run_id")
-    out = rows.agg(F.max("at").alias("at"), F.max("l_tax").alias("tax"), F.sum("l_quantity").cast("long").alias("records"), F.max("l_discount").alias("disc"))
-    return out.withColumn("day_state", F.when(F.col("tax") > 0.06, "failed").otherwise("imported"))
+    """Days of runs, written once: a query reads them several times. Line items and runs meet in partitions of as many rows at every size."""
+    li = base.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_shipdate").cast("date").alias("day"), "l_tax", "l_quantity", "l_discount")
+    n = tables.parts(li, ROWS)
+    met = li.repartition(n, "run_id").join(_runs(spark, d).select("run_id", "scope_id", "at").repartition(n, "run_id"), "run_id")
+    out = met.groupBy("run_id", "scope_id", "day").agg(F.max("at").alias("at"), F.max("l_tax").alias("tax"), F.sum("l_quantity").cast("long").alias("records"), F.max("l_discount").alias("disc"))
+    out = out.select("scope_id", F.col("day").cast("string").alias("day"), "run_id", "at", "tax", "records", "disc")
+    return tables.written(out.withColumn("day_state", F.when(F.col("tax") > 0.06, "failed").otherwise("imported")), "days")
 
 
-def _problems(spark, d):
-    days = _days(spark, d)
+def _problems(days):
     one = lambda when, code: days.where(when).select("run_id", "scope_id", "day", F.lit(code).alias("code"))
     return one("day_state = 'failed'", "import_failed").unionByName(one("disc >= 0.1", "file_nonconforming"))
 
 
-def _open(spark, d):
-    return diagnostics.open_problems(_days(spark, d), _problems(spark, d), _runs(spark, d), F.expr("TIMESTAMP_NTZ'1998-08-01 00:00:00'"), 7)
+def _open(spark, d, days):
+    return diagnostics.open_problems(days, _problems(days), _runs(spark, d), F.expr("TIMESTAMP_NTZ'1998-08-01 00:00:00'"), 7)
 
 
 @query("operations_runs", f"WITH {RUNS} SELECT run_id, CASE WHEN state = 'running' AND run_id % 3 <> 0 THEN 'unfinished' ELSE state END AS shown_state FROM ru")
@@ -240,14 +245,15 @@ def operations_runs(spark, d):
 @query("operations_open_problems", f"WITH {RUNS} SELECT scope_id, day, code, count(*) AS n FROM op GROUP BY ALL")
 def operations_open_problems(spark, d):
     """OPS-02."""
-    return _open(spark, d).groupBy("scope_id", "day", "code").agg(F.count("*").alias("n"))
+    return _open(spark, d, _days(spark, d)).groupBy("scope_id", "day", "code").agg(F.count("*").alias("n"))
 
 
 @query("operations_cluster_status", f"WITH {RUNS} SELECT scope_id, n.newest_day, 'B' || la.run_id AS build_id, coalesce(p.n, 0) AS problems FROM (SELECT scope_id, max(day) AS newest_day FROM dx GROUP BY scope_id) n LEFT JOIN la USING (scope_id) LEFT JOIN (SELECT scope_id, count(*) AS n FROM op GROUP BY scope_id) p USING (scope_id)")
 def operations_cluster_status(spark, d):
     """OPS-03: the newest run stands for the current build."""
     current = _runs(spark, d).groupBy("scope_id").agg(F.concat(F.lit("B"), F.max_by("run_id", F.struct("at", "run_id")).cast("string")).alias("build_id"))
-    return diagnostics.cluster_status(_days(spark, d), current, _open(spark, d))
+    days = _days(spark, d)
+    return diagnostics.cluster_status(days, current, _open(spark, d, days))
 
 
 @query(
@@ -271,14 +277,15 @@ def operations_last_run(spark, d):
 def operations_status(spark, d):
     """OPS-08: JSON documents; no SQL twin because writers of JSON differ."""
     current = _runs(spark, d).groupBy("scope_id").agg(F.max("run_id").alias("build_id"))
-    problems = _open(spark, d)
-    return diagnostics.status_document(diagnostics.cluster_status(_days(spark, d), current, problems), problems)
+    days = _days(spark, d)
+    problems = _open(spark, d, days)
+    return diagnostics.status_document(diagnostics.cluster_status(days, current, problems), problems)
 
 
 @query("operations_isolation", f"WITH {RUNS} SELECT code, count(*) AS records FROM pb WHERE run_id % 2 = 0 GROUP BY code")
 def operations_isolation(spark, d):
     """STF-07: runs with even numbers are the version's files."""
-    p = _problems(spark, d).withColumn("file_id", F.col("run_id")).withColumn("records", F.lit(1))
+    p = _problems(_days(spark, d)).withColumn("file_id", F.col("run_id")).withColumn("records", F.lit(1))
     return diagnostics.isolation_counts(p, _runs(spark, d).where("run_id % 2 = 0").select(F.col("run_id").alias("file_id")))
 
 
