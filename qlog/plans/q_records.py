@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from qlog.functions import calendar as cal
 from qlog.functions import lexical, records
 from qlog.functions import text as tx
-from qlog.operators import pairing
+from qlog.operators import pairing, tables
 from qlog.plans import base
 from qlog.sources import logs
 
@@ -145,10 +145,14 @@ def pairing_sessions(spark, d):
 # --- reading files ---------------------------------------------------------------------------------
 
 
+#: Records of one log file, as servers begin a new one at a size: its hash is one task.
+FILE_RECORDS = 200_000
+
+
 def _files(spark, d):
-    """The log records as CSV files in the shared folder."""
+    """The log records as CSV files of about ``FILE_RECORDS`` records in the shared folder, four at least."""
     path = shared(spark) + "/logs"
-    log_records(spark, d).select(*logs.COLUMNS).repartition(4, "pid").write.option("escape", '"').option("emptyValue", "").option("quoteAll", True).csv(path)
+    log_records(spark, d).select(*logs.COLUMNS).repartition(max(4, tables.parts(base.table(spark, d, "events"), FILE_RECORDS)), "pid").write.option("escape", '"').option("emptyValue", "").option("quoteAll", True).csv(path)
     return path
 
 
@@ -283,8 +287,9 @@ SELECT name, CASE WHEN found IS NULL THEN 'historical_file_missing' WHEN known I
 def source_manifest(spark, d):
     """SRC-13: line items of a supplier as a file named by its last day."""
     li, k = base.table(spark, d, "lineitem"), F.col("l_suppkey")
-    name, day = F.concat(F.lit("f"), k.cast("string")), F.col("l_shipdate").cast("date").cast("string")
-    rows = li.where(k % 9 != 0).select(name.alias("name"), day.alias("day"))
+    name, day = F.concat(F.lit("f"), k.cast("string")), F.col("l_shipdate").cast("date")
+    # partitions of as many rows at every size; the last day, its join and the counts all stay in them
+    rows = li.where(k % 9 != 0).select(name.alias("name"), day.alias("day")).repartition(tables.parts(li, 500_000), "name")
     last = rows.groupBy("name").agg(F.max("day").alias("name_day"))
     old = li.where((k % 3 == 0) | (k % 4 == 0)).groupBy(name.alias("name"), k).agg(F.count("*").alias("n")).select("name", (F.col("n") + F.when(k % 4 == 0, 1).otherwise(0)).alias("records"))
     return logs.extend_manifest(old, rows.join(last, "name")).drop("by_day")
